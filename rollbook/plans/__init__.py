@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads"]
+MODULES = ["reads", "conflicts", "aggregates"]
 
 
 def load_all() -> None:

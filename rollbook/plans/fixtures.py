@@ -198,6 +198,14 @@ VIEWS["f_draft_club"] = """
 SELECT school_id, CAST(1 + club_id % 3 AS INT) AS draft_id, club_id AS seq, CASE WHEN club_id % 2 = 0 THEN name ELSE upper(name) END AS name, confidence FROM f_club
 """
 
+# Periods as scanned: names as printed (codes, look-alikes, headings) and misread subjects.
+VIEWS["f_spelled_period"] = """
+SELECT p.school_id, p.version AS draft_id, p.seq, p.is_break, p.class_name, p.section, p.day_idx, p.slot,
+ CASE WHEN p.line_key % 29 = 0 THEN replace(p.subject, 'S', '5') WHEN p.line_key % 31 = 0 THEN upper(p.subject) WHEN p.line_key % 17 = 0 THEN p.subject || '.' ELSE p.subject END AS subject,
+ CASE WHEN p.line_key % 61 = 0 THEN 'Mr. Ani1 Kumar' WHEN p.line_key % 67 = 0 THEN 'Mrs. Eshann Das' WHEN p.line_key % 59 = 0 THEN 'TGT-MATHS' ELSE r.raw END AS teacher_name, p.confidence
+ FROM f_period p JOIN f_raw_name r ON p.school_id = r.school_id AND p.teacher_id = r.seq
+"""
+
 # Every word of every document: sheets of 200 words, ten words to a line.
 _WORD = """
 SELECT doc_id, doc_id * 1000 + CAST(floor(pos / 200) AS BIGINT) AS page_id, CAST(pos % 200 AS BIGINT) AS seq, word, CAST((pos % 10) * 70 AS DOUBLE) AS x0, CAST((pos % 10) * 70 + 6 * length(word) AS DOUBLE) AS x1,
