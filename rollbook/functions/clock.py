@@ -59,18 +59,25 @@ def parse_clock(raw: Column) -> Column:
     return let(parts(F.trim(raw)), from_parts)
 
 
+def clock12(m: Column) -> Column:
+    """Minutes since midnight as "1:30 PM"; null stays null."""
+    hour = (m / 60).cast("int")
+    half = F.when(m >= 720, F.lit(" PM")).otherwise(F.lit(" AM"))
+    return F.concat(((hour + 11) % 12 + 1).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"), half)
+
+
+def range12(start: Column, end: Column) -> Column:
+    """ "8:15 AM - 8:55 AM"; only the known side when one is missing."""
+    return F.concat_ws(" - ", clock12(start), clock12(end))
+
+
 def format_clock(c: Column) -> Column:
     """ "13:30" as "1:30 PM"; empty when not a time."""
-    h = F.floor(to_minutes(c) / 60).cast("int")
-    h12 = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
-    return F.when(
-        is_clock(c), F.concat(h12.cast("string"), F.lit(":"), F.substring(c, 4, 2), F.when(h >= 12, F.lit(" PM")).otherwise(F.lit(" AM")))
-    ).otherwise(F.lit(""))
+    return F.coalesce(clock12(to_minutes(c)), F.lit(""))
 
 
 def format_range(start: Column, end: Column) -> Column:
-    a, b = format_clock(start), format_clock(end)
-    return F.when((a != "") & (b != ""), F.concat(a, F.lit(" - "), b)).otherwise(F.concat(a, b))
+    return range12(to_minutes(start), to_minutes(end))
 
 
 def ordinal(n: Column) -> Column:

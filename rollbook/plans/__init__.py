@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "conflicts", "aggregates"]
+MODULES = ["reads", "conflicts", "aggregates", "text", "people"]
 
 
 def load_all() -> None:

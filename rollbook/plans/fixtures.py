@@ -206,13 +206,55 @@ SELECT p.school_id, p.version AS draft_id, p.seq, p.is_break, p.class_name, p.se
  FROM f_period p JOIN f_raw_name r ON p.school_id = r.school_id AND p.teacher_id = r.seq
 """
 
+# Notices as running text with dates, sessions, times and weekdays in several printed forms.
+_YEAR = "(year(o_orderdate) + 20)"
+_MONTH = (
+    "CASE month(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'Feb' WHEN 3 THEN 'March' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July'"
+    " WHEN 8 THEN 'August' WHEN 9 THEN 'Sept' WHEN 10 THEN 'October' WHEN 11 THEN 'Nov' ELSE 'December' END"
+)
+VIEWS["f_notice_text"] = f"""
+SELECT o_orderkey AS notice_id, CASE o_orderkey % 7
+ WHEN 0 THEN 'Meeting on ' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST({_YEAR} AS STRING) || ' from 9.15 to 10.00'
+ WHEN 1 THEN 'Duty ' || CAST(day(o_orderdate) AS STRING) || ' - ' || CAST(month(o_orderdate) AS STRING) || ' - ' || substr(CAST({_YEAR} AS STRING), 3, 2) || ', Tues. 12:55 - 1:30'
+ WHEN 2 THEN 'Sports day: ' || CAST(day(o_orderdate) AS STRING) || 'th ' || {_MONTH} || ' ' || CAST({_YEAR} AS STRING) || ' (Saturday)'
+ WHEN 3 THEN 'Session ' || CAST({_YEAR} AS STRING) || '-' || CAST({_YEAR} + 1 AS STRING) || ' starts ' || {_MONTH}
+ WHEN 4 THEN 'Exam on 31/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST({_YEAR} AS STRING) || ', 11:45-12:20 pm'
+ WHEN 5 THEN 'Routine ' || CAST({_YEAR} AS STRING) || ' / ' || substr(CAST({_YEAR} + 1 AS STRING), 3, 2) || ', from ' || CAST(day(o_orderdate) AS STRING) || ' ' || {_MONTH} || ', wed 7;05 - 7;45'
+ ELSE 'No date at all, priority ' || o_orderpriority END AS notice_text FROM orders
+"""
+
+VIEWS["f_name_text"] = """
+SELECT teacher_id AS seq, school_id, raw_text FROM (
+ SELECT seq AS teacher_id, school_id, raw AS raw_text FROM f_raw_name
+ UNION ALL SELECT teacher_id + 10000000, school_id, CASE teacher_id % 9 WHEN 0 THEN '7) ' || name || ' (' || code || ')' WHEN 1 THEN name || ' Staff  Nurse' WHEN 2 THEN code || ' ( ) Jr. Boys VI'
+  WHEN 3 THEN 'Ms. Boys House' WHEN 4 THEN 'PGT-P.E. (F)' WHEN 5 THEN 'Dr. ' || CAST(teacher_id AS STRING) WHEN 6 THEN name || ' - ' || code || '.' WHEN 7 THEN '||' || name || ' ,' ELSE 'Duty date of ' || code END FROM f_teacher) d
+"""
+
+# Raw extracted records, before they are cleaned.
+VIEWS["f_raw_period"] = """
+SELECT school_id, draft_id, seq, class_name, ' ' || lower(section) || '.' AS section, CASE WHEN seq % 53 = 0 THEN 'Someday' WHEN day_idx = 0 THEN 'Mon' WHEN day_idx = 1 THEN 'TUES.' WHEN day_idx = 2 THEN 'wed'
+ WHEN day_idx = 3 THEN 'Thurs' WHEN day_idx = 4 THEN 'Friday' ELSE 'SAT' END AS day, slot, period_number, is_break, CASE WHEN slot = 3 AND seq % 2 = 0 THEN '' ELSE 'Recess' END AS label, start_time, end_time, subject, teacher_name,
+ CASE WHEN seq % 11 = 0 THEN 1.4 WHEN seq % 13 = 0 THEN -0.2 WHEN seq % 17 = 0 THEN NULL ELSE confidence END AS confidence FROM f_draft_period
+"""
+VIEWS["f_raw_remedial"] = """
+SELECT school_id, draft_id, seq, CASE seq % 4 WHEN 0 THEN 'LIFE_SKILL' WHEN 1 THEN 'remedial' WHEN 2 THEN 'ENRICHMENT' END AS category, class_name, section, CASE day_idx WHEN 0 THEN 'Monday' WHEN 1 THEN 'tue' WHEN 2 THEN 'Weds' END AS day,
+ start_time, end_time, activity, teacher_name, CASE WHEN seq % 17 = 0 THEN NULL ELSE confidence END AS confidence FROM f_draft_remedial
+"""
+VIEWS["f_raw_duty"] = """
+SELECT school_id, draft_id, seq, CASE WHEN seq % 19 = 0 THEN 'next week' ELSE CAST(duty_date AS STRING) END AS duty_date, teacher_name, CASE WHEN seq % 3 = 0 THEN NULL ELSE duty_type END AS description, confidence FROM f_draft_duty
+"""
+
 # Every word of every document: sheets of 200 words, ten words to a line.
 _WORD = """
 SELECT doc_id, doc_id * 1000 + CAST(floor(pos / 200) AS BIGINT) AS page_id, CAST(pos % 200 AS BIGINT) AS seq, word, CAST((pos % 10) * 70 AS DOUBLE) AS x0, CAST((pos % 10) * 70 + 6 * length(word) AS DOUBLE) AS x1,
  CAST(18 * floor((pos % 200) / 10) + pos % 3 AS DOUBLE) AS y0, CAST(18 * floor((pos % 200) / 10) + pos % 3 + 12 AS DOUBLE) AS y1, CAST(60 + (pos * 7) % 40 AS INT) AS conf FROM {words}
 """
 VIEWS["f_word"] = _WORD.format(words="(SELECT doc_id, pos, word FROM documents LATERAL VIEW posexplode(split(text, ' ')) w AS pos, word)")
+VIEWS["f_line"] = "SELECT doc_id, CAST(pos AS BIGINT) AS pos, line FROM documents LATERAL VIEW posexplode(split(text, '\\n')) w AS pos, line"
+# Records of a draft (one per text line, every third misread) to look up in the draft's own page text.
+VIEWS["f_line_record"] = "SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN 'Zzyzx ' || line ELSE line END AS name, CASE WHEN pos % 7 = 0 THEN NULL ELSE 0.5 + (pos % 5) / 10.0 END AS confidence FROM f_line"
 DUCKDB_VIEWS: dict[str, str] = {
+    "f_line": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos FROM documents",
     "f_word": _WORD.format(
         words="(SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents)"
     )
