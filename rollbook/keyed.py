@@ -91,3 +91,9 @@ def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 
 def _carry(rows: DataFrame, per_chunk: DataFrame, part: Sequence[str]) -> DataFrame:
     return rows.join(per_chunk, list(part), "left")
+
+
+def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column as a generated one: later filters and projections refer to it and never copy its
+    expression into themselves."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from rollbook.operators.reads import PENDING
 
 BY = ("school_id",)
-_ZERO = F.lit(0).cast("long")
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -65,18 +66,18 @@ def teacher_references(teachers: DataFrame, periods: DataFrame, duties: DataFram
 
     def counted(df: DataFrame, hard: bool) -> DataFrame:
         rows = df.filter(F.col("teacher_id").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        return rows.select(*key, F.col("n").alias("refs"), (F.col("n") if hard else _ZERO).alias("hard_refs"))
+        return rows.select(*key, F.col("n").alias("refs"), (F.col("n") if hard else _zero()).alias("hard_refs"))
 
     parts = [counted(periods, True), counted(remedial, True), counted(duties, False), counted(offs, False)]
     refs = _union(parts).groupBy(*key).agg(F.sum("refs").alias("refs"), F.sum("hard_refs").alias("hard_refs"))
     out = teachers.select(*key).join(refs, key, "left")
-    return out.select(*key, F.coalesce("refs", _ZERO).alias("refs"), F.coalesce("hard_refs", _ZERO).alias("hard_refs"))
+    return out.select(*key, F.coalesce("refs", _zero()).alias("refs"), F.coalesce("hard_refs", _zero()).alias("hard_refs"))
 
 
 def table_sizes(tables: dict[str, tuple[DataFrame, Column]], budget_bytes: int = 512 * 1024 * 1024, k: int = 8) -> DataFrame:
     """Rows, bytes and share of the storage budget of the k largest tables; sizes come from the data itself."""
     parts = [
-        df.select(F.lit(label).alias("label"), size.cast("long").alias("bytes")).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), _ZERO).alias("bytes"))
+        df.select(F.lit(label).alias("label"), size.cast("long").alias("bytes")).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), _zero()).alias("bytes"))
         for label, (df, size) in tables.items()
     ]
     share = F.round(F.col("bytes") * 100 / F.lit(budget_bytes), 2).alias("percent")
@@ -149,7 +150,7 @@ def roster_stats(pool: DataFrame, duties: DataFrame, offs: DataFrame, remedial:
     out = pool.select(*key, "name").join(shared, [*by, "name"])
     for side in (duty, off, extra):
         out = out.join(side, key, "left")
-    return out.select(*key, "name", "shared_name", "off_day", *[F.coalesce(F.col(c), _ZERO).alias(c) for c in ("mod", "holiday", "remedial", "comp_offs")])
+    return out.select(*key, "name", "shared_name", "off_day", *[F.coalesce(F.col(c), _zero()).alias(c) for c in ("mod", "holiday", "remedial", "comp_offs")])
 
 
 def roster_spread(stats: DataFrame, by: Sequence[str] = BY) -> DataFrame:

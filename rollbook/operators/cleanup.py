@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.functions.clock import let
 from rollbook.functions.people import POST_START, classify, code_prefix, code_stem, person_key, same_post
 from rollbook.functions.text import match_key
-from rollbook.keyed import first_rows
+from rollbook.keyed import first_rows, with_value
 
 BY = ("school_id",)
-_NULL = F.lit(None).cast("string")
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _blank(c: str) -> Column:
@@ -29,8 +31,17 @@ def _shared_slot() -> Column:
 
 
 def _parsed(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    out = rows.withColumn("p", classify(F.col("name"))).withColumn("kind", F.col("p.kind"))
-    return out.withColumn("person", F.when(F.col("kind") == "person", person_key(F.col("p.name"))))
+    """Add p: kind, name, code, designation of the record's text, its person key, and its code's prefix and stem."""
+
+    def details(p: Column) -> Column:
+        person = F.when(p["kind"] == "person", person_key(p["name"]))
+        return F.struct(
+            p["kind"].alias("kind"), p["name"].alias("name"), p["code"].alias("code"), p["designation"].alias("designation"),
+            person.alias("person"), code_prefix(p["code"]).alias("prefix"), code_stem(p["code"]).alias("stem"),
+        )
+
+    out = with_value(rows, "p", let(classify(F.col("name")), details))
+    return out.withColumn("kind", F.col("p.kind")).withColumn("person", F.col("p.person"))
 
 
 def _persons(parsed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -51,26 +62,38 @@ def _persons(parsed: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _post_holders(parsed: DataFrame, codes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """For each distinct (prefix, stem) of the code records: how its person holders look (first, last)."""
-    people = parsed.filter("kind = 'person'")
-    held = people.select(*by, "person", F.explode(F.array_compact(F.array(_blank("code"), F.col("p.code")))).alias("c"))
-    held = held.select(*by, "person", code_prefix(F.col("c")).alias("own_prefix"), code_stem(F.col("c")).alias("own_stem")).filter(F.col("own_prefix").isNotNull())
+def _posts(parsed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The code records folded to distinct posts (prefix, stem): the persons holding such a code (first, last), and
+    the record that stands for the post's group.
+
+    A group is named by the shortest stem (2+ letters) under the prefix that starts the stem. Everything after the
+    fold works on the vocabulary of posts, so a code entered very often is one row."""
+    posts = _codes(parsed).groupBy(*by, "prefix", "stem").agg(F.min(F.struct(*_keeper_order())).alias("best")).withColumn("block", F.substring("stem", 1, 2))
+
+    own = let(_blank("code"), lambda c: F.struct(code_prefix(c).alias("own_prefix"), code_stem(c).alias("own_stem")))
+    printed = F.struct(F.col("p.prefix").alias("own_prefix"), F.col("p.stem").alias("own_stem"))
+    held = parsed.filter("kind = 'person'").select(*by, "person", F.explode(F.array(own, printed)).alias("c"))
+    held = held.select(*by, "person", "c.own_prefix", "c.own_stem").filter(F.col("own_prefix").isNotNull())
     held = held.groupBy(*by, "own_prefix", "own_stem").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
-    held = held.withColumn("prefix", F.col("own_prefix")).withColumn("block", F.substring("own_stem", 1, 2))
-    asked = codes.select(*by, "prefix", "stem").distinct().withColumn("block", F.substring("stem", 1, 2))
-    match = asked.join(held, [*by, "prefix", "block"]).filter(same_post(F.col("prefix"), F.col("stem"), F.col("own_prefix"), F.col("own_stem")))
-    return match.groupBy(*by, "prefix", "stem").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    held = held.withColumn("prefix", F.col("own_prefix")).withColumn("block", F.substring("own_stem", 1, 2)).withColumn("rep", F.lit(None).cast("string"))
+
+    short = posts.filter((F.length("stem") >= 2) & (F.col("prefix") != "")).select(*by, "prefix", "block", F.col("stem").alias("rep"))
+    other = held.select(*by, "prefix", "block", "own_stem", "lo", "hi", "rep").unionByName(short, allowMissingColumns=True)
+    same = same_post(F.col("prefix"), F.col("stem"), F.col("prefix"), F.col("own_stem"))
+    fits = F.when(F.col("rep").isNull(), same).otherwise(F.startswith("stem", "rep"))
+    pairs = posts.join(other, [*by, "prefix", "block"], "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    out = pairs.groupBy(*by, "prefix", "stem").agg(
+        F.min("best").alias("best"), F.min(F.when(F.col("_fits"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("_fits"), F.col("hi"))).alias("hi"),
+        F.min_by("rep", F.when(F.col("_fits") & F.col("rep").isNotNull(), F.struct(F.length("rep"), F.col("rep")))).alias("rep"),
+    )
+    out = out.withColumn("rep", F.coalesce("rep", "stem")).withColumn("one", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)))
+    group = Window.partitionBy(*by, "prefix", "rep", "one")
+    return out.withColumn("group_id", F.min("best").over(group)["teacher_id"]).select(*by, "prefix", "stem", "lo", "one", "group_id")
 
 
-def _representatives(codes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The shortest stem (2+ letters) under the same prefix that starts a stem stands for its group."""
-    stems = codes.select(*by, "prefix", "stem").distinct()
-    long = stems.withColumn("block", F.substring("stem", 1, 2))
-    short = long.filter(F.length("stem") >= 2).select(*by, "prefix", "block", F.col("stem").alias("rep"))
-    pairs = long.join(short, [*by, "prefix", "block"]).filter(F.startswith("stem", "rep"))
-    best = pairs.groupBy(*by, "prefix", "stem").agg(F.min_by("rep", F.struct(F.length("rep"), F.col("rep"))).alias("rep"))
-    return stems.join(best, [*by, "prefix", "stem"], "left").withColumn("rep", F.coalesce("rep", "stem"))
+def _codes(parsed: DataFrame) -> DataFrame:
+    rows = parsed.filter(F.col("kind") == "code").filter(~_shared_slot())
+    return rows.withColumn("prefix", F.coalesce("p.prefix", F.lit(""))).withColumn("stem", F.coalesce("p.stem", "p.code"))
 
 
 def plan_cleanup(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -95,18 +118,14 @@ def plan_cleanup(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
     code_rows = parsed.filter("kind = 'code'")
     shared = code_rows.filter(_shared_slot()).select(*by, "teacher_id", F.lit("keep").alias("action"), F.lit(None).cast("bigint").alias("keep_id"), F.lit("two teachers share this slot").alias("reason"))
-    lone = code_rows.filter(~_shared_slot()).withColumn("prefix", F.coalesce(code_prefix(F.col("p.code")), F.lit(""))).withColumn("stem", F.coalesce(code_stem(F.col("p.code")), F.col("p.code")))
-    lone = lone.join(_post_holders(parsed, lone, by), [*by, "prefix", "stem"], "left")
-    held = lone.filter(F.col("lo") == F.col("hi")).withColumn("person", F.col("lo")).join(persons.select(*by, "person", "keep_id"), [*by, "person"])
-    held = held.select(*by, "teacher_id", F.lit("merge").alias("action"), "keep_id", F.lit("code of one person").alias("reason"))
 
-    left = lone.filter(F.col("lo").isNull() | (F.col("lo") != F.col("hi"))).join(_representatives(lone, by), [*by, "prefix", "stem"])
-    left = left.select(*by, "teacher_id", "name", "refs", "has_user", "prefix", "rep", F.col("lo").isNotNull().alias("many"))
-    group = left.groupBy(*by, "prefix", "rep").agg(F.min_by("teacher_id", F.struct(*_keeper_order())).alias("keep_id"))
-    left = left.join(group, [*by, "prefix", "rep"])
-    why = F.when(F.col("many"), F.lit("code matches several people")).otherwise(F.lit("same code"))
-    left = left.select(*by, "teacher_id", F.when(F.col("teacher_id") == F.col("keep_id"), F.lit("primary")).otherwise(F.lit("merge")).alias("action"), "keep_id", why.alias("reason"))
-    return noise.unionByName(person_rows).unionByName(shared).unionByName(held).unionByName(left)
+    lone = _codes(parsed).select(*by, "teacher_id", "prefix", "stem").join(_posts(parsed, by), [*by, "prefix", "stem"])
+    holder = persons.select(*by, F.col("person").alias("lo"), F.col("keep_id").alias("_holder"))
+    lone = lone.join(holder, [*by, "lo"], "left")
+    keep = F.when(F.col("one"), F.col("_holder")).otherwise(F.col("group_id"))
+    why = F.when(F.col("one"), F.lit("code of one person")).when(F.col("lo").isNotNull(), F.lit("code matches several people")).otherwise(F.lit("same code"))
+    lone = lone.select(*by, "teacher_id", F.when(F.col("teacher_id") == keep, F.lit("primary")).otherwise(F.lit("merge")).alias("action"), keep.alias("keep_id"), why.alias("reason"))
+    return noise.unionByName(person_rows).unionByName(shared).unionByName(lone)
 
 
 def cleanup_targets(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -138,11 +157,11 @@ def apply_to_fact(fact: DataFrame, plan: DataFrame, by: Sequence[str] = BY, uniq
     out = fact.join(moves, [*by, "teacher_id"], "left")
     if not unique:
         return out.withColumn("teacher_id", F.coalesce("_to", "teacher_id")).select(*fact.columns)
-    own = out.filter(F.col("_to").isNull()).select(*fact.columns)
-    moved = out.filter(F.col("_to").isNotNull()).withColumn("teacher_id", F.col("_to")).select(*fact.columns)
-    key = [*by, "teacher_id", *unique]
-    kept = first_rows(moved, key, F.col(order)).join(own.select(*key).distinct(), key, "left_anti")
-    return own.unionByName(kept.select(*fact.columns))
+    moved = F.col("_to").isNotNull()
+    out = out.withColumn("_moved", moved).withColumn("teacher_id", F.coalesce("_to", "teacher_id"))
+    # the key is unique in the stored fact, so a group holds one row per merged record at most
+    w = Window.partitionBy(*by, "teacher_id", *unique).orderBy("_moved", order)
+    return out.withColumn("_rank", F.row_number().over(w)).filter(~F.col("_moved") | (F.col("_rank") == 1)).select(*fact.columns)
 
 
 def apply_to_directory(rows: DataFrame, plan: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -164,12 +183,12 @@ def create_people(names: DataFrame, resolved: DataFrame, printed: DataFrame | No
 
     `names` carries (by, raw, seq); the first spelling by seq names the person."""
     new = resolved.filter(F.col("is_new") & F.col("teacher_id").isNull()).select(*by, "raw")
-    rows = names.join(new, [*by, "raw"]).withColumn("p", classify(F.col("raw"))).filter("p.kind <> 'garbage'")
+    rows = with_value(names.join(new, [*by, "raw"]), "p", classify(F.col("raw"))).filter("p.kind <> 'garbage'")
     if printed is not None:
         first = printed.groupBy(*by, F.trim("raw").alias("raw")).agg(F.min("designation").alias("_printed"))
         rows = rows.join(first, [*by, "raw"], "left")
     else:
-        rows = rows.withColumn("_printed", _NULL)
+        rows = rows.withColumn("_printed", _null())
     is_code = F.coalesce(F.col("_printed").rlike(POST_START), F.lit(False))
     rows = rows.withColumn("key", match_key(F.col("p.name")))
     rows = rows.withColumn("code", F.coalesce("p.code", F.when(is_code, F.col("_printed"))))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.clock import let
 from rollbook.functions.people import CODE_LIKE, classify, code_prefix, code_stem, same_post, username_base
 from rollbook.functions.text import look_alike, match_key
-from rollbook.keyed import first_rows, numbered, running_last
+from rollbook.keyed import first_rows, numbered, running_last, with_value
 
 BY = ("school_id",)
 MAX_HOPS = 5
@@ -121,7 +121,7 @@ def deletions(s: Column, k: int) -> Column:
 
 def fuzzy_resolve(names: DataFrame, people: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """J11 (opt-in): names with a key of 6+ letters to the only person within one edit (two from 12 letters on)."""
-    asked = names.select(*by, "raw", match_key(F.col("raw")).alias("q")).filter(F.length("q") >= 6)
+    asked = with_value(names.select(*by, "raw"), "q", match_key(F.col("raw"))).filter(F.length("q") >= 6)
     q = asked.select(*by, "q", F.when(F.length("q") >= 12, 2).otherwise(1).alias("radius")).distinct()
     words = F.concat(F.array(match_key(F.col("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), match_key))
     owners = people.filter("active").select(*by, "teacher_id", F.explode(words).alias("d")).filter(F.length("d") >= 6)
@@ -146,7 +146,7 @@ def suggest_names(uses: DataFrame, resolved: DataFrame, mapping: DataFrame, peop
     times as often) or a directory entry that differs by look-alike characters or, for names, by one letter.
 
     Codes must match exactly after folding. Nearest first, then the more used, then label order."""
-    u = uses.withColumn("key", look_alike(F.col("name"))).filter(F.length("key") >= 4).withColumn("code_like", F.col("name").rlike(CODE_LIKE))
+    u = with_value(uses, "key", look_alike(F.col("name"))).filter(F.length("key") >= 4).withColumn("code_like", F.col("name").rlike(CODE_LIKE))
     open_names = resolved.filter(F.col("teacher_id").isNull()).select(*by, F.col("raw").alias("name"))
     asked = u.join(open_names, [*by, "name"], "left_semi").join(mapping.select(*by, F.trim("raw").alias("name")), [*by, "name"], "left_anti")
     asked = asked.select(*by, "name", F.col("uses").alias("n"), F.col("key").alias("a"), F.col("code_like").alias("asked_code"))
@@ -173,13 +173,16 @@ def suggest_by_code(names: DataFrame, people: DataFrame, by: Sequence[str] = BY)
     """A printed post code that abbreviates the code of exactly one person.
 
     Joined on prefix and the first two stem letters: the shorter stem must have two and start the longer."""
-    parsed = names.select(*by, F.col("raw").alias("name"), classify(F.col("raw")).alias("p")).filter(F.col("p.kind") == "code")
-    parsed = parsed.select(*by, "name", code_prefix(F.col("p.code")).alias("prefix"), code_stem(F.col("p.code")).alias("stem")).filter(F.col("prefix").isNotNull())
+    def post(c: Column) -> Column:
+        return F.struct(code_prefix(c).alias("prefix"), code_stem(c).alias("stem"))
+
+    parsed = with_value(names.select(*by, F.col("raw").alias("name")), "p", let(classify(F.col("name")), lambda p: F.when(p["kind"] == "code", post(p["code"]))))
+    parsed = parsed.select(*by, "name", "p.prefix", "p.stem").filter(F.col("prefix").isNotNull())
     posts = parsed.select(*by, "prefix", "stem").distinct().withColumn("block", F.substring("stem", 1, 2))
 
     words = F.array_compact(F.concat(F.array("code"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    held = people.filter("active").select(*by, "teacher_id", F.explode(words).alias("c"))
-    held = held.select(*by, "teacher_id", code_prefix(F.col("c")).alias("own_prefix"), code_stem(F.col("c")).alias("own_stem")).filter(F.col("own_prefix").isNotNull())
+    held = people.filter("active").select(*by, "teacher_id", F.explode(F.transform(words, post)).alias("c"))
+    held = held.select(*by, "teacher_id", F.col("c.prefix").alias("own_prefix"), F.col("c.stem").alias("own_stem")).filter(F.col("own_prefix").isNotNull())
     held = held.groupBy(*by, "own_prefix", "own_stem").agg(F.min("teacher_id").alias("lo"), F.max("teacher_id").alias("hi"))
     held = held.withColumn("prefix", F.col("own_prefix")).withColumn("block", F.substring("own_stem", 1, 2))
 
@@ -196,7 +199,7 @@ def suggest_by_code(names: DataFrame, people: DataFrame, by: Sequence[str] = BY)
 def spelling_map(values: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """(by, spelling, canonical): spellings of one folded key (3+ characters) to the most used, then longest one."""
     pool = values.select(*by, F.trim("spelling").alias("spelling")).filter(F.col("spelling") != "").groupBy(*by, "spelling").agg(F.count(F.lit(1)).alias("n"))
-    pool = pool.withColumn("key", look_alike(F.col("spelling"))).filter(F.length("key") >= 3)
+    pool = with_value(pool, "key", look_alike(F.col("spelling"))).filter(F.length("key") >= 3)
     best = pool.groupBy(*by, "key").agg(F.min_by("spelling", F.struct(-F.col("n"), -F.length("spelling"), F.col("spelling"))).alias("canonical"))
     return pool.join(best, [*by, "key"]).filter(F.col("spelling") != F.col("canonical")).select(*by, "spelling", "canonical")
 

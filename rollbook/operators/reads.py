@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.clock import class_label, lookup
 from rollbook.functions.people import classify
 from rollbook.functions.text import class_rank, normalize_class
-from rollbook.keyed import first_rows
+from rollbook.keyed import first_rows, with_value
 
 BY = ("school_id",)
 
@@ -137,7 +137,7 @@ def combined_field_filter(teachers: DataFrame, term: str, show_inactive: bool =
 
 def roster_pool(teachers: DataFrame, exclude: DataFrame | None = None, by: Sequence[str] = BY) -> DataFrame:
     """Active people (no codes or heading text), minus the excluded."""
-    out = teachers.filter("active").filter(classify(F.col("name"))["kind"] == "person")
+    out = with_value(teachers.filter("active"), "_kind", classify(F.col("name"))["kind"]).filter("_kind = 'person'").drop("_kind")
     return out if exclude is None else out.join(exclude.select(*by, "teacher_id"), [*by, "teacher_id"], "left_anti")
 
 

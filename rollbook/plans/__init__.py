@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "conflicts", "aggregates", "text", "people"]
+MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality"]
 
 
 def load_all() -> None:
