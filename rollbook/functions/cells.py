@@ -68,7 +68,7 @@ def split_cell(raw_lines: Column) -> Column:
             name = F.regexp_extract(j, INLINE_NAME, 0)
             parts = F.split(j, _DASH)
             return (
-                F.when(F.size(found) > 0, result(strip_edges(rest), F.array_join(F.transform(found, F.trim), " / "), repaired))
+                F.when(F.size(found) > 0, result(strip_edges(rest), F.array_join(F.transform(found, lambda x: F.trim(x)), " / "), repaired))
                 .when((F.size(lines) >= 2) & is_teacherish(last), result(strip_edges(head), strip_edges(last), repaired))
                 .when((F.size(lines) == 2) & is_teacherish(first) & ~is_teacherish(second), result(strip_edges(second), strip_edges(first), repaired))
                 .when(code != "", result(strip_edges(F.replace(j, code, F.lit(" "))), strip_edges(code), repaired))

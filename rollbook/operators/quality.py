@@ -17,6 +17,8 @@ from rollbook.functions.people import classify
 from rollbook.functions.text import match_key, normalize_class
 from rollbook.keyed import first_rows, later_rows, with_value
 from rollbook.operators import conflicts as C
+from rollbook.operators.identity import resolve_names
+from rollbook.session import cut_lineage
 
 BY = ("school_id", "draft_id")
 
@@ -47,6 +49,11 @@ def _flag(df: DataFrame, scope: str, severity: str, code: str, by: Sequence[str]
 # ---------------------------------------------------------------- names
 
 
+def resolve_once(names: DataFrame, people: DataFrame, mapping: DataFrame | None = None, by: Sequence[str] = ("school_id",)) -> DataFrame:
+    """Resolved distinct names, checkpointed: a dozen rules read them, and they are far fewer than the rows."""
+    return cut_lineage(resolve_names(names, people, mapping, by))
+
+
 def with_person(df: DataFrame, resolved: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Add teacher_id and is_new of the printed name (resolved: by, raw, teacher_id, is_new)."""
     side = resolved.select(*by, F.col("raw").alias("_name"), "teacher_id", "is_new")

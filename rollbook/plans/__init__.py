@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality"]
+MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality", "lifecycle"]
 
 
 def load_all() -> None:

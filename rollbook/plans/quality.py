@@ -44,7 +44,7 @@ _PREP = _with("f_draft_period", "pp", f", {_class('v.class_name')} AS cn, {_min(
 def _resolved(t):
     names = I.distinct_names([f.select("school_id", "teacher_name") for f in named_facts(t)], SCHOOL)
     mapping = t.sql(f"SELECT DISTINCT school_id, '{_NEW}' AS raw, 'NEW' AS target FROM f_teacher")
-    return I.resolve_names(names, people(t), mapping)
+    return Q.resolve_once(names, people(t), mapping)
 
 
 def _prepared(t):
