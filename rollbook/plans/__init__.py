@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality", "lifecycle"]
+MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality", "lifecycle", "layout", "roster"]
 
 
 def load_all() -> None:
