@@ -15,6 +15,7 @@ from rollbook.functions import text as X
 from rollbook.functions.cells import split_cell
 from rollbook.functions.people import classify
 from rollbook.keyed import running_last, with_value
+from rollbook.session import cut_lineage
 
 PAGE = ("page_id",)
 
@@ -320,28 +321,32 @@ def cells_to_periods(cells: DataFrame, columns: DataFrame, labels: DataFrame, ke
 
 
 def read_timetables(words: DataFrame, page: Sequence[str] = PAGE, from_text: bool = True) -> DataFrame:
-    """W2-W5 in a row: class timetables with days as rows, from words to period records."""
-    lined = build_lines(words, page)
+    """W2-W5 in a row: class timetables with days as rows, from words to period records.
+
+    Lines, row labels and columns are each used several times further down, so they are checkpointed."""
+    lined = cut_lineage(build_lines(words, page))
     heads = find_headings(line_table(lined, page), page)
     keys = [*page, "section_no"]
     info = heads.filter(~F.col("is_heading")).select(*page, "line_no", "section_no", "class_name", "section")
-    rows = lined.join(info, [*page, "line_no"])
+    rows = cut_lineage(lined.join(info, [*page, "line_no"]))
+    info = rows.select(*keys, "class_name", "section").distinct()
     day = with_value(rows.filter("word_no <= 2"), "day", F.coalesce(X.normalize_day(_bare()), F.lit(""))).filter("day <> ''")
     labels = day.groupBy(*keys, "line_no").agg(F.min_by("day", "word_no").alias("day"), F.min_by("x1", "word_no").alias("label_x1"))
     mid = rows.groupBy(*keys, "line_no").agg(F.avg("yc").alias("yc"))
     labels = labels.join(mid, [*keys, "line_no"]).withColumn("row_no", (F.row_number().over(Window.partitionBy(*keys).orderBy("line_no")) - 1).cast("int"))
+    labels = cut_lineage(labels)
     edge = labels.groupBy(*keys).agg(F.min("line_no").alias("_first"), F.max("label_x1").alias("_xmin"), F.max("yc").alias("_last"), F.count(F.lit(1)).alias("_rows"))
     edge = edge.filter("_rows >= 2").drop("_rows")
     head = rows.join(edge, keys).filter(F.col("line_no") < F.col("_first")).drop("_xmin", "_last", "_first")
     # the head ends at the last line with times or period marks; what follows belongs to the first row
     marked = period_tokens(head, keys).filter(F.col("number").isNotNull() | F.col("is_break") | F.col("range").isNotNull())
-    head = head.join(marked.groupBy(*keys).agg(F.max("line_no").alias("_end")), keys).filter(F.col("line_no") <= F.col("_end")).drop("_end")
-    columns = detect_columns(head, keys)
+    head = cut_lineage(head.join(marked.groupBy(*keys).agg(F.max("line_no").alias("_end")), keys).filter(F.col("line_no") <= F.col("_end")).drop("_end"))
+    columns = cut_lineage(detect_columns(head, keys))
     bottom = head.groupBy(*keys).agg(F.max("y1").alias("_top"))
     body = rows.join(edge, keys).join(bottom, keys).filter((_yc() >= F.col("_top")) & (_xc() > F.col("_xmin"))).drop("_first", "_xmin", "_last", "_top")
     cells = assign_cells(body, columns, labels, keys)
     periods = cells_to_periods(cells, columns, labels, keys, from_text)
-    return periods.join(info.select(*keys, "class_name", "section").distinct(), keys)
+    return periods.join(info, keys)
 
 
 # ---------------------------------------------------------------- ruled tables: W6, W7

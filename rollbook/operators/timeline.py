@@ -52,8 +52,9 @@ def day_status(blocks: DataFrame, now: Column, by: Sequence[str] = BY) -> DataFr
     ahead = F.col("start_min") > now
     packed = F.struct("label", "start_min", "end_min")
     g = blocks.groupBy(*by, "teacher_id").agg(
-        F.min_by(packed, F.when(inside, order)).alias("cur"), F.min_by(packed, F.when(ahead, order)).alias("nxt")
+        F.min_by(packed, F.when(inside, order)).alias("cur"), F.min_by(packed, F.when(ahead, order)).alias("nxt"), F.max(now).alias("now")
     )
+    now = F.col("now")
     has_cur, has_nxt = F.col("cur").isNotNull(), F.col("nxt").isNotNull()
     return g.select(
         *by, "teacher_id",

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality", "lifecycle", "layout", "roster"]
+MODULES = ["reads", "conflicts", "aggregates", "text", "people", "quality", "lifecycle", "layout", "roster", "logs"]
 
 
 def load_all() -> None:
