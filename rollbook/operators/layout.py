@@ -224,7 +224,7 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Time ranges are the columns where there are at least three and as many as period marks; marks are then attached to
     the nearest range. Otherwise the marks are the columns and take the nearest range. Missing numbers are filled, and
-    a gap between two periods becomes a break."""
+    a gap between two periods becomes a break. A head with a single column is no table."""
     tokens = period_tokens(header, keys)
     marks = tokens.filter(F.col("number").isNotNull() | F.col("is_break"))
     w = Window.partitionBy(*keys).orderBy("xc", "line_no")
@@ -275,7 +275,7 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     gaps = infer_breaks(timed, keys).select(
         *keys, "xc", F.lit(True).alias("is_break"), F.lit(None).cast("int").alias("number"), clock("start_min").alias("start_time"), clock("end_min").alias("end_time"), F.lit(True).alias("inferred")
     )
-    out = cols.unionByName(gaps)
+    out = cols.unionByName(gaps).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n >= 2").drop("_n")
     return out.withColumn("col_no", (F.row_number().over(Window.partitionBy(*keys).orderBy("xc")) - 1).cast("int"))
 
 

@@ -192,7 +192,7 @@ def sheet_words(t) -> DataFrame:
 
 
 _SHEET = """cells AS (SELECT * FROM f_period WHERE NOT is_break QUALIFY row_number() OVER (PARTITION BY school_id, version, class_name, section, day_idx, slot ORDER BY seq DESC) = 1),
- pg AS (SELECT school_id, version, class_name, section FROM f_period GROUP BY ALL HAVING count(DISTINCT day_idx) >= 2 AND count(DISTINCT slot) >= 3),
+ pg AS (SELECT school_id, version, class_name, section FROM f_period GROUP BY ALL HAVING count(DISTINCT day_idx) >= 2 AND count(DISTINCT slot) >= 2),
  hd AS (SELECT school_id, version, class_name, section, slot, arg_min(start_min, seq) AS s FROM f_period GROUP BY ALL)"""
 
 
