@@ -235,6 +235,7 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     pack_r = F.array_sort(F.collect_list(F.struct("xc", F.col("range.start").alias("s"), F.col("range.end").alias("e"))))
     both = marks.groupBy(*keys).agg(pack_m.alias("m")).join(ranges.groupBy(*keys).agg(pack_r.alias("r")), list(keys), "full")
     both = both.withColumn("m", F.coalesce("m", F.array().cast("array<struct<xc:double,number:int,is_break:boolean>>"))).withColumn("r", F.coalesce("r", F.array().cast("array<struct<xc:double,s:string,e:string>>")))
+    both = cut_lineage(both)  # one small row per table, used several times below
     n_marks = F.size(F.filter("m", lambda x: ~x["is_break"]))
     by_range = ((F.size("r") >= 3) & (F.size("r") >= n_marks)) | ((n_marks < 2) & (F.size("r") >= 2))
 
@@ -264,6 +265,7 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     times = F.when(F.col("by_range"), F.struct(own_r["s"].alias("s"), own_r["e"].alias("e"))).otherwise(F.struct(F.get("_r", F.lit(0))["o"]["s"].alias("s"), F.get("_r", F.lit(0))["o"]["e"].alias("e")))
     cols = base.select(*keys, "xc", "by_range", is_break.alias("is_break"), F.when(~is_break, number).alias("number"), times["s"].alias("start_time"), times["e"].alias("end_time"))
 
+    cols = cut_lineage(cols)
     periods = fill_period_numbers(cols.filter(~F.col("is_break")), keys, "xc")
     periods = periods.withColumn("number", F.when(F.col("by_range"), F.col("filled")).otherwise(F.col("number"))).drop("filled")
     cols = periods.unionByName(cols.filter("is_break")).drop("by_range").withColumn("inferred", F.lit(False))
