@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
 
     Equal sets become one node first, so copies cost nothing further. In a bucket, members are compared with a leader
     (the node in the most and largest buckets), not with each other; members that do not end in one component go on to
-    rounds with twice as many leaders, so that in the end every two members of a bucket were compared or are connected.
+    rounds with eight times as many leaders, so that in the end every two members of a bucket were compared or are connected.
 
     Null text or a text without words: empty set, own component. Null doc_id: component_id null, kept, not compared.
     Rows that share a doc_id are one document with the links of all their texts. No rows: no rows. Other columns are ignored."""
@@ -156,11 +156,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     sigs = cut_lineage(reps.join(near, "node", "left_semi").select("node", "sig"))
     texts = cut_lineage(docs.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
 
-    links, done, comps = None, None, None
+    done, comps = None, None
     leaders_each = 1
-    while open_.limit(1).count():
+    while not open_.isEmpty():
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
-        leaders = open_.withColumn("rank", rank).where(F.col("rank") <= leaders_each).select("key", F.col("node").alias("lead"), F.col("score").alias("lead_score"))
+        leaders = cut_lineage(open_.withColumn("rank", rank).where(F.col("rank") <= leaders_each).select("key", F.col("node").alias("lead"), F.col("score").alias("lead_score")))
         # of two leaders, the one that stands later is the member
         pairs = open_.join(leaders, "key").where("score < lead_score OR (score = lead_score AND node > lead)").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
         if comps is not None:
@@ -171,21 +171,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
         sa, sb = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
         likely = pairs.join(sa, "a").join(sb, "b").mapInArrow(_prune(percent / 100, miss), "a long, b long").distinct()
         ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
-        found = cut_lineage(likely.join(ta, "a").join(tb, "b").mapInArrow(_verify(size, percent), "a long, b long"))
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        rest = open_.join(leaders.withColumnRenamed("lead", "node").select("key", "node"), ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        found = likely.join(ta, "a").join(tb, "b").mapInArrow(_verify(size, percent), "a long, b long")
+        comps = cut_lineage(components(found if comps is None else found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        rest = open_.join(leaders.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
         split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
         open_ = cut_lineage(rest.join(split, "key", "left_semi").select("key", "node", "score"))
-        leaders_each *= 2
+        leaders_each *= 8
 
     of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     if comps is not None:
         # all texts of one doc_id are one document
         tied = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-        several = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-        tied = tied.join(several.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-        comps = components(links.unionByName(tied))
+        several = cut_lineage(members.groupBy(F.col("doc_id").alias("a")).agg(F.count("*").alias("n")).where("n > 1"))
+        if not several.isEmpty():
+            tied = tied.join(several, "a", "left_semi").unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            comps = components(tied)
         of = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     else:
         of = of.withColumnRenamed("rep", "component")

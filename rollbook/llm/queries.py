@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from rollbook.llm import decontaminate, language, packing
 from rollbook.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +32,27 @@ def query(name: str, sql: str | None = None):
 @query("op8_minhash_near_dedup")
 def op8(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query("op4_cross_parsing_language")
+def op4(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    samples = language.fit(docs.where(~held))
+    return language.identify(docs, samples).withColumn("held_out", held)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_dominance_best_fit")
+def op9(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
+@query("op3_pigeonhole_decontamination")
+def op3(spark, sf_dir):
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
