@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.session import cut_lineage
@@ -30,3 +32,31 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut_lineage(small.select(F.col("u"), F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
     nodes = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def link_buckets(open_: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, component) of the nodes that links tie, or None without buckets, where open_ is (key, node, score) and `linked`
+    keeps of candidate pairs (a > b) those that are links.
+
+    In a bucket, members are compared with a leader (the best score), not with each other; members that do not end in one
+    component go on to rounds with eight times as many leaders, so that in the end every two members of a bucket were
+    compared or are connected."""
+    done, comps = None, None
+    leaders_each = 1
+    while not open_.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
+        leaders = cut_lineage(open_.withColumn("rank", rank).where(F.col("rank") <= leaders_each).select("key", F.col("node").alias("lead"), F.col("score").alias("lead_score")))
+        # of two leaders, the one that stands later is the member
+        pairs = open_.join(leaders, "key").where("score < lead_score OR (score = lead_score AND node > lead)").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+        if comps is not None:
+            ca, cb = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
+            pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        done = pairs if done is None else done.unionByName(pairs)
+        found = linked(pairs)
+        comps = cut_lineage(components(found if comps is None else found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        rest = open_.join(leaders.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        open_ = cut_lineage(rest.join(split, "key", "left_semi").select("key", "node", "score"))
+        leaders_each *= 8
+    return comps

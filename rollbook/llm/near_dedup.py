@@ -8,10 +8,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.graph import components
+from rollbook.llm.graph import components, link_buckets
 from rollbook.llm.hashing import Words, mix, ragged, slices
 from rollbook.session import cut_lineage
 
@@ -156,27 +156,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     sigs = cut_lineage(reps.join(near, "node", "left_semi").select("node", "sig"))
     texts = cut_lineage(docs.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
 
-    done, comps = None, None
-    leaders_each = 1
-    while not open_.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
-        leaders = cut_lineage(open_.withColumn("rank", rank).where(F.col("rank") <= leaders_each).select("key", F.col("node").alias("lead"), F.col("score").alias("lead_score")))
-        # of two leaders, the one that stands later is the member
-        pairs = open_.join(leaders, "key").where("score < lead_score OR (score = lead_score AND node > lead)").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        if comps is not None:
-            ca, cb = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-            pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
+    def linked(pairs: DataFrame) -> DataFrame:
         sa, sb = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
         likely = pairs.join(sa, "a").join(sb, "b").mapInArrow(_prune(percent / 100, miss), "a long, b long").distinct()
         ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
-        found = likely.join(ta, "a").join(tb, "b").mapInArrow(_verify(size, percent), "a long, b long")
-        comps = cut_lineage(components(found if comps is None else found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-        rest = open_.join(leaders.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        open_ = cut_lineage(rest.join(split, "key", "left_semi").select("key", "node", "score"))
-        leaders_each *= 8
+        return likely.join(ta, "a").join(tb, "b").mapInArrow(_verify(size, percent), "a long, b long")
+
+    comps = link_buckets(open_, linked)
 
     of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     if comps is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, language, packing
+from rollbook.llm import decontaminate, language, licences, line_dedup, packing
 from rollbook.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,33 @@ def op9(spark, sf_dir):
 @query("op3_pigeonhole_decontamination")
 def op3(spark, sf_dir):
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _licence_sql() -> str:
+    phrases = {**licences.BASE, **licences.MORE}
+    size = {p: len(p.split(" ")) for p in phrases}
+    longest = {label: max(size[p] for p in phrases if phrases[p] == label) for label in phrases.values()}
+    values = ", ".join(f"('{p}', '{label}', {str(p in licences.BASE).lower()}, {size[p]}, {longest[label]})" for p, label in phrases.items())
+    keys = ", ".join(f"'{w}'" for w in sorted({w for p in phrases for w in p.split(" ")} & licences.KEYS))
+    return r"""WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ m AS (SELECT doc_id, w, len(w) AS n, list_filter(range(1, len(w) + 1), lambda i: w[i] IN (KEYS)) AS near FROM w),
+ p AS (SELECT * FROM (VALUES PHRASES) AS t(phrase, label, base, size, longest)),
+ e AS (SELECT doc_id, w, unnest(near) AS i FROM m),
+ h AS (SELECT DISTINCT e.doc_id, p.*, s.start FROM e, p, LATERAL (SELECT unnest(range(greatest(0, i - size), i)) AS start) s WHERE array_to_string(w[start + 1 : start + size], ' ') = phrase),
+ a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+   list_sort(list_distinct(coalesce(list(label) FILTER (base), []))) AS b, list_sort(list_distinct(list(label))) AS l, max(size / longest) AS share FROM h GROUP BY doc_id)
+SELECT m.doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+ coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM m LEFT JOIN a USING (doc_id)""".replace("PHRASES", values).replace("KEYS", keys)
+
+
+@query("op10_rare_token_licences", _licence_sql())
+def op10(spark, sf_dir):
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_simhash_line_dedup")
+def op1(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, percent=80)
