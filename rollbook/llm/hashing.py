@@ -38,7 +38,7 @@ def inverse_powers(n: int) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit (in place on a fresh array)."""
+    """A bijection of 64-bit values that spreads every bit ."""
     x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
