@@ -1,0 +1,35 @@
+"""Anchors of byte windows: the k-gram with the least hash among those of a window, so that equal windows have equal anchors."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from rollbook.llm.hashing import window_hashes
+
+
+def least_at(h: np.ndarray, width: int) -> np.ndarray:
+    """For each place, the index of the first smallest value among the `width` values from there on (len - width + 1 places)."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    # the last bits of a value give way to its place (texts are below 2^31 bytes), so that one minimum finds both
+    bits = np.uint64(31)
+    keyed = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    span = 1
+    while span * 2 <= width:
+        keyed = np.minimum(keyed[: len(keyed) - span], keyed[span:])
+        span *= 2
+    out = np.minimum(keyed[:n], keyed[width - span : width - span + n])
+    return (out & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def owned(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of `size` bytes by anchor: (place of each anchor, its k-gram hash, first window it owns, one past the last).
+
+    The windows of an anchor are neighbours; equal windows have the same anchor at the same distance."""
+    h = window_hashes(data, gram)
+    at = least_at(h, size - gram + 1)
+    if not len(at):
+        return at, np.zeros(0, np.uint64), at, at
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], h[at[first]], first, np.concatenate([first[1:], [len(at)]])
