@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, language, licences, line_dedup, packing, topk
+from rollbook.llm import decontaminate, language, licences, line_dedup, packing, repeats, topk
 from rollbook.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,18 @@ def op1(spark, sf_dir):
 def op6(spark, sf_dir):
     vectors = topk.scaled(_table(spark, sf_dir, "embeddings"), 256)
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query(
+    "op7_fixed_block_repeats",
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13),
+ h AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM g),
+ m AS (SELECT s, min(doc_id) AS least FROM h GROUP BY s HAVING count(*) > 1),
+ r AS (SELECT DISTINCT doc_id, i + j AS k FROM h JOIN m USING (s), (SELECT unnest(range(0, 13)) AS j) WHERE least < doc_id),
+ n AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id),
+ k AS (SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, list_transform(list_filter(range(1, len(w) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: w[i]) AS kept FROM w LEFT JOIN n USING (doc_id))
+ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
+)
+def op7(spark, sf_dir):
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), size=13).drop("text")
