@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, language, licences, line_dedup, packing, repeats, topk
+from rollbook.llm import decontaminate, language, licences, line_dedup, packing, pages, repeats, topk
 from rollbook.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ def op6(spark, sf_dir):
 )
 def op7(spark, sf_dir):
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), size=13).drop("text")
+
+
+@query("op2_host_suffix_extraction")
+def op2(spark, sf_dir):
+    return pages.main_text(_table(spark, sf_dir, "pages"))
