@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from rollbook.session import cut_lineage
 
 
+#: Rows of two numbers up to which a side of a join may be broadcast (about 24 MB); beyond, both sides are dealt by key.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(side: DataFrame, entries: str = "1") -> DataFrame:
+    """`side`, a checkpointed frame of numbers, marked for broadcast if its counted entries (an SQL expression per row) allow it."""
+    total = side.agg(F.coalesce(F.sum(F.expr(entries)), F.lit(0))).first()[0]
+    return F.broadcast(side) if total <= SMALL_ROWS else side
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b): the smallest node that it reaches.
 

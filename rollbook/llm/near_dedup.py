@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.graph import components, link_buckets
+from rollbook.llm.graph import components, if_small, link_buckets
 from rollbook.llm.hashing import Words, mix, ragged, slices
 from rollbook.session import cut_lineage
 
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     open_ = bands.join(crowded, "key")
     score = open_.groupBy("node").agg(F.sum("n").alias("score"))
     open_ = cut_lineage(open_.select("key", "node").join(score, "node"))
-    near = score.select("node")
+    near = if_small(cut_lineage(score.select("node")))
     sigs = cut_lineage(reps.join(near, "node", "left_semi").select("node", "sig"))
     texts = cut_lineage(docs.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
 
