@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, language, licences, line_dedup, packing, pages, repeats, topk
+from rollbook.llm import decontaminate, language, licences, line_dedup, packing, pages, repeats, substrings, topk
 from rollbook.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op7(spark, sf_dir):
 @query("op2_host_suffix_extraction")
 def op2(spark, sf_dir):
     return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
+@query("op5_lyndon_suffix_dedup")
+def op5(spark, sf_dir):
+    return substrings.remove_substrings(_table(spark, sf_dir, "documents"), size=400).drop("kept")
