@@ -55,22 +55,37 @@ def signatures(values: np.ndarray, first: np.ndarray, length: int = BANDS * ROWS
     return out
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two sums over each row's set that tell sets apart."""
+    sums = np.zeros((2, len(values) + 1), np.uint64)
+    np.cumsum(mix(values.copy()), out=sums[0, 1:])
+    np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
+    return (sums[:, first[1:]] - sums[:, first[:-1]]).view(np.int64)
+
+
+def _texts_of(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            values, first = shingle_sets(b.column("text"), size)
+            sums = _sums(values, first)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(first).astype(np.int64)), b.column("text")], ["node_a", "node_b", "n_shingles", "text"])
+
+    return run
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             values, first = shingle_sets(b.column("text"), size)
             sig = signatures(values, first)
-            sums = np.zeros((2, len(values) + 1), np.uint64)
-            np.cumsum(mix(values.copy()), out=sums[0, 1:])
-            np.cumsum(mix(values ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1, 1:])
-            sums = sums[:, first[1:]] - sums[:, first[:-1]]
+            sums = _sums(values, first)
             band = np.zeros((len(sig), BANDS), np.uint64)
             for j in range(ROWS):
                 band = mix(band * np.uint64(31) + sig[:, j::ROWS].astype(np.uint64) + np.uint64(1))
             band += np.arange(BANDS, dtype=np.uint64)  # equal rows in different bands must not meet
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS), pa.array(mix(band.ravel()).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), ragged(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1]), keys],
+                [b.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), ragged(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1]), keys],
                 ["doc_id", "n_shingles", "set_a", "set_b", "sig", "keys"],
             )
 
@@ -142,19 +157,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"
     told = cut_lineage(docs.mapInArrow(_describe(size), schema))
-    usable = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep").distinct()
-    own = sets.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles")
-    reps = usable.join(own, ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi").select(F.col("doc_id").alias("node"), "sig", "keys")
-    bands = reps.select("node", F.explode("keys").alias("key")).distinct()
-    crowded = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = bands.join(crowded, "key")
+    node = F.xxhash64("set_a", "set_b", "n_shingles").alias("node")
+    usable = told.where("n_shingles > 0 AND doc_id IS NOT NULL").select("*", node)
+    sets = cut_lineage(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    reps = usable.join(if_small(sets), ["node", "doc_id"], "left_semi")
+    bands = reps.select("node", F.explode("keys").alias("key"))
+    crowded = cut_lineage(bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n"))
+    open_ = cut_lineage(bands.join(if_small(crowded), "key").distinct())
     score = open_.groupBy("node").agg(F.sum("n").alias("score"))
-    open_ = cut_lineage(open_.select("key", "node").join(score, "node"))
-    near = if_small(cut_lineage(score.select("node")))
-    sigs = cut_lineage(reps.join(near, "node", "left_semi").select("node", "sig"))
-    texts = cut_lineage(docs.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct())
+    near = cut_lineage(score.join(sets, "node"))
+    open_ = cut_lineage(open_.select("key", "node").join(near.select("node", "score"), "node"))
+    sigs = cut_lineage(reps.join(if_small(near.select("node")), "node", "left_semi").select("node", "sig").dropDuplicates(["node"]))
+    # rows that share a doc_id may differ in text: each node takes the text whose set it is
+    texts = docs.join(if_small(near.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_texts_of(size), "node_a long, node_b long, n_shingles long, text string")
+    texts = texts.select(F.xxhash64("node_a", "node_b", "n_shingles").alias("node"), "text").dropDuplicates(["node"])
+    texts = cut_lineage(texts.join(if_small(near.select("node")), "node", "left_semi"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         sa, sb = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
@@ -164,16 +181,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
 
     comps = link_buckets(open_, linked)
 
-    of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    named = usable.select("doc_id", "node")
     if comps is not None:
-        # all texts of one doc_id are one document
-        tied = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-        several = cut_lineage(members.groupBy(F.col("doc_id").alias("a")).agg(F.count("*").alias("n")).where("n > 1"))
-        if not several.isEmpty():
-            tied = tied.join(several, "a", "left_semi").unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            comps = components(tied)
-        of = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    else:
-        of = of.withColumnRenamed("rep", "component")
-    out = told.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.least(F.coalesce("component", "doc_id"), "doc_id"))
+        named = named.join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
+    # all texts of one doc_id are one document: components that share a doc_id become one
+    shared = cut_lineage(named.distinct().groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("n > 1"))
+    if not shared.isEmpty():
+        ties = named.distinct().join(shared, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
+        named = named.join(components(ties), "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
+    least = named.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    of = named.distinct().join(least, "node").select("doc_id", "component_id")
+    out = told.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
