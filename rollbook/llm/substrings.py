@@ -108,7 +108,7 @@ def _arrays(table: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
 
 
-def _status(key, table):
+def _status(crowd: int, key, table):
     """For each batch, what it must know of its surroundings: whether they stand elsewhere as a whole (FULL), or share their anchor
     with others and are sent on (ASKED; FULL ones by one batch only), window by window if too many do (CROWDED)."""
     parts = _arrays(table, "anchor", np.uint64)
@@ -123,8 +123,8 @@ def _status(key, table):
     kinds_of = np.flatnonzero(np.concatenate([[True], a[first][1:] != a[first][:-1]]))
     kinds = np.repeat(np.diff(np.append(kinds_of, len(first))), np.diff(np.append(kinds_of, len(first))))
     flag = np.where(total[group] > 1, FULL, 0)
-    asked = (kinds[group] > 1) & (fresh | (kinds[group] > CROWD))
-    flag |= np.where(asked, ASKED, 0) | np.where(asked & (kinds[group] > CROWD), CROWDED, 0)
+    asked = (kinds[group] > 1) & (fresh | (kinds[group] > crowd))
+    flag |= np.where(asked, ASKED, 0) | np.where(asked & (kinds[group] > crowd), CROWDED, 0)
     out = np.zeros(len(a), np.uint8)
     out[order] = flag
     borders = np.cumsum([0, *size])
@@ -332,7 +332,7 @@ def _removed(size: int):
     return run
 
 
-def remove_substrings(docs: DataFrame, size: int = 400) -> DataFrame:
+def remove_substrings(docs: DataFrame, size: int = 400, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A byte goes if a string of `size` bytes over it starts in one more place of any row, the same row included; strings are judged
@@ -340,12 +340,12 @@ def remove_substrings(docs: DataFrame, size: int = 400) -> DataFrame:
 
     Null text is empty; so is what is shorter than `size`, as far as repeats go. Null or repeated doc_ids make no difference: every
     row is a text of its own. No rows: no rows. Other columns are ignored. Strings are compared by 64-bit hashes. An anchor with
-    more than 512 different surroundings is not sorted: its windows are dealt by their hashes, so that no task gets a crowd."""
+    more than `crowd` different surroundings is not sorted: its windows are dealt by their hashes, so that no task gets a crowd."""
     texts, buckets = dealt(docs, 0.2)
     anchors = texts.groupBy("batch").applyInArrow(_anchors(size, buckets), "bucket long, batch long, anchor binary, around binary, n binary")
-    status = anchors.groupBy("bucket").applyInArrow(_status, "batch long, kind long, a binary, b binary")
+    state, judge = partial(_status, crowd), partial(_judged, size)
+    status = anchors.groupBy("bucket").applyInArrow(lambda key, table: state(key, table), "batch long, kind long, a binary, b binary")
     sent = texts.groupBy("batch").cogroup(status.groupBy("batch")).applyInArrow(_surroundings(size, buckets), "bucket long, batch long, kind long, x binary, y binary")
-    judge = partial(_judged, size)
     judged = sent.groupBy("kind", "bucket").applyInArrow(lambda key, table: judge(key, table), "batch long, kind long, a binary, b binary")
     told = status.unionByName(judged)
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_removed(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
