@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from rollbook.llm.hashing import Words
 
 #: Bytes of text to a batch, and windows to a bucket of hashes.
-BATCH_BYTES, BUCKET_ROWS = 1 << 20, 1 << 20
+BATCH_BYTES, BUCKET_ROWS = 2 << 20, 4 << 20
 #: Bits of a block's hash inside its bucket. A chance hit costs a needless candidate, no wrong result.
-HASH_BITS = 29
+HASH_BITS = 26
 
 
 def dealt(docs: DataFrame, rows_per_byte: float) -> tuple[DataFrame, int]:
@@ -26,22 +26,26 @@ def dealt(docs: DataFrame, rows_per_byte: float) -> tuple[DataFrame, int]:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = max(4 * least, size // BATCH_BYTES)
-    buckets = max(2 * least, int(size * rows_per_byte) // BUCKET_ROWS)
+    batches = max(least, size // BATCH_BYTES)
+    buckets = max(least, int(size * rows_per_byte) // BUCKET_ROWS)
     return docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))), buckets
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Sorted values below 2^31 as 16-bit steps; 65535 means a step of so many without a value."""
+    """Sorted values below 2^31: as 16-bit steps (65535: so far on, and no value) if they are dense, else as they are."""
     step = np.diff(values, prepend=0)
     n = step // 65535 + 1
+    if n.sum() > 2 * len(values):
+        return b"\1" + values.astype(np.uint32).tobytes()
     out = np.full(n.sum(), 65535, np.uint16)
     out[np.cumsum(n) - 1] = step % 65535
-    return out.tobytes()
+    return b"\0" + out.tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    step = np.frombuffer(raw, np.uint16)
+    if raw[:1] == b"\1":
+        return np.frombuffer(raw, np.uint32, offset=1).astype(np.int64)
+    step = np.frombuffer(raw, np.uint16, offset=1)
     return np.cumsum(step, dtype=np.int64)[step != 65535]
 
 
@@ -96,10 +100,11 @@ def _shared(key, table):
     """For each batch, those of its probes that hit a block which another document has."""
     probes = [unpacked(x) for x in table.column("probes").to_pylist()]
     blocks = np.unique(np.concatenate([unpacked(x) for x in table.column("blocks").to_pylist()]))
-    values, n = np.unique(np.concatenate(probes), return_counts=True)
-    hit = values[n > 1]
-    hit = hit[np.isin(hit, blocks, assume_unique=True)]
-    mine = [np.unique(p[np.isin(p, hit)]) for p in probes]
+    all_probes = np.concatenate(probes)
+    values, where, n = np.unique(all_probes, return_inverse=True, return_counts=True)
+    hit = ((n > 1) & np.isin(values, blocks, assume_unique=True))[where]
+    borders = np.cumsum([0, *(len(p) for p in probes)])
+    mine = [np.unique(p[hit[a:z]]) for p, a, z in zip(probes, borders[:-1], borders[1:])]
     rows = [(b, packed(m)) for b, m in zip(table.column("batch").to_pylist(), mine) if len(m)]
     return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()), "batch": pa.array([r[0] for r in rows], pa.int64()), "hits": pa.array([r[1] for r in rows], pa.binary())})
 
