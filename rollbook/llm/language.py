@@ -49,7 +49,7 @@ def automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Automata of all languages as one table: row = state, column = symbol, value = next state * 2 + (a phrase ended here)."""
+    """Automata of all languages as one table: row = state, column = symbol, value = next state * 2 + (a phrase begins here)."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
@@ -64,7 +64,7 @@ class Parser:
             for c, to in states[0].items():
                 root[c] = to * 2 + 1
             table = np.tile(root, (len(states), 1))
-            for i, to in enumerate(states):
+            for i, to in enumerate(states[1:], 1):  # from the empty string, every symbol begins a phrase
                 for c, j in to.items():
                     table[i, c] = j * 2
             self.tables.append(table.ravel())
@@ -83,16 +83,15 @@ class Parser:
         out = np.zeros((len(size), len(self.langs)), np.int64)
         alive = [int(np.searchsorted(-length, -t, "left")) for t in range(PIECE)]  # pieces longer than t
         for k, table in enumerate(self.tables):
-            state, ended = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
+            state, begun = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
             for t in range(PIECE):
                 n = alive[t]
                 if not n:
                     break
                 step = table[state[:n] * self.width + symbols[start[:n] + t]]
-                ended[:n] += step & 1
+                begun[:n] += step & 1
                 state[:n] = step >> 1
-            ended[length == 0] = 0
-            out[:, k] = np.bincount(row, weights=ended, minlength=len(size))
+            out[:, k] = np.bincount(row, weights=begun, minlength=len(size))
         return out
 
 
