@@ -121,12 +121,11 @@ def slot_header(periods: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def timetable_grid(rows: DataFrame, slots: Sequence[int], by: Sequence[str] = BY) -> DataFrame:
     """One row per class-section and day, one column per slot with "subject / teacher"; the last row of a slot
-    counts. Slots are given, so no job looks for them."""
+    counts. Slots are given, so no job looks for them; `outside` counts the rows of other slots."""
     cell = F.when(F.col("is_break"), F.coalesce("label", F.lit("BREAK"))).otherwise(F.concat_ws(" / ", F.nullif("subject", F.lit("")), "teacher_name"))
-    grid = rows.withColumn("cell", cell).groupBy(*by, "class_name", "section", "day_idx").pivot("slot", list(slots)).agg(F.max_by("cell", "seq"))
-    for s in slots:
-        grid = grid.withColumnRenamed(str(s), f"slot_{s}")
-    return grid
+    columns = [F.max_by(F.when(F.col("slot") == s, F.col("cell")), F.when(F.col("slot") == s, F.col("seq"))).alias(f"slot_{s}") for s in slots]
+    outside = F.count_if(~F.coalesce(F.col("slot").isin(*slots), F.lit(False))).alias("outside")
+    return rows.withColumn("cell", cell).groupBy(*by, "class_name", "section", "day_idx").agg(*columns, outside)
 
 
 def who_teaches_what(periods: DataFrame, by: Sequence[str] = BY) -> DataFrame:

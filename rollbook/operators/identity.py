@@ -34,7 +34,8 @@ def follow_aliases(names: DataFrame, mapping: DataFrame, by: Sequence[str] = BY,
     """Follow "SAME:<other printed name>" answers for at most `depth` hops.
 
     Adds `name` (the printed name at the end of the chain) and `target` (its own answer, if any)."""
-    answers = mapping.select(*by, F.trim("raw").alias("name"), "target")
+    # one answer per trimmed text (the smallest, if several were given), so that no hop multiplies rows
+    answers = mapping.groupBy(*by, F.trim("raw").alias("name")).agg(F.min("target").alias("target"))
     out = names.withColumn("name", F.trim("raw")).join(answers, [*by, "name"], "left")
     for _ in range(depth):
         hop = F.startswith(F.coalesce("target", F.lit("")), F.lit("SAME:"))
@@ -262,7 +263,7 @@ def unique_usernames(people: DataFrame, users: DataFrame, by: Sequence[str] = BY
     rows = numbered(people.withColumn("base", username_base(F.col("name"))), [*by, "base"], ["name", "teacher_id"], "k")
 
     low = F.lower("username")
-    tails = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(F.left(F.lower("username"), F.length("username") - i).alias("base"), F.right(F.lower("username"), i).alias("tail")))
+    tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(18), F.greatest(F.lit(1), F.length("username")))), lambda i: F.struct(F.left(F.lower("username"), F.length("username") - i).alias("base"), F.right(F.lower("username"), i).alias("tail")))
     split = users.select(*by, F.explode(tails).alias("s")).select(*by, "s.base", "s.tail").filter(F.col("tail").rlike("^[1-9][0-9]*$") & (F.col("base") != ""))
     taken = users.select(*by, low.alias("base"), F.lit(1).cast("long").alias("idx")).unionByName(
         split.select(*by, "base", F.col("tail").cast("long").alias("idx")).filter("idx >= 2")

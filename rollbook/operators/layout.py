@@ -497,18 +497,20 @@ def names_in(c: Column, head: str) -> Column:
 
 
 def _in_block(lines: DataFrame, head: str, other: str, page: Sequence[str]) -> DataFrame:
-    """Lines that belong to the block the last heading above opened; another heading closes it."""
+    """Lines that belong to the block the last heading above opened, numbered (`_block`); another heading closes it, and what
+    flows down begins afresh in the next block."""
     text = F.col("text")
     kind = F.when(text.rlike(head), 1).when(text.rlike(other) | F.col("is_heading"), 0)
     w = Window.partitionBy(*page).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_in", F.last(kind, ignorenulls=True).over(w)).filter("_in = 1").drop("_in")
+    marked = lines.withColumn("_in", F.last(kind, ignorenulls=True).over(w)).withColumn("_block", F.count_if(kind == 1).over(w))
+    return marked.filter("_in = 1").drop("_in")
 
 
 def list_duties(headed: DataFrame, page: Sequence[str] = PAGE, default_year: int | None = None) -> DataFrame:
     """Master-on-duty lines; the date flows down, a line with a weekday but no date is not imported."""
     block = _in_block(headed, MOD_HEAD, OFF_HEAD, page)
     v = with_value(block, "_v", F.struct(X.date_in_text(F.col("text"), default_year).alias("d"), X.day_in_text(F.col("text")).alias("day"), names_in(F.col("text"), MOD_HEAD).alias("names")))
-    w = Window.partitionBy(*page).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*page, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     v = v.withColumn("duty_date", F.last(F.col("_v.d"), ignorenulls=True).over(w))
     dayless = F.col("_v.d").isNotNull() | F.col("_v.day").isNull()
     rows = v.filter(F.col("duty_date").isNotNull() & dayless)
@@ -519,7 +521,7 @@ def list_weekly_offs(headed: DataFrame, page: Sequence[str] = PAGE) -> DataFrame
     """Weekly-off lines; the weekday flows down."""
     block = _in_block(headed, OFF_HEAD, MOD_HEAD, page)
     v = with_value(block, "_v", F.struct(X.day_in_text(F.col("text")).alias("day"), names_in(F.col("text"), OFF_HEAD).alias("names")))
-    w = Window.partitionBy(*page).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*page, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     v = v.withColumn("day", F.last(F.col("_v.day"), ignorenulls=True).over(w)).filter(F.col("day").isNotNull())
     return v.select(*page, "line_no", "day", F.explode("_v.names").alias("teacher_name"), F.round(F.col("conf") / 100, 2).alias("confidence"))
 
@@ -529,7 +531,7 @@ def list_remedial(headed: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     text = F.col("text")
     short = F.length("text") < 60
     category = F.when(short & text.rlike(r"(?i)life\s*skill"), F.lit("LIFE_SKILL")).when(short & text.rlike("(?i)enrich"), F.lit("ENRICHMENT")).when(short & text.rlike("(?i)remedial"), F.lit("REMEDIAL"))
-    token = r"(?i)^\s*(?:CLASS\s*[-:]?\s*)?(VIII|VII|VI|XII|XI|IX|X)\b\s*(?:[-–—]?\s*([A-F])\b)?"
+    token = r"(?i)^\s*(?:CLASS\s*[-:]?\s*)?(VIII|VII|VI|XII|XI|IX|X)\s*(?:[-–—]?\s*([A-F])\b)?"
     starts = text.rlike(token) & ~F.col("is_heading")
     rest = F.when(starts, F.regexp_replace(text, token, "")).otherwise(text)
     body = F.regexp_replace(F.regexp_replace(rest, X.RANGE_PATTERN, " "), X.DAY_PATTERN, " ")
@@ -569,7 +571,10 @@ def list_clubs(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     v = v.withColumn("role", F.coalesce("role", F.when(F.col("_v.p"), F.lit("member"))))
     listed = F.when(text.rlike(MEMBERS), split_list(F.regexp_extract(text, MEMBERS, 1))).when(text.rlike(ACTIVITIES), split_list(F.regexp_extract(text, ACTIVITIES, 1)))
     values = F.coalesce(listed, F.when(F.col("role") == "member", split_list(F.col("_v.b"))), F.array(F.col("_v.b")))
-    rows = v.filter(~F.col("_club") & F.col("role").isNotNull()).select(*page, "club_no", "name", "role", F.explode(values).alias("value")).filter("value <> ''").distinct()
+    rows = v.filter(~F.col("_club") & F.col("role").isNotNull()).select(*page, "club_no", "name", "role", F.explode(values).alias("value"))
+    # members printed on the club's own line
+    same = v.filter("_club").select(*page, "club_no", "name", F.lit("member").alias("role"), F.explode(F.filter(F.transform(F.split(F.regexp_extract(text, CLUB_LINE, 2), "[,;&]"), X.clean_cell), lambda p: classify(p)["kind"] == "person")).alias("value"))
+    rows = rows.unionByName(same).filter("value <> ''").distinct()
     return rows.unionByName(v.filter("_club").select(*page, "club_no", "name", F.lit("club").alias("role"), F.lit("").alias("value")))
 
 

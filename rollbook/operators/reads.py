@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -168,10 +168,11 @@ def duties_between(duties: DataFrame, start: date, end: date | None = None) -> D
     return duties.filter(cond if end is None else cond & (F.col("duty_date") <= F.lit(end))).orderBy("duty_date", "duty_id")
 
 
-def upcoming_duties(duties: DataFrame, start: date, duty_type: str = "MOD", k: int = 60, by: Sequence[str] = BY) -> DataFrame:
-    """The next k duties of each school."""
+def upcoming_duties(duties: DataFrame, teachers: DataFrame, start: date, duty_type: str = "MOD", k: int = 60, by: Sequence[str] = BY) -> DataFrame:
+    """The next k duties of each school, those of one date in the order of the teachers' names."""
     out = duties.filter((F.col("duty_date") >= F.lit(start)) & (F.col("duty_type") == duty_type))
-    return first_rows(out, by, F.col("duty_date"), F.col("teacher_id"), F.col("duty_id"), k=k)
+    named = out.join(teachers.select(*by, "teacher_id", F.col("name").alias("_name")), [*by, "teacher_id"], "left")
+    return first_rows(named, by, F.col("duty_date"), F.col("_name"), F.col("duty_id"), k=k).select(*duties.columns)
 
 
 def dated_offs(duties: DataFrame, start: date, by: Sequence[str] = BY) -> DataFrame:
@@ -336,28 +337,37 @@ def class_search(periods: DataFrame, term: str, version: int, by: Sequence[str]
     return classes.filter((F.col("class_name") == name) & (~with_section | (F.col("section") == F.right(wanted, F.lit(1)))))
 
 
+#: Rows per school that the search box shows of each kind; classes are not cut.
+SEARCH_CAPS = {"teacher": 15, "subject": 60, "club": 10, "notice": 10, "document": 10}
+
+
 def global_search(
     term: str, version: int, teachers: DataFrame, periods: DataFrame, clubs: DataFrame, notices: DataFrame, docs: DataFrame,
-    admin: bool = False, by: Sequence[str] = BY,
+    admin: bool = False, by: Sequence[str] = BY, caps: Mapping[str, int | None] = SEARCH_CAPS,
 ) -> DataFrame:
-    """Teachers, classes, subjects, clubs, notices and documents in one result (entity, ref, label), capped
-    per school as the search box does: 15, all, 60, 10, 10, 10."""
+    """Teachers, classes, subjects, clubs, notices and documents in one result (entity, ref, label). `caps` holds the rows
+    per school and entity, as the search box shows them; None keeps all."""
     term = term.strip()
 
+    def capped(df: DataFrame, entity: str, *order: Column) -> DataFrame:
+        k = caps.get(entity)
+        return df if k is None else first_rows(df, by, *order, k=k)
+
     def row(df: DataFrame, entity: str, ref: Column, label: Column) -> DataFrame:
         return df.select(*by, F.lit(entity).alias("entity"), ref.cast("string").alias("ref"), label.alias("label"))
 
     people = search_people(teachers.filter("active"), term, None, by, any_state=True).unionByName(
         teachers.filter("active").filter(holds(F.col("designation"), term) & ~holds(F.col("name"), term) & ~holds(F.col("code"), term) & ~F.coalesce(F.array_contains("aliases", term), F.lit(False)))
     )
-    people = first_rows(people, by, F.col("name"), F.col("teacher_id"), k=15)
+    people = capped(people, "teacher", F.col("name"), F.col("teacher_id"))
     classes = class_search(periods, term, version, by)
-    subjects = first_rows(subject_teachers(periods, teachers, term, version, by), by, F.col("subject"), F.col("teacher_id"), k=60)
+    subjects = capped(subject_teachers(periods, teachers, term, version, by), "subject", F.col("subject"), F.col("teacher_id"))
     club = clubs.filter("active").filter(holds(F.col("name"), term) | F.coalesce(F.array_contains("activities", term), F.lit(False)))
-    club = first_rows(club, by, F.col("club_id"), k=10)
-    notice = notices.filter(~F.col("archived") & holds(F.col("title"), term))
-    notice = first_rows(notice, by, F.col("notice_date").desc(), F.col("notice_id").desc(), k=10)
-    doc = first_rows(visible_documents(docs, admin).filter(holds(F.col("title"), term)), by, F.col("doc_id"), k=10)
+    club = capped(club, "club", F.col("club_id"))
+    notice = notices.filter(~F.col("archived") & (holds(F.col("title"), term) | holds(F.col("description"), term)))
+    notice = capped(notice, "notice", F.col("notice_date").desc(), F.col("notice_id").desc())
+    doc = visible_documents(docs, admin).filter(holds(F.col("title"), term) | holds(F.col("original_name"), term))
+    doc = capped(doc, "document", F.col("doc_id"))
     parts = [
         row(people, "teacher", F.col("teacher_id"), F.col("name")),
         row(classes, "class", class_label(F.col("class_name"), F.col("section")), class_label(F.col("class_name"), F.col("section"))),

@@ -109,7 +109,7 @@ def decode_entities(c: Column) -> Column:
         c = F.replace(c, F.lit(entity), F.lit(ch))
 
     def numeric(s: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d{1,6});"), F.lit(1)))
+        codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d{1,7});"), F.lit(1)))
 
         def put(acc: Column, n: Column) -> Column:
             ch = F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.functions.clock import class_label
+
 BY = ("school_id",)
 
 
@@ -19,7 +21,7 @@ def merge_timeline(periods: DataFrame, remedial: DataFrame, by: Sequence[str] =
         timed = df.filter(F.col("teacher_id").isNotNull() & F.col("day_idx").isNotNull() & F.col("start_min").isNotNull() & F.col("end_min").isNotNull())
         return timed.select(*by, "teacher_id", "day_idx", F.lit(kind).alias("kind"), "seq", "start_min", "end_min", label.alias("label"))
 
-    lessons = blocks(periods.filter(~F.col("is_break")), 0, F.col("class_name"))
+    lessons = blocks(periods.filter(~F.col("is_break")), 0, F.concat(F.lit("Class "), class_label(F.col("class_name"), F.col("section"))))
     extra = blocks(remedial.filter("active"), 1, F.coalesce(F.nullif(F.col("activity"), F.lit("")), F.lit("Remedial/enrichment duty")))
     return lessons.unionByName(extra)
 

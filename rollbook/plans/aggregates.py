@@ -126,7 +126,7 @@ _CELL = "CASE WHEN is_break THEN coalesce(label, 'BREAK') WHEN subject = '' THEN
 
 @query(
     "timetable_grid",
-    f"""SELECT p.school_id, class_name, section, day_idx, {', '.join(f"arg_max({_CELL}, seq) FILTER (slot = {s}) AS slot_{s}" for s in range(7))}
+    f"""SELECT p.school_id, class_name, section, day_idx, {', '.join(f"arg_max({_CELL}, seq) FILTER (slot = {s}) AS slot_{s}" for s in range(7))}, count(*) FILTER (slot NOT BETWEEN 0 AND 6) AS outside
  FROM (SELECT p.*, coalesce(t.name, printed_teacher) AS teacher_name FROM f_period p LEFT JOIN f_teacher t ON p.school_id = t.school_id AND p.teacher_id = t.teacher_id WHERE version = 2) p GROUP BY ALL""",
 )
 def timetable_grid(t):

@@ -16,7 +16,7 @@ D = "DATE '1998-06-15'"
 LAST = "DATE '1999-01-01'"
 
 _WEEK = """
- blocks AS (SELECT school_id, teacher_id, day_idx, 0 AS kind, seq, start_min, end_min, class_name AS label FROM f_period
+ blocks AS (SELECT school_id, teacher_id, day_idx, 0 AS kind, seq, start_min, end_min, 'Class ' || CASE WHEN section <> '' THEN class_name || '-' || section ELSE class_name END AS label FROM f_period
    WHERE version = 2 AND NOT is_break AND teacher_id IS NOT NULL
   UNION ALL SELECT school_id, teacher_id, day_idx, 1, seq, start_min, end_min, CASE WHEN activity = '' THEN 'Remedial/enrichment duty' ELSE activity END
    FROM f_remedial WHERE active AND day_idx IS NOT NULL)"""
@@ -198,10 +198,10 @@ def duties_between(t):
 
 @query(
     "upcoming_duties",
-    f"SELECT * FROM f_duty WHERE duty_date >= {D} AND duty_type = 'MOD' QUALIFY row_number() OVER (PARTITION BY school_id ORDER BY duty_date, teacher_id, duty_id) <= 60",
+    f"SELECT d.* FROM f_duty d JOIN f_teacher t USING (school_id, teacher_id) WHERE duty_date >= {D} AND duty_type = 'MOD' QUALIFY row_number() OVER (PARTITION BY d.school_id ORDER BY duty_date, t.name, duty_id) <= 60",
 )
 def upcoming_duties(t):
-    return R.upcoming_duties(t.f_duty, DAY)
+    return R.upcoming_duties(t.f_duty, t.f_teacher, DAY)
 
 
 @query("dated_offs", f"SELECT school_id, duty_id, teacher_id, off_date, duty_date FROM f_duty WHERE duty_type = 'HOLIDAY' AND off_date >= {D}")
@@ -374,17 +374,18 @@ def _caps(term: str, cls: str) -> str:
  subject_ AS (SELECT school_id, 'subject' AS entity, CAST(teacher_id AS VARCHAR) AS ref, subject AS label FROM subj QUALIFY row_number() OVER (PARTITION BY school_id ORDER BY subject, teacher_id) <= 60),
  club_ AS (SELECT school_id, 'club' AS entity, CAST(club_id AS VARCHAR) AS ref, name AS label FROM f_club WHERE active AND (contains(lower(name), '{term}') OR list_contains(string_split(activities_text, '; '), '{term}'))
   QUALIFY row_number() OVER (PARTITION BY school_id ORDER BY club_id) <= 10),
- notice_ AS (SELECT school_id, 'notice' AS entity, CAST(notice_id AS VARCHAR) AS ref, title AS label FROM f_notice WHERE NOT archived AND contains(lower(title), '{term}')
+ notice_ AS (SELECT school_id, 'notice' AS entity, CAST(notice_id AS VARCHAR) AS ref, title AS label FROM f_notice WHERE NOT archived AND (contains(lower(title), '{term}') OR contains(lower('Seen by ' || priority), '{term}'))
   QUALIFY row_number() OVER (PARTITION BY school_id ORDER BY notice_date DESC, notice_id DESC) <= 10),
- doc_ AS (SELECT school_id, 'document' AS entity, CAST(doc_id AS VARCHAR) AS ref, kind || ' ' || source AS label FROM f_doc WHERE {_VIS} AND contains(lower(kind || ' ' || source), '{term}')
+ doc_ AS (SELECT school_id, 'document' AS entity, CAST(doc_id AS VARCHAR) AS ref, kind || ' ' || source AS label FROM f_doc WHERE {_VIS} AND (contains(lower(kind || ' ' || source), '{term}') OR contains(lower(lang || '-' || doc_id || '.pdf'), '{term}'))
   QUALIFY row_number() OVER (PARTITION BY school_id ORDER BY doc_id) <= 10)
  SELECT * FROM people_ UNION ALL SELECT * FROM class_ UNION ALL SELECT * FROM subject_ UNION ALL SELECT * FROM club_ UNION ALL SELECT * FROM notice_ UNION ALL SELECT * FROM doc_"""
 
 
 def _search(t, term):
     clubs = t.f_club.withColumn("activities", F.split("activities_text", "; "))
-    docs = t.f_doc.withColumn("title", F.concat_ws(" ", "kind", "source"))
-    return R.global_search(term, 2, people(t), t.f_period, clubs, t.f_notice, docs)
+    docs = t.f_doc.withColumn("title", F.concat_ws(" ", "kind", "source")).withColumn("original_name", F.concat("lang", F.lit("-"), "doc_id", F.lit(".pdf")))
+    notices = t.f_notice.withColumn("description", F.concat(F.lit("Seen by "), "priority"))
+    return R.global_search(term, 2, people(t), t.f_period, clubs, notices, docs)
 
 
 @query("global_search", _caps("en", "FALSE"))
