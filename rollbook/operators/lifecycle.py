@@ -38,6 +38,7 @@ def publish_routine(
         *by, "version", "draft_id", "seq", F.coalesce(normalize_class(F.col("class_name")), F.col("class_name")).alias("class_name"), "section", "day_idx", "slot",
         F.when(lesson, F.col("period_number")).alias("period_number"), "is_break", "start_time", "end_time", "subject",
         F.when(lesson & (F.trim("subject") != ""), match_key(F.col("subject"))).alias("subject_key"), F.when(lesson, F.col("teacher_id")).alias("teacher_id"), "teacher_name", "confidence",
+        *[c for c in ("label", "room") if c in periods.columns],
     )
     classes = period.select(*by, "version", "class_name", "section").distinct()
     named = period.filter(F.col("subject_key").isNotNull())
@@ -49,22 +50,31 @@ def publish_routine(
     new = versions.groupBy(*by).agg(F.max("version").alias("_new"))
     old = routines.join(new, list(by), "left")
     retire = F.col("_new").isNotNull() & ((F.col("status") == "ACTIVE") | ((F.col("status") == "SCHEDULED") & (F.col("effective_from") <= F.lit(as_of)))) & F.lit(not scheduled)
-    kept = old.select(*by, "version", "effective_from", F.when(retire, F.lit("ARCHIVED")).otherwise(F.col("status")).alias("status"), F.when(retire, F.lit(as_of)).otherwise(F.col("archived_on")).alias("archived_on"))
+    changed = {"status": F.when(retire, F.lit("ARCHIVED")).otherwise(F.col("status")), "archived_on": F.when(retire, F.lit(as_of)).otherwise(F.col("archived_on"))}
+    kept = old.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in routines.columns])
     live = F.lit("SCHEDULED") if scheduled else F.when(F.col("version") == F.col("_new"), F.lit("ACTIVE")).otherwise(F.lit("ARCHIVED"))
     stamp = F.lit(None).cast("date") if scheduled else F.when(F.col("version") != F.col("_new"), F.lit(as_of))
-    added = versions.join(new, list(by)).select(*by, "version", F.lit(start).alias("effective_from"), live.alias("status"), stamp.alias("archived_on"))
-    return {"period": period, "class": classes, "subject": subjects, "day": days, "routine": kept.unionByName(added)}
+    # what the version table holds of its documents (title, session, doc_id) comes with the gate's rows
+    told = [c for c in ("title", "session", "doc_id") if c in summary.columns and c in routines.columns]
+    if told:
+        versions = versions.join(summary.groupBy(*by, "draft_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in told]), [*by, "draft_id"], "left")
+    published = [F.lit(as_of).alias("published_on")] if "published_on" in routines.columns else []
+    added = versions.join(new, list(by)).select(*by, "version", F.lit(start).alias("effective_from"), live.alias("status"), stamp.alias("archived_on"), *told, *published)
+    return {"period": period, "class": classes, "subject": subjects, "day": days, "routine": kept.unionByName(added, allowMissingColumns=True)}
 
 
 # ---------------------------------------------------------------- upserts and replacements: L4-L7
 
 
 def upsert_duties(existing: DataFrame, incoming: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """L4: one row per (date, teacher, kind); incoming rows win, later ones over earlier ones (`seq`)."""
+    """L4: one row per (date, teacher, kind); incoming rows win, later ones over earlier ones (`seq`).
+
+    A stored row takes the incoming values and keeps its duty_id."""
     key = [*by, "duty_date", "teacher_id", "duty_type"]
     new = last_wins(incoming.filter(F.col("teacher_id").isNotNull()), key)
     kept = existing.join(new.select(*key), key, "left_anti")
-    return kept.unionByName(new.select(*existing.columns))
+    named = new.join(existing.select(*key, F.col("duty_id").alias("_id")), key, "left")
+    return kept.unionByName(named.withColumn("duty_id", F.coalesce("_id", "duty_id")).select(*existing.columns))
 
 
 def assign_duties(request: DataFrame) -> DataFrame:
@@ -80,10 +90,11 @@ def replace_range(existing: DataFrame, incoming: DataFrame, start: date, end: da
 
 
 def replace_per_teacher(existing: DataFrame, incoming: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """New weekly offs of a teacher replace all their old ones; a null day clears them."""
-    new = incoming.filter(F.col("teacher_id").isNotNull()).select(*by, "teacher_id", "day_idx").distinct()
-    kept = existing.select(*by, "teacher_id", "day_idx").join(new.select(*by, "teacher_id").distinct(), [*by, "teacher_id"], "left_anti")
-    return kept.unionByName(new.filter(F.col("day_idx").isNotNull()))
+    """New weekly offs of a teacher replace all their old ones; a null day clears them. All columns of the stored rows are
+    kept; what incoming rows do not hold is null in them."""
+    new = incoming.filter(F.col("teacher_id").isNotNull()).select(*[c for c in existing.columns if c in incoming.columns]).distinct()
+    kept = existing.join(new.select(*by, "teacher_id").distinct(), [*by, "teacher_id"], "left_anti").select(*existing.columns)
+    return kept.unionByName(new.filter(F.col("day_idx").isNotNull()), allowMissingColumns=True)
 
 
 def replace_active(existing: DataFrame, incoming: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -282,11 +293,12 @@ def switch_version(routines: DataFrame, actions: DataFrame, as_of: date, by: Seq
     wins = F.col("version") == F.col("_on")
     retired = (F.col("_on").isNotNull() & (F.col("status") == "ACTIVE") & ~wins) | (F.coalesce("action", F.lit("")) == "archive")
     out = out.filter(~((F.coalesce("action", F.lit("")) == "delete") & (F.col("status") != "ACTIVE")))
-    return out.select(
-        *by, "version", F.when(wins, F.lit(as_of)).otherwise(F.col("effective_from")).alias("effective_from"),
-        F.when(wins, F.lit("ACTIVE")).when(retired, F.lit("ARCHIVED")).otherwise(F.col("status")).alias("status"),
-        F.when(wins, F.lit(None).cast("date")).when(retired, F.lit(as_of)).otherwise(F.col("archived_on")).alias("archived_on"),
-    )
+    changed = {
+        "effective_from": F.when(wins, F.lit(as_of)).otherwise(F.col("effective_from")),
+        "status": F.when(wins, F.lit("ACTIVE")).when(retired, F.lit("ARCHIVED")).otherwise(F.col("status")),
+        "archived_on": F.when(wins, F.lit(None).cast("date")).when(retired, F.lit(as_of)).otherwise(F.col("archived_on")),
+    }
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in routines.columns])
 
 
 def apply_patches(df: DataFrame, patches: DataFrame, keys: Sequence[str], fields: Sequence[str], fixed: dict[str, Column] | None = None) -> DataFrame:

@@ -46,8 +46,8 @@ def publish_routine(t):
     "publish_versions",
     f"""WITH {_VER}, nw AS (SELECT school_id, max(version) AS newest FROM ver GROUP BY ALL)
  SELECT r.school_id, r.version, r.effective_from, CASE WHEN newest IS NOT NULL AND (status = 'ACTIVE' OR (status = 'SCHEDULED' AND effective_from <= {_AS})) THEN 'ARCHIVED' ELSE status END AS status,
- CASE WHEN newest IS NOT NULL AND (status = 'ACTIVE' OR (status = 'SCHEDULED' AND effective_from <= {_AS})) THEN {_AS} ELSE archived_on END AS archived_on FROM f_routine r LEFT JOIN nw USING (school_id)
- UNION ALL SELECT v.school_id, v.version, {_AS}, CASE WHEN v.version = newest THEN 'ACTIVE' ELSE 'ARCHIVED' END, CASE WHEN v.version <> newest THEN {_AS} END FROM ver v JOIN nw USING (school_id)""",
+ CASE WHEN newest IS NOT NULL AND (status = 'ACTIVE' OR (status = 'SCHEDULED' AND effective_from <= {_AS})) THEN {_AS} ELSE archived_on END AS archived_on, r.published_on FROM f_routine r LEFT JOIN nw USING (school_id)
+ UNION ALL SELECT v.school_id, v.version, {_AS}, CASE WHEN v.version = newest THEN 'ACTIVE' ELSE 'ARCHIVED' END, CASE WHEN v.version <> newest THEN {_AS} END, {_AS} FROM ver v JOIN nw USING (school_id)""",
 )
 def publish_versions(t):
     return _published(t)["routine"]
@@ -77,7 +77,7 @@ def _old_duties(t):
     "upsert_duties",
     f"""WITH old AS ({_OLD}), inc AS (SELECT * FROM ({_INC}) QUALIFY row_number() OVER (PARTITION BY school_id, duty_date, teacher_id, duty_type ORDER BY seq DESC) = 1)
  SELECT {', '.join(_DUTY)} FROM old o WHERE NOT EXISTS (SELECT 1 FROM inc i WHERE i.school_id = o.school_id AND i.duty_date = o.duty_date AND i.teacher_id = o.teacher_id AND i.duty_type = o.duty_type)
- UNION ALL SELECT {', '.join(_DUTY)} FROM inc""",
+ UNION ALL SELECT coalesce(o.duty_id, i.duty_id), i.school_id, i.teacher_id, i.duty_date, i.duty_type, i.off_date FROM inc i LEFT JOIN old o ON i.school_id = o.school_id AND i.duty_date = o.duty_date AND i.teacher_id = o.teacher_id AND i.duty_type = o.duty_type""",
 )
 def upsert_duties(t):
     return L.upsert_duties(_old_duties(t), t.sql(_INC))
@@ -280,7 +280,7 @@ _SWITCH = "SELECT school_id, version, CASE WHEN version = 60 THEN 'activate' WHE
 @query(
     "switch_version",
     f"""WITH a AS ({_SWITCH}), x AS (SELECT r.*, a.action, EXISTS (SELECT 1 FROM a z WHERE z.school_id = r.school_id AND z.action = 'activate') AS sw FROM f_routine r LEFT JOIN a USING (school_id, version))
- SELECT school_id, version, CASE WHEN action = 'activate' THEN {_AS} ELSE effective_from END AS effective_from, CASE WHEN action = 'activate' THEN 'ACTIVE' WHEN (sw AND status = 'ACTIVE') OR action = 'archive' THEN 'ARCHIVED' ELSE status END AS status,
+ SELECT school_id, version, published_on, CASE WHEN action = 'activate' THEN {_AS} ELSE effective_from END AS effective_from, CASE WHEN action = 'activate' THEN 'ACTIVE' WHEN (sw AND status = 'ACTIVE') OR action = 'archive' THEN 'ARCHIVED' ELSE status END AS status,
  CASE WHEN action = 'activate' THEN NULL WHEN (sw AND status = 'ACTIVE') OR action = 'archive' THEN {_AS} ELSE archived_on END AS archived_on FROM x WHERE NOT (coalesce(action, '') = 'delete' AND status <> 'ACTIVE')""",
 )
 def switch_version(t):

@@ -13,8 +13,8 @@ from rollbook.streaming import logs as S
 @query(
     "throttle",
     """WITH a AS (SELECT *, epoch_us(ts) AS us FROM f_login), r AS (SELECT *, coalesce(sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a),
- c AS (SELECT event_id, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND 1 PRECEDING) AS user_failures,
-  count(*) FILTER (failed) OVER (PARTITION BY ip_id ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND 1 PRECEDING) AS ip_failures FROM r)
+ c AS (SELECT event_id, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW) - count(*) FILTER (failed) OVER (PARTITION BY user_id, run, us ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_failures,
+  count(*) FILTER (failed) OVER (PARTITION BY ip_id ORDER BY us RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW) - count(*) FILTER (failed) OVER (PARTITION BY ip_id, us ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ip_failures FROM r)
  SELECT *, user_failures >= 6 OR ip_failures >= 40 AS refused FROM c""",
 )
 def throttle(t):

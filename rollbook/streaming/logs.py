@@ -32,8 +32,10 @@ def _failures_before(events: DataFrame, key: str, clears: bool, minutes: int, na
         before = Window.partitionBy(*part).orderBy("_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("_run", F.coalesce(F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(before), F.lit(0)))
         part.append("_run")
-    frame = Window.partitionBy(*part).orderBy("_at").rangeBetween(-span + 1, -1)
-    counted = rows.withColumn(name, F.count_if("failed").over(frame))
+    # all failures up to this instant, less those of the instant that do not stand before the event
+    frame = Window.partitionBy(*part).orderBy("_at").rangeBetween(-span + 1, 0)
+    later = Window.partitionBy(*part, "_at").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn(name, F.count_if("failed").over(frame) - F.count_if("failed").over(later))
     return counted.filter("_visit = 0").select("event_id", name)
 
 

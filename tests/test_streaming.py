@@ -38,6 +38,12 @@ def test_throttle_by_hand(spark):
     assert got[5] == (5, 5, False) and got[6] == (6, 6, True) and got[7][0] == 7 and got[8] == (0, 7, False) and got[9] == (0, 0, False)
 
 
+def test_throttle_counts_earlier_ones_of_the_same_instant(spark):
+    df = spark.range(9).select(F.col("id").alias("event_id"), F.lit("2026-01-05 10:00:00").cast("timestamp_ntz").alias("ts"), F.lit(True).alias("failed"), F.lit(1).alias("user_id"), F.lit(1).alias("ip_id"))
+    got = {r["event_id"]: (r["user_failures"], r["refused"]) for r in S.throttle(df).collect()}
+    assert got == {i: (i, i >= S.USER_LIMIT) for i in range(9)}
+
+
 def test_activity_counts(spark, views, tmp_path):
     want = {(r[0], r[1]): r[2] for r in S.activity_counts(views.f_activity).collect()}
     src = stream(spark, tmp_path, views.events, BASE_SCHEMAS["events"]).select(F.col("ts").alias("created_at"), F.col("event_type").alias("entity_type"))
