@@ -44,23 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def link_buckets(open_: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def link_buckets(open_: DataFrame, linked: Callable[[DataFrame], DataFrame], comps: DataFrame | None = None, rounds: int | None = None) -> DataFrame | None:
     """(node, component) of the nodes that links tie, or None without buckets, where open_ is (key, node, score) and `linked`
     keeps of candidate pairs (a > b) those that are links.
 
     In a bucket, members are compared with a leader (the best score), not with each other; members that do not end in one
     component go on to rounds with eight times as many leaders, so that in the end every two members of a bucket were
-    compared or are connected."""
-    done, comps = None, None
-    leaders_each = 1
-    while not open_.isEmpty():
+    compared or are connected. `comps` are components known before; `rounds` ends after so many rounds, compared or not."""
+    done, leaders_each = None, 1
+    while rounds != 0 and not open_.isEmpty():
+        rounds = None if rounds is None else rounds - 1
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
         leaders = cut_lineage(open_.withColumn("rank", rank).where(F.col("rank") <= leaders_each).select("key", F.col("node").alias("lead"), F.col("score").alias("lead_score")))
         # of two leaders, the one that stands later is the member
         pairs = open_.join(leaders, "key").where("score < lead_score OR (score = lead_score AND node > lead)").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
         if comps is not None:
             ca, cb = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-            pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").join(done, ["a", "b"], "left_anti")
+            pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+            pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         done = pairs if done is None else done.unionByName(pairs)
         found = linked(pairs)

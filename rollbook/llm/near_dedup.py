@@ -17,6 +17,8 @@ from rollbook.session import cut_lineage
 
 BANDS, ROWS = 32, 4
 BATCH = 32
+#: A component of so many nodes is compared in blocks of BLOCK_NODES.
+LARGE, BLOCK_NODES = 16, 256
 _LOW = np.uint64((1 << 52) - 1)
 
 
@@ -141,6 +143,65 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("node"), ragged(*shingle_sets(b.column("text"), size))], ["node", "shingles"])
+
+    return run
+
+
+def _packed(key, table):
+    """The nodes of a block with their sets end to end."""
+    sets = table.column("shingles").to_pylist()
+    size = np.array([len(x) // 8 for x in sets], np.int64)
+    return pa.table({"large": pa.array([key[0].as_py()]), "nodes": pa.array([table.column("node").to_numpy().tobytes()], pa.binary()), "sizes": pa.array([size.tobytes()], pa.binary()), "sets": pa.array([b"".join(sets)], pa.binary())})
+
+
+def _compare_blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, na, b, nb = (np.frombuffer(r[x], np.int64) for x in ("nodes", "sizes", "nodes_b", "sizes_b"))
+                values = np.frombuffer(r["sets"], np.uint64)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], np.repeat(np.arange(len(a)), na)[order]
+                other = np.split(np.frombuffer(r["sets_b"], np.uint64), np.cumsum(nb)[:-1])
+                found: list[tuple[int, int]] = []
+                for k, x in enumerate(other):
+                    low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                    n = high - low
+                    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    shared = np.bincount(owner[at], minlength=len(a))
+                    found += [(int(a[i]), int(b[k])) for i in np.flatnonzero((100 * shared >= percent * (na + nb[k] - shared)) & (a != b[k]))]
+                yield pa.RecordBatch.from_arrays([pa.array([max(f) for f in found], pa.int64()), pa.array([min(f) for f in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _large_components(open_: DataFrame, comps: DataFrame, sets_of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(open_ without the nodes of large components, comps with the links of those).
+
+    A node that meets a large component in a bucket without being in it is compared with all of it, full set against full set, in
+    blocks of nodes: a component costs its blocks times theirs, not a row per pair."""
+    large = comps.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE)
+    placed = open_.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    placed = cut_lineage(placed.join(mixed, "key", "left_semi").join(large.select(F.col("component").alias("c"), "n"), "c", "left"))
+    met = placed.where("n IS NOT NULL").select("key", F.col("c").alias("large"), "n").distinct()
+    loose = cut_lineage(placed.select("key", "node", "c").join(met, "key").where("c <> large").select("large", "n", "node").distinct())
+    if not loose.isEmpty():
+        shape = "large long, nodes binary, sizes binary, sets binary"
+        block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK_NODES).cast("long")).alias("block")
+        whole = loose.groupBy("large").agg(F.first("n").alias("n"), F.count("*").alias("m"))
+        inside = comps.join(whole, comps["component"] == whole["large"]).select("large", "node", block("n")).join(sets_of, "node").groupBy("large", "block").applyInArrow(lambda key, table: _packed(key, table), shape)
+        outside = loose.join(whole.select("large", "m"), "large").select("large", "node", block("m")).join(sets_of, "node").groupBy("large", "block").applyInArrow(lambda key, table: _packed(key, table), shape)
+        outside = outside.select("large", *[F.col(c).alias(f"{c}_b") for c in ("nodes", "sizes", "sets")])
+        found = inside.join(outside, "large").mapInArrow(_compare_blocks(percent), "a long, b long")
+        comps = cut_lineage(components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    return cut_lineage(placed.where("n IS NULL").select("key", "node", "score")), comps
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id it reaches), kept.
 
@@ -149,8 +210,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     of a link below which the Bayesian test drops a candidate.
 
     Equal sets become one node first, so copies cost nothing further. In a bucket, members are compared with a leader
-    (the node in the most and largest buckets), not with each other; members that do not end in one component go on to
-    rounds with eight times as many leaders, so that in the end every two members of a bucket were compared or are connected.
+    (the node in the most and largest buckets), not with each other. What meets a component of 16 nodes or more without being
+    in it is then compared with all of it in blocks, and small components go on to rounds with eight times as many leaders, so
+    that in the end every two members of a bucket were compared or are connected.
 
     Null text or a text without words: empty set, own component. Null doc_id: component_id null, kept, not compared.
     Rows that share a doc_id are one document with the links of all their texts. No rows: no rows. Other columns are ignored."""
@@ -179,7 +241,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
         ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
         return likely.join(ta, "a").join(tb, "b").mapInArrow(_verify(size, percent), "a long, b long")
 
-    comps = link_buckets(open_, linked)
+    comps = link_buckets(open_, linked, rounds=1)
+    if comps is not None:
+        sets_of = texts.mapInArrow(_sets(size), "node long, shingles binary")
+        open_, comps = _large_components(open_, comps, sets_of, percent)
+        comps = link_buckets(open_, linked, comps)
 
     named = usable.select("doc_id", "node")
     if comps is not None:

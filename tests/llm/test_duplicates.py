@@ -74,6 +74,36 @@ def test_chain_of_copies_is_one_component(docs_of):
     assert {r.component_id for r in near_duplicates(docs_of(chain), size=4).collect()} == {0}
 
 
+def test_large_component_meets_loose_copies(docs_of):
+    import random
+
+    r = random.Random(12)
+    base = prose(31, 160).split(" ")
+
+    def copy(edits):
+        out = list(base)
+        for k in r.sample(range(160), edits):
+            out[k] = f"w{r.random()}"
+        return " ".join(out)
+
+    rows = [(i, copy(1)) for i in range(40)] + [(100 + i, copy(7 + i % 3)) for i in range(12)]
+    sets = {i: frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) for i, w in ((i, t.lower().split(" ")) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {g.doc_id: g.component_id for g in near_duplicates(docs_of(rows), size=4).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 1
+
+
 def test_bayes_bounds_rise():
     bounds = least_matches(0.8, 1e-6)
     assert [n for n, _ in bounds] == [32, 64, 96, 128]
