@@ -108,7 +108,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     c = vectors.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", "v"), F.lit(c_blocks)).alias("c_block"))
     c = cut_lineage(_packed(c, "c_block"))
     spread = c.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-    met = spread.repartition(max(q_blocks * c_blocks, int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "q_block", "c_block").join(q, ["q_block", "dim"])
+    met = spread.join(q, ["q_block", "dim"]).select("q_block", "c_block", "q_ids", "q_data", "ids", "data")
+    # the join brings a query block's rows together; every pair of blocks is a piece of work of its own
+    met = met.repartition(max(q_blocks * c_blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "q_block", "c_block")
     best = met.select("q_ids", "q_data", "ids", "data").mapInArrow(_block_top(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
