@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.llm.graph import if_small
 from rollbook.llm.hashing import flat, slices, window_hashes
 from rollbook.session import cut_lineage
 
@@ -176,8 +177,8 @@ def leaks(docs: DataFrame, items: DataFrame, max_item_bytes: int = 64 << 20) ->
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a leak (rows of null doc_id are judged by text, since no id names them)."""
-    found = cut_lineage(leaks(docs, items).select("doc_id").distinct())
-    named = docs.join(found.where("doc_id IS NOT NULL"), "doc_id", "left_anti").where("doc_id IS NOT NULL")
+    found = leaks(docs, items).select("doc_id").distinct()
+    named = docs.join(if_small(cut_lineage(found.where("doc_id IS NOT NULL"))), "doc_id", "left_anti").where("doc_id IS NOT NULL")
     nameless = docs.where("doc_id IS NULL").withColumn("doc_id", F.xxhash64("text"))
     bad = leaks(nameless, items).select("doc_id").distinct()
     return named.unionByName(nameless.join(bad, "doc_id", "left_anti").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).select(*named.columns))
