@@ -85,7 +85,7 @@ def op10(spark, sf_dir):
 @query("op1_simhash_line_dedup")
 def op1(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, percent=80)
+    return line_dedup.dedup_lines(docs, percent=80, least_bytes=1)
 
 
 @query(

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from corpus_pipeline import drop_repeated_lines
 from rollbook.llm.graph import components
 from rollbook.llm.line_dedup import dedup_lines
 from rollbook.llm.near_dedup import least_matches, near_duplicates
@@ -176,6 +177,17 @@ def test_lines_link_near_ones(docs_of):
     assert out[2] in ("", b)  # SimHash may part them, edit similarity would not
 
 
+def test_short_lines_and_threshold(docs_of):
+    rows = [(1, "Ja 5\nown"), (2, "ja, 7\n--\n\nx"), (3, "X\n--")]
+    want = {1: "Ja 5\nown", 2: "--\n\nx", 3: "--"}
+    assert {r.doc_id: r.text for r in dedup_lines(docs_of(rows), least_bytes=1).collect()} == want
+    assert {r.doc_id: r.text for r in drop_repeated_lines(None, docs_of(rows), "").collect()} == want
+    a = prose(4, 80)
+    pair = docs_of([(1, a), (2, a.replace(" ", " x ", 1))])
+    assert {r.doc_id: r.n_removed for r in dedup_lines(pair, percent=80).collect()} == {1: 0, 2: 1}
+    assert {r.doc_id: r.n_removed for r in dedup_lines(pair, percent=100).collect()} == {1: 0, 2: 0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
