@@ -177,6 +177,30 @@ def test_lines_link_near_ones(docs_of):
     assert out[2] in ("", b)  # SimHash may part them, edit similarity would not
 
 
+def test_lines_recall_against_edit_distance(docs_of):
+    import random
+
+    r = random.Random(8)
+    rows, near = [], set()
+    for i in range(150):
+        a = prose(1000 + i, r.randint(6, 60)).split(" ")
+        b = list(a)
+        for k in r.sample(range(len(a)), max(1, round(len(a) * r.uniform(0, 0.2)))):
+            b[k] = prose(5000 + 100 * i + k, 1)
+        a, b = " ".join(a), " ".join(b)
+        row = list(range(len(b) + 1))
+        for x in a:
+            last, row = row, [row[0] + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+        rows += [(i, a), (1000 + i, b)]
+        if a != b and 5 * row[-1] <= max(len(a), len(b)):
+            near.add(1000 + i)
+    gone = {g.doc_id for g in dedup_lines(docs_of(rows)).collect() if g.n_removed}
+    assert len(near) > 100 and gone <= near
+    assert len(gone) >= 0.97 * len(near), f"{len(gone)} of {len(near)} links found"
+
+
 def test_short_lines_and_threshold(docs_of):
     rows = [(1, "Ja 5\nown"), (2, "ja, 7\n--\n\nx"), (3, "X\n--")]
     want = {1: "Ja 5\nown", 2: "--\n\nx", 3: "--"}
