@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rollbook.functions import text as X
 from rollbook.functions.cells import split_cell
 from rollbook.functions.people import classify
-from rollbook.keyed import running_last, with_value
+from rollbook.keyed import first_rows, running_last, with_value
 from rollbook.session import cut_lineage
 
 PAGE = ("page_id",)
@@ -578,10 +578,15 @@ def list_clubs(lines: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     return rows.unionByName(v.filter("_club").select(*page, "club_no", "name", F.lit("club").alias("role"), F.lit("").alias("value")))
 
 
-def route_extractors(docs: DataFrame, lines: DataFrame, duty_tables: DataFrame, doc: str = "doc_id") -> DataFrame:
+def route_extractors(docs: DataFrame, lines: DataFrame, duty_tables: DataFrame, doc: str = "doc_id", page: Sequence[str] = ()) -> DataFrame:
     """Which reader a document goes to (docs: doc, kind). A duty table decides for remedial and club uploads; a
-    remedial title (first 12 lines) turns a routine or other document into one; the rest read timetable and duties."""
-    title = lines.filter("line_no < 12").groupBy(doc).agg(F.max(F.col("text").rlike(r"(?i)remedial|enrichment|life\s*skill")).alias("_rem"))
+    remedial title (first 12 lines) turns a routine or other document into one; the rest read timetable and duties.
+
+    line_no counts from 0 in the document; where it starts again on every page, as in `line_table`, `page` names the
+    columns that put the pages of a document in order."""
+    order = [F.col(c) for c in (*page, "line_no")]
+    top = first_rows(lines, [doc], *order, k=12) if page else lines.filter("line_no < 12")
+    title = top.groupBy(doc).agg(F.max(F.col("text").rlike(r"(?i)remedial|enrichment|life\s*skill")).alias("_rem"))
     tables = duty_tables.select(doc).distinct().withColumn("_duty", F.lit(True))
     out = docs.join(title, doc, "left").join(tables, doc, "left")
     kind, duty, rem = F.col("kind"), F.coalesce("_duty", F.lit(False)), F.coalesce("_rem", F.lit(False))

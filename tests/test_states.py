@@ -59,3 +59,12 @@ def test_members_on_the_club_line(spark):
     page = lines(spark, "1. Literary Club: Mr. Anil Roy, Mrs. Bina Das", "Activities: Debate, Quiz")
     got = {(r["role"], r["value"]) for r in layout.list_clubs(page).collect()}
     assert {("member", "Mr. Anil Roy"), ("member", "Mrs. Bina Das"), ("activity", "Debate"), ("activity", "Quiz")} <= got
+
+
+def test_router_title_is_the_head_of_the_document_not_of_each_page(spark):
+    docs = spark.createDataFrame([(1, "ROUTINE"), (2, "ROUTINE")], "doc_id long, kind string")
+    text = {(1, 1, 3): "Remedial classes", (2, 0, 3): "Remedial classes"}
+    lines = [(d, p, n, text.get((d, p, n), "x")) for d in (1, 2) for p in (0, 1) for n in range(15)]
+    duty = spark.createDataFrame([], "doc_id long")
+    got = layout.route_extractors(docs, spark.createDataFrame(lines, "doc_id long, page_id int, line_no int, text string"), duty, page=["page_id"])
+    assert {r.doc_id: r.reader for r in got.collect()} == {1: "timetable+lists", 2: "remedial"}
