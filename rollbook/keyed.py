@@ -4,9 +4,10 @@
 
 * first/last/top-k per key use `row_number() <= k`, which Spark limits per map task before the shuffle;
 * "all but the first" joins rows back to a one-row-per-key aggregate (the skew join splits the large side);
-* running computations (number, previous row, last value) work on bounded chunks of the order column and carry a small per-chunk state over.
+* running computations (number, previous row, last value) cut the rows into ranges of (key, order) of about equal size, run inside each
+  range, and carry one row over each border: a key that spans many ranges is spread over as many tasks.
 
-Key and order columns must not be null.
+Key columns must not be null; (key, order) should tell all rows apart.
 """
 
 from __future__ import annotations
@@ -16,14 +17,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key are cut into chunks of 2**CHUNK_BITS consecutive values of the (whole-number) order column.
-CHUNK_BITS = 20
+from rollbook.session import cut_lineage
 
 
-def _chunked(df: DataFrame, order: Sequence[str], bits: int) -> tuple[DataFrame, list[str]]:
-    """Add the chunk number of the last order column; earlier order columns split chunks by value."""
-    df = df.withColumn("_chunk", F.shiftright(F.col(order[-1]).cast("long"), bits))
-    return df, [*order[:-1], "_chunk"]
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], bits: int | None) -> DataFrame:
+    """Rows with `_range`, the number of their range: 2**bits ranges at most, or as many as the session shuffles to.
+
+    The rows are checkpointed first, so that sampling the borders does not derive them a second time."""
+    by = [F.col(c) for c in (*keys, *order)]
+    kept = cut_lineage(df)
+    dealt = kept.repartitionByRange(*by) if bits is None else kept.repartitionByRange(2**bits, *by)
+    return dealt.withColumn("_range", F.spark_partition_id())
+
+
+def _carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], tail: Column, over: Column, name: str) -> DataFrame:
+    """Rows with `name`: what the earlier ranges of their key hand over, or null.
+
+    Of a range only its last key can go on in the next one, so that one row a range is enough: `tail`, the value at its last row,
+    folded over the ranges of that key by `over`, a running expression on column `_tail`."""
+    last = F.struct(*keys, *order)
+    ends = rows.groupBy("_range").agg(F.max_by(F.struct(F.struct(*keys).alias("_key"), tail.alias("_tail")), last).alias("_end")).select("_range", "_end.*")
+    ends = ends.withColumn("_next", F.lead("_range").over(Window.orderBy("_range")))  # one row a range
+    handed = ends.withColumn(name, over).select(F.col("_next").alias("_range"), *[F.col("_key")[k].alias(k) for k in keys], name)
+    return rows.join(F.broadcast(handed.filter("_range IS NOT NULL")), ["_range", *keys], "left")
+
+
+def _so_far():
+    """The ranges up to here that end in the same key: at most one row a range."""
+    return Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], *order: Column, k: int = 1) -> DataFrame:
@@ -43,54 +64,30 @@ def later_rows(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFram
     return df.join(firsts, list(keys)).filter(F.col(seq) > F.col("_first")).drop("_first")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", bits: int = CHUNK_BITS) -> DataFrame:
-    """row_number() per key by `order` (ascending; last column a whole number), one task per chunk."""
-    df, ck = _chunked(df, order, bits)
-    part = [*keys, *ck]
-    inside = df.withColumn("_in", F.row_number().over(Window.partitionBy(*part).orderBy(order[-1])))
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn(
-        "_before",
-        F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy(*ck).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_size")
-    return _carry(inside, before, part).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before", "_chunk")
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n", bits: int | None = None) -> DataFrame:
+    """row_number() per key by `order` (ascending)."""
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)).cast("long")
+    rows = cut_lineage(_ranged(df, keys, order, bits).withColumn("_in", inside))
+    out = _carried(rows, keys, order, F.col("_in"), F.sum("_tail").over(_so_far()), "_before")
+    return out.withColumn(name, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_in", "_before", "_range")
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], bits: int = CHUNK_BITS) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], bits: int | None = None) -> DataFrame:
     """lag(): add, under each new name, the value the row just before (per key, by `order`) holds."""
-    df, ck = _chunked(df, order, bits)
-    part = [*keys, *ck]
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    inside = df.withColumn("_lag", F.lag(packed).over(Window.partitionBy(*part).orderBy(order[-1])))
-    tails = df.groupBy(*part).agg(F.max_by(packed, order[-1]).alias("_tail"))
-    carried = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(*ck))).drop("_tail")
-    out = _carry(inside, carried, part).withColumn("_prev", F.coalesce("_lag", "_carry"))
-    for n in values:
-        out = out.withColumn(n, F.col("_prev")[n])
-    return out.drop("_lag", "_carry", "_prev", "_chunk")
+    inside = F.lag(packed).over(Window.partitionBy("_range", *keys).orderBy(*order))
+    rows = cut_lineage(_ranged(df, keys, order, bits).withColumn("_lag", inside))
+    out = _carried(rows, keys, order, packed, F.col("_tail"), "_carry").withColumn("_prev", F.coalesce("_lag", "_carry"))
+    return out.withColumns({n: F.col("_prev")[n] for n in values}).drop("_lag", "_carry", "_prev", "_range")
 
 
-def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], bits: int = CHUNK_BITS) -> DataFrame:
+def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], bits: int | None = None) -> DataFrame:
     """Replace nulls of each value column by the last non-null one above (per key, by `order`)."""
-    df, ck = _chunked(df, order, bits)
-    part = [*keys, *ck]
-    w = Window.partitionBy(*part).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, 0)
-    inside = df
-    for v in values:
-        inside = inside.withColumn(v, F.last(v, ignorenulls=True).over(w))
-    tails = df.groupBy(*part).agg(
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order[-1]))).alias(f"_t_{v}") for v in values]
-    )
-    up = Window.partitionBy(*keys).orderBy(*ck).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(*part, *[F.last(f"_t_{v}", ignorenulls=True).over(up).alias(f"_c_{v}") for v in values])
-    out = _carry(inside, carried, part)
-    for v in values:
-        out = out.withColumn(v, F.coalesce(F.col(v), F.col(f"_c_{v}")))
-    return out.drop("_chunk", *[f"_c_{v}" for v in values])
-
-
-def _carry(rows: DataFrame, per_chunk: DataFrame, part: Sequence[str]) -> DataFrame:
-    return rows.join(per_chunk, list(part), "left")
+    up = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut_lineage(_ranged(df, keys, order, bits).withColumns({v: F.last(v, ignorenulls=True).over(up) for v in values}))
+    folded = F.struct(*[F.last(F.col("_tail")[v], ignorenulls=True).over(_so_far()).alias(v) for v in values])
+    out = _carried(rows, keys, order, F.struct(*values), folded, "_above")
+    return out.withColumns({v: F.coalesce(F.col(v), F.col("_above")[v]) for v in values}).drop("_above", "_range")
 
 
 def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
