@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, language, licences, line_dedup, packing, pages, repeats, substrings, topk
+from rollbook.llm import alignment, decontaminate, language, licences, line_dedup, merkle, packing, pages, repeats, secrets, substrings, topk
 from rollbook.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,74 @@ def op2(spark, sf_dir):
 @query("op5_lyndon_suffix_dedup")
 def op5(spark, sf_dir):
     return substrings.remove_substrings(_table(spark, sf_dir, "documents"), size=400).drop("kept")
+
+
+def _manifest_sql() -> str:
+    def field(value: str, shown: str | None = None) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({shown or f'{value}::VARCHAR'}) || ':' || {shown or value} END"
+
+    def leaf(n_chars: str) -> str:
+        shown = f"({n_chars})::VARCHAR"
+        return "sha256(concat(" + ", ".join([field("doc_id", "doc_id::VARCHAR"), field("source"), field("lang"), field("n_chars", shown), field("text")]) + "))"
+
+    # crc32, bit by bit, over the digits of doc_id
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    digits = "list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: {bits}), 4294967295)"
+    step = "(SELECT {0}, lvl + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {1} WHERE n > 1 GROUP BY {0}, lvl, i // 2)"
+    return f"""WITH RECURSIVE leaf AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, t) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid
+   FROM (SELECT doc_id, lang, {leaf("n_chars")} AS h, CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars::HUGEINT + 1")} END AS t FROM documents)),
+ node(lang, lvl, i, n, h) AS (SELECT lang, 0, i, n, h FROM leaf UNION ALL {step.format("lang", "node")}),
+ seat AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+ roof(one, lvl, i, n, h) AS (SELECT 1, 0, i, n, h FROM seat UNION ALL {step.format("one", "roof")}),
+ way AS (SELECT rid, o.lvl, CASE WHEN s.h IS NULL THEN 'N' WHEN s.i < o.i THEN 'L' || s.h ELSE 'R' || s.h END AS s
+     FROM leaf JOIN node o ON o.lang IS NOT DISTINCT FROM leaf.lang AND o.n > 1 AND o.i = leaf.i >> o.lvl
+     LEFT JOIN node s ON s.lang IS NOT DISTINCT FROM o.lang AND s.lvl = o.lvl AND s.i = xor(o.i, 1)
+   UNION ALL SELECT rid, 1000 + o.lvl, CASE WHEN s.h IS NULL THEN 'N' WHEN s.i < o.i THEN 'L' || s.h ELSE 'R' || s.h END
+     FROM leaf JOIN seat ON seat.lang IS NOT DISTINCT FROM leaf.lang JOIN roof o ON o.n > 1 AND o.i = seat.i >> o.lvl LEFT JOIN roof s ON s.lvl = o.lvl AND s.i = xor(o.i, 1)),
+ ways AS (SELECT rid, list(s ORDER BY lvl) AS p FROM way GROUP BY rid),
+ told AS (SELECT leaf.doc_id, leaf.h AS leaf, seat.h AS subroot, (SELECT h FROM roof WHERE n = 1) AS root, sha256(array_to_string(list_transform(coalesce(p, []), lambda x: substr(x, 2)), '')) AS proof_sha256,
+   list_reduce(list_prepend(coalesce(t, leaf.h), coalesce(p, [])), lambda acc, x: CASE x[1] WHEN 'L' THEN sha256(substr(x, 2) || acc) WHEN 'R' THEN sha256(acc || substr(x, 2)) ELSE sha256(acc) END) AS folded_root
+   FROM leaf JOIN seat ON seat.lang IS NOT DISTINCT FROM leaf.lang LEFT JOIN ways USING (rid))
+SELECT *, folded_root = root AS verified FROM told"""
+
+
+@query("op13_merkle_manifest", _manifest_sql())
+def op13(spark, sf_dir):
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    """Matches and the texts between them alternate, so that places are sums of lengths."""
+    lowered = "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    parts = [
+        f"SELECT rid, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_split_to_array({t}, {p}) AS gaps, regexp_extract_all({t}, {p}) AS m, regexp_extract_all({t}, {p}, {r.group}) AS g FROM d"
+        for k, r in enumerate(secrets.RULES)
+        for t, p in [(lowered if r.any_case else "t", quoted(r.pattern))]
+    ]
+    shown = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k){0}, '')"
+    base = f"FILTER (k < {len(secrets.BASE)})"
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in secrets.BASE)
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+ r AS ({" UNION ALL ".join(parts)}),
+ i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM r WHERE len(m) > 0),
+ p AS (SELECT rid, k, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n FROM i WHERE length(g[i]) >= least),
+ q AS (SELECT *, s + n AS e FROM p)
+SELECT doc_id, {counts}, sha256({shown.format(" " + base)}) AS base_sha256, {shown.format("")} AS spans FROM d LEFT JOIN q USING (rid) GROUP BY rid, doc_id"""
+
+
+@query("op11_trigram_secrets", _secrets_sql())
+def op11(spark, sf_dir):
+    return secrets.digests(secrets.find(_table(spark, sf_dir, "documents")))
+
+
+def token_files() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_lockstep_alignment")
+def op12(spark, sf_dir):
+    return alignment.link_tokens(_table(spark, sf_dir, "documents"), *token_files())
