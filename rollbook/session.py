@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # processors with their own state and timers need this store
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -36,15 +39,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, named in spark.checkpoint.dir.
 
-    The folder is set here only where the session names none, as in local tests."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+    It is set here only where the session names none, as in local tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rollbook-checkpoint-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollbook-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for loops: a checkpoint keeps the size that Spark guesses from the joins behind it,
+    a guess that grows from round to round until planning takes longer than the work; of a table Spark knows the size."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
