@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.keyed import numbered
-from rollbook.session import cut_lineage
+from rollbook.session import written
 
-#: Nodes of a level up to which it is broadcast to itself; a node has a group key, three numbers and three digests.
+#: Nodes of a level up to which it is written as one file. Spark sees a level's size and may broadcast it by its own threshold.
 SMALL_LEVEL = 20_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -50,7 +50,7 @@ def climb(nodes: DataFrame, widest: int, total: int, groups: int, fanout: int =
     """(levels from the leaves up, tops) of nodes (group, n, place, digest), where n is the group's number of nodes and places
     count from 0.
 
-    Every level is a checkpointed frame (group, n, place, digest, left, right): `left` and `right` are the digests of the other
+    Every level is a written table (group, n, place, digest, left, right): `left` and `right` are the digests of the other
     nodes of its run, end to end; the lowest one has the columns `kept` too. A group's top is its last remaining node, with n = 1;
     a group of one node is its own top. `widest` is the most nodes of a group, `total` the nodes of all."""
     levels, tops = [], nodes.where("n = 1").select("group", "digest")
@@ -58,46 +58,40 @@ def climb(nodes: DataFrame, widest: int, total: int, groups: int, fanout: int =
     while widest > 1:
         slot = F.col("place") % fanout
         other = nodes.select("group", F.col("place").alias("__at"), F.col("digest").alias("__digest"))
-        small = total <= SMALL_LEVEL
         met, siblings = nodes, []
         for step in range(1, fanout):
             # two to a run: the place with its last bit flipped; else the slot `step` further on, around the run
             at = F.col("place").bitwiseXOR(F.lit(1)) if fanout == 2 else F.col("place") - slot + (slot + step) % fanout
             side = other.select("group", F.col("__at").alias(f"__at{step}"), F.col("__digest").alias(f"__digest{step}"))
-            met = met.withColumn(f"__at{step}", at).join(F.broadcast(side) if small else side, ["group", f"__at{step}"], "left")
+            met = met.withColumn(f"__at{step}", at).join(side, ["group", f"__at{step}"], "left")
             siblings.append((F.col(f"__at{step}") % fanout, F.col(f"__digest{step}")))
         left, right = _left(siblings, slot)
         level = met.select("group", "n", "place", "digest", left.alias("left"), right.alias("right"), *(kept if not levels else ()))
-        level = cut_lineage(level.coalesce(max(1, total // SMALL_LEVEL)) if small else level)
+        level = written(level.coalesce(1) if total <= SMALL_LEVEL else level)
         levels.append(level)
         parent = digest(as_text(F.col("digest")), as_text(F.col("right")))
         parents = level.where(F.col("place") % fanout == 0).select("group", _above(fanout).alias("n"), F.expr(f"place div {fanout}").alias("place"), parent.alias("digest"))
         tops = tops.unionByName(parents.where("n = 1").select("group", "digest"))
         nodes = parents.where("n > 1")
         widest, total = -(-widest // fanout), total // fanout + groups
-    return levels, cut_lineage(tops)
+    return levels, written(tops)
 
 
-def descend(levels: list[DataFrame], tops: DataFrame, total: int, groups: int, fanout: int = 2, kept: Sequence[str] = ()) -> DataFrame:
+def descend(levels: list[DataFrame], tops: DataFrame, fanout: int = 2, kept: Sequence[str] = ()) -> DataFrame:
     """(group, place, top, proof, kept columns) of the lowest level's nodes, from tops (group, top, above), where `above` is the
     proof of the top and `proof` leads from the node up: an array of (left, right), one entry a level."""
-    sizes = [total]
-    for _ in levels[1:]:
-        sizes.append(sizes[-1] // fanout + groups)
-    tops = cut_lineage(tops)
-    held = F.broadcast(tops) if groups <= SMALL_LEVEL else tops
+    tops = written(tops)
     below = None
     for i in range(len(levels) - 1, -1, -1):
         more = kept if i == 0 else ()
         rows = levels[i].select("group", _above(fanout).alias("__above"), "place", F.array(F.struct("left", "right")).alias("__step"), *more)
         # a group whose tree ends here starts from its top, every other node from its parent
-        told = rows.where("__above = 1").join(held, "group").select("group", "place", "top", F.concat("__step", "above").alias("proof"), *more)
+        told = rows.where("__above = 1").join(tops, "group").select("group", "place", "top", F.concat("__step", "above").alias("proof"), *more)
         if below is not None:
             parent = below.select("group", F.col("place").alias("__up"), "top", F.col("proof").alias("__proof"))
-            parent = F.broadcast(parent) if sizes[i + 1] <= SMALL_LEVEL // 10 else parent  # a proof has an entry for each level above
             inner = rows.where("__above > 1").withColumn("__up", F.expr(f"place div {fanout}"))
             told = told.unionByName(inner.join(parent, ["group", "__up"]).select("group", "place", "top", F.concat("__step", "__proof").alias("proof"), *more))
-        below = cut_lineage(told) if i % 4 == 0 and i else told  # joins of four levels are one job
+        below = written(told) if i else told  # a plan over several levels takes the driver longer than their jobs
     return below
 
 
@@ -134,10 +128,9 @@ def manifest(docs: DataFrame, fanout: int = 2) -> DataFrame:
     leaves = docs.select(group.alias("group"), F.col("doc_id").cast("long").alias("doc_id"), leaf(values).alias("digest"), F.when(hit, leaf(more)).alias("tampered"))
     leaves = _numbered(leaves.select("*", F.monotonically_increasing_id().alias("row")), "group", ["doc_id", "digest", "row"])
     sizes = leaves.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    ranked = cut_lineage(_numbered(sizes.withColumn("__all", F.lit("")), "__all", ["group"]))
+    ranked = written(_numbered(sizes.withColumn("__all", F.lit("")), "__all", ["group"]))
     groups, total, widest = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    known = ranked.select("group", "n")
-    leaves = cut_lineage(leaves.join(F.broadcast(known) if groups <= SMALL_LEVEL else known, "group"))
+    leaves = written(leaves.join(ranked.select("group", "n"), "group"))
     kept = ["doc_id", "tampered", "digest"]
     levels, tops = climb(leaves.select("group", "n", "place", *kept), widest, total, groups, fanout, kept[:2])
 
@@ -150,7 +143,7 @@ def manifest(docs: DataFrame, fanout: int = 2) -> DataFrame:
     none = F.array().cast("array<struct<left:binary,right:binary>>")
     ends = seats.select("group", "seat", F.col("digest").alias("top"))
     if upper:
-        over = descend(upper, top.select("group", F.col("digest").alias("top"), none.alias("above")), groups, 1, fanout)
+        over = descend(upper, top.select("group", F.col("digest").alias("top"), none.alias("above")), fanout)
         ends = ends.join(over.select(F.col("place").alias("seat"), F.col("proof").alias("above")), "seat")
     else:
         ends = ends.withColumn("above", none)
@@ -158,7 +151,7 @@ def manifest(docs: DataFrame, fanout: int = 2) -> DataFrame:
 
     told = leaves.where("n = 1").join(ends, "group").select(*kept, "top", F.col("above").alias("proof"))
     if levels:
-        told = told.unionByName(descend(levels, ends, total, groups, fanout, kept).select(*kept, "top", "proof"))
+        told = told.unionByName(descend(levels, ends, fanout, kept).select(*kept, "top", "proof"))
     shown = F.aggregate("proof", F.lit(""), lambda acc, x: F.concat(acc, as_text(x["left"]), as_text(x["right"])))
     folded = as_text(fold(F.coalesce("tampered", "digest"), F.col("proof")))
     return told.select(
