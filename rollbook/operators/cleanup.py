@@ -66,29 +66,33 @@ def _posts(parsed: DataFrame, by: Sequence[str]) -> DataFrame:
     """The code records folded to distinct posts (prefix, stem): the persons holding such a code (first, last), and
     the record that stands for the post's group.
 
-    A group is named by the shortest stem (2+ letters) under the prefix that starts the stem. Everything after the
-    fold works on the vocabulary of posts, so a code entered very often is one row."""
+    Posts that one person holds go to that person. The others are tied where the stem of one (2+ letters) starts the stem of
+    another under the same prefix; the shortest stem of such a component starts all others in it, so that it names the component
+    and no walk over the ties is needed. Everything after the fold works on the vocabulary of posts, so a code entered very often
+    is one row."""
     posts = _codes(parsed).groupBy(*by, "prefix", "stem").agg(F.min(F.struct(*_keeper_order())).alias("best")).withColumn("block", F.substring("stem", 1, 2))
 
     own = let(_blank("code"), lambda c: F.struct(code_prefix(c).alias("own_prefix"), code_stem(c).alias("own_stem")))
     printed = F.struct(F.col("p.prefix").alias("own_prefix"), F.col("p.stem").alias("own_stem"))
     held = parsed.filter("kind = 'person'").select(*by, "person", F.explode(F.array(own, printed)).alias("c"))
-    held = held.select(*by, "person", "c.own_prefix", "c.own_stem").filter(F.col("own_prefix").isNotNull())
-    held = held.groupBy(*by, "own_prefix", "own_stem").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
-    held = held.withColumn("prefix", F.col("own_prefix")).withColumn("block", F.substring("own_stem", 1, 2)).withColumn("rep", F.lit(None).cast("string"))
-
-    short = posts.filter((F.length("stem") >= 2) & (F.col("prefix") != "")).select(*by, "prefix", "block", F.col("stem").alias("rep"))
-    other = held.select(*by, "prefix", "block", "own_stem", "lo", "hi", "rep").unionByName(short, allowMissingColumns=True)
-    same = same_post(F.col("prefix"), F.col("stem"), F.col("prefix"), F.col("own_stem"))
-    fits = F.when(F.col("rep").isNull(), same).otherwise(F.startswith("stem", "rep"))
-    pairs = posts.join(other, [*by, "prefix", "block"], "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    out = pairs.groupBy(*by, "prefix", "stem").agg(
-        F.min("best").alias("best"), F.min(F.when(F.col("_fits"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("_fits"), F.col("hi"))).alias("hi"),
-        F.min_by("rep", F.when(F.col("_fits") & F.col("rep").isNotNull(), F.struct(F.length("rep"), F.col("rep")))).alias("rep"),
-    )
-    out = out.withColumn("rep", F.coalesce("rep", "stem")).withColumn("one", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)))
-    group = Window.partitionBy(*by, "prefix", "rep", "one")
-    return out.withColumn("group_id", F.min("best").over(group)["teacher_id"]).select(*by, "prefix", "stem", "lo", "one", "group_id")
+    held = held.select(*by, "person", F.col("c.own_prefix").alias("prefix"), "c.own_stem").filter(F.col("prefix").isNotNull())
+    held = held.groupBy(*by, "prefix", "own_stem").agg(F.min("person").alias("lo"), F.max("person").alias("hi")).withColumn("block", F.substring("own_stem", 1, 2))
+    fits = F.coalesce(same_post(F.col("prefix"), F.col("stem"), F.col("prefix"), F.col("own_stem")), F.lit(False))
+    known = posts.join(held, [*by, "prefix", "block"], "left").groupBy(*by, "prefix", "stem", "block").agg(
+        F.min("best").alias("best"), F.min(F.when(fits, F.col("lo"))).alias("lo"), F.max(F.when(fits, F.col("hi"))).alias("hi")
+    )
+    known = known.withColumn("one", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)))
+
+    left = known.filter(~F.col("one"))
+    short = left.filter((F.length("stem") >= 2) & (F.col("prefix") != "")).select(*by, "prefix", "block", F.col("stem").alias("rep"))
+    starts = F.coalesce(F.startswith("stem", "rep"), F.lit(False))
+    named = left.join(short, [*by, "prefix", "block"], "left").groupBy(*by, "prefix", "stem").agg(
+        F.min("best").alias("best"), F.min("lo").alias("lo"), F.min_by("rep", F.when(starts, F.struct(F.length("rep"), F.col("rep")))).alias("rep")
+    )
+    group = Window.partitionBy(*by, "prefix", F.coalesce("rep", "stem"))
+    named = named.withColumn("group_id", F.min("best").over(group)["teacher_id"])
+    single = known.filter("one").select(*by, "prefix", "stem", "lo", "one", F.lit(None).cast("long").alias("group_id"))
+    return named.select(*by, "prefix", "stem", "lo", F.lit(False).alias("one"), F.col("group_id").cast("long").alias("group_id")).unionByName(single)
 
 
 def _codes(parsed: DataFrame) -> DataFrame:
@@ -135,17 +139,60 @@ def cleanup_targets(rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return persons.select(*by, "keep_id", "final_name", "final_code", "final_designation", changed.alias("renamed"))
 
 
+def code_targets(rows: DataFrame, plan: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The same for the record that a group of code records is folded into. It keeps its name and designation; without a code it
+    remembers the one its name prints."""
+    kept = plan.filter((F.col("action") == "primary") & (F.col("reason") != "same person")).select(*by, "teacher_id")
+    parsed = _parsed(rows, by).join(kept, [*by, "teacher_id"])
+    own = _blank("code")
+    return parsed.select(*by, F.col("teacher_id").alias("keep_id"), F.col("name").alias("final_name"), F.coalesce(own, "p.code").alias("final_code"), _blank("designation").alias("final_designation"), own.isNull().alias("renamed"))
+
+
+def _targets(rows: DataFrame, plan: DataFrame, by: Sequence[str]) -> DataFrame:
+    return cleanup_targets(rows, by).unionByName(code_targets(rows, plan, by))
+
+
 def cleanup_aliases(rows: DataFrame, plan: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Every spelling the kept record must remember: (by, keep_id, alias), one row each."""
+    """Every spelling the kept record must remember: (by, keep_id, alias), one row each.
+
+    Of one person: the aliases of all records, and their codes, entered or printed in the name, but the final one. Of a code
+    record folded into a person: its name and the code it prints. Of a group of code records: all aliases and the names of
+    the records that go."""
     moved = plan.filter("action in ('merge', 'primary')").select(*by, "teacher_id", "keep_id", "action", "reason")
-    r = rows.join(moved, [*by, "teacher_id"])
-    merged_code = (F.col("action") == "merge") & F.col("reason").isin("code of one person", "same code", "code matches several people")
-    words = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array(_blank("code"), F.when(merged_code, F.col("name"))))
-    out = r.select(*by, "keep_id", F.explode(F.array_compact(words)).alias("alias"))
-    final = cleanup_targets(rows, by).select(*by, "keep_id", "final_name", "final_code")
-    out = out.withColumn("alias", F.trim("alias")).filter("alias <> ''").distinct().join(final, [*by, "keep_id"], "left")
-    known = F.col("alias").eqNullSafe(F.col("final_name")) | F.col("alias").eqNullSafe(F.col("final_code"))
-    return out.filter(~known).select(*by, "keep_id", "alias")
+    r = _parsed(rows, by).join(moved, [*by, "teacher_id"]).join(_targets(rows, plan, by).select(*by, "keep_id", "final_name", "final_code"), [*by, "keep_id"], "left")
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+
+    def unless_final(code: Column) -> Column:
+        return F.when(~code.eqNullSafe(F.col("final_code")), code)
+
+    words = (
+        F.when(F.col("reason") == "same person", F.concat(aliases, F.array(unless_final(_blank("code")), unless_final(F.trim("p.code")))))
+        .when(F.col("reason") == "code of one person", F.array("name", "p.code"))
+        .otherwise(F.concat(aliases, F.array(F.when(F.col("action") == "merge", F.col("name")))))
+    )
+    out = r.select(*by, "keep_id", "final_name", F.explode(F.array_compact(words)).alias("alias")).withColumn("alias", F.trim("alias")).filter("alias <> ''")
+    return out.filter(~F.col("alias").eqNullSafe(F.col("final_name"))).select(*by, "keep_id", "alias").distinct()
+
+
+def _changed(rows: DataFrame, plan: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Final values of the kept records that a merge or a new name or code touches."""
+    into = plan.filter("action = 'merge'").select(*by, "keep_id").distinct().withColumn("_into", F.lit(True))
+    return _targets(rows, plan, by).join(into, [*by, "keep_id"], "left").filter(F.col("renamed") | F.col("_into").isNotNull()).drop("_into", "renamed")
+
+
+def apply_names(fact: DataFrame, rows: DataFrame, plan: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The names printed on facts follow their teacher: on rows of a changed record, after `apply_to_fact`, teacher_name is its final
+    name."""
+    final = _changed(rows, plan, by).select(*by, F.col("keep_id").alias("teacher_id"), F.col("final_name").alias("_final"))
+    out = fact.join(final, [*by, "teacher_id"], "left")
+    return out.withColumn("teacher_name", F.coalesce("_final", "teacher_name")).select(*fact.columns)
+
+
+def apply_to_logins(users: DataFrame, plan: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Logins of records that are merged away lose their teacher; the keeper's own login stays."""
+    gone = plan.filter("action = 'merge'").select(*by, "teacher_id").withColumn("_gone", F.lit(True))
+    out = users.join(gone, [*by, "teacher_id"], "left")
+    return out.withColumn("teacher_id", F.when(F.col("_gone").isNull(), F.col("teacher_id"))).select(*users.columns)
 
 
 def apply_to_fact(fact: DataFrame, plan: DataFrame, by: Sequence[str] = BY, unique: Sequence[str] = (), order: str = "duty_id") -> DataFrame:
@@ -165,13 +212,18 @@ def apply_to_fact(fact: DataFrame, plan: DataFrame, by: Sequence[str] = BY, uniq
 
 
 def apply_to_directory(rows: DataFrame, plan: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """The directory afterwards - deleted and merged records gone, kept ones with their final values."""
+    """The directory afterwards - deleted and merged records gone, changed ones with their final values and aliases (sorted)."""
     gone = plan.filter("action in ('merge', 'delete')").select(*by, "teacher_id")
-    final = cleanup_targets(rows, by).withColumnRenamed("keep_id", "teacher_id")
-    out = rows.join(gone, [*by, "teacher_id"], "left_anti").join(final, [*by, "teacher_id"], "left")
+    final = _changed(rows, plan, by).withColumnRenamed("keep_id", "teacher_id").withColumn("_changed", F.lit(True))
+    words = cleanup_aliases(rows, plan, by).groupBy(*by, F.col("keep_id").alias("teacher_id")).agg(F.array_sort(F.collect_set("alias")).alias("_words"))
+    out = rows.join(gone, [*by, "teacher_id"], "left_anti").join(final, [*by, "teacher_id"], "left").join(words, [*by, "teacher_id"], "left")
+    changed = F.col("_changed").isNotNull()
+    none = F.array().cast("array<string>")
     return out.select(
-        *by, "teacher_id", F.coalesce("final_name", "name").alias("name"), F.coalesce("final_code", "code").alias("code"), F.coalesce("final_designation", "designation").alias("designation")
-    )
+        *by, "teacher_id", F.coalesce("final_name", "name").alias("name"), F.when(changed, F.col("final_code")).otherwise(F.col("code")).alias("code"),
+        F.when(changed, F.col("final_designation")).otherwise(F.col("designation")).alias("designation"),
+        F.when(changed, F.coalesce("_words", none)).otherwise(F.coalesce("aliases", none)).alias("aliases"),
+    )
 
 
 # ---------------------------------------------------------------- learning from a published draft

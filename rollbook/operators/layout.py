@@ -21,7 +21,9 @@ PAGE = ("page_id",)
 
 HEADING = r"(?i)\bCLASS(?:ES)?\s*[-:.]?\s*([VXIl1|]{1,5}|\d{1,2}(?:st|nd|rd|th)?)(?![A-Za-z])\s*(?:[-–—/(,.\s'\"‘’“”`]*\b([A-F])\b)?"
 LONE_HEADING = r"(?i)^\s*([VXIl1|]{1,5})\s*[-–—(,]\s*['\"‘’]?([A-F])['\"’)]?\s*$"
-ORDINAL = r"(?i)^(\d{1,2})(st|nd|rd|th)$"
+ORDINAL = r"(?i)^([A-Za-z0-9]{1,2})(st|nd|rd|th)$"
+# Letters that a scan may show for a digit.
+LOOK_ALIKES = {"i": 1, "l": 1, "s": 5, "b": 8, "o": 0, "g": 9}
 NUMBERED = r"(?i)^(?:PERIOD|P)[-.]?(\d{1,2})$"
 
 
@@ -190,6 +192,16 @@ def _bare(c: str = "word") -> Column:
     return F.regexp_replace(F.col(c), "[.,:;()|]", "")
 
 
+def ordinal(word: Column) -> Column:
+    """1 to 12 for "1st" or "12th", also as misread ("ist", "Sth"); null where the ending does not belong to the number."""
+    w = F.lower(word)
+    head, tail = F.regexp_extract(w, ORDINAL, 1), F.regexp_extract(w, ORDINAL, 2)
+    alike = F.create_map(*[x for k, v in LOOK_ALIKES.items() for x in (F.lit(k), F.lit(v))])
+    n = F.when(head.rlike(r"^\d{1,2}$"), head.try_cast("int")).otherwise(F.try_element_at(alike, head))
+    ending = F.when(n == 1, "st").when(n == 2, "nd").when(n == 3, "rd").otherwise("th")
+    return F.when(n.between(1, 12) & (tail == ending), n)
+
+
 def period_tokens(lined: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Header words that mark a column: an ordinal, P-number or break word; bare or Roman numbers when a line has
     three or more and no times. Adds number (null for a break), is_break and the time range a word (or word - word)
@@ -203,16 +215,17 @@ def period_tokens(lined: DataFrame, keys: Sequence[str]) -> DataFrame:
     line = Window.partitionBy(*keys, "line_no")
     digits, roman = _bare().rlike(r"^\d{1,2}$"), F.upper(_bare()).isin(X.ROMAN[:10])
     out = out.withColumn("_timed", F.max(F.col("_span").isNotNull()).over(line))
-    out = out.withColumn("_digits", F.count_if(digits).over(line)).withColumn("_roman", F.count_if(roman).over(line)).withColumn("_ordinals", F.count_if(_bare().rlike(ORDINAL)).over(line))
+    out = out.withColumn("_digits", F.count_if(digits).over(line)).withColumn("_roman", F.count_if(roman).over(line)).withColumn("_nth", ordinal(_bare()))
+    out = out.withColumn("_ordinals", F.count("_nth").over(line))
     number = (
-        F.when(_bare().rlike(ORDINAL), F.regexp_extract(_bare(), ORDINAL, 1).try_cast("int"))
+        F.when(F.col("_nth").isNotNull(), F.col("_nth"))
         .when(_bare().rlike(NUMBERED), F.regexp_extract(_bare(), NUMBERED, 1).try_cast("int"))
         .when(digits & (F.col("_digits") >= 3) & ~F.col("_timed"), _bare().try_cast("int"))
         .when(roman & (F.col("_roman") >= 3) & (F.col("_ordinals") == 0) & ~F.col("_timed"), X.class_rank(F.upper(_bare())))
     )
     out = out.withColumn("is_break", X.is_break_label(F.col("word"))).withColumn("number", F.when(~F.col("is_break") & number.between(1, 12), number))
     out = with_value(out, "range", X.time_range(F.col("_span")))
-    return out.withColumn("xc", F.when(F.col("range").isNotNull(), (F.col("x0") + F.col("_x1")) / 2).otherwise(_xc())).drop("_span", "_x1", "_timed", "_digits", "_roman", "_ordinals")
+    return out.withColumn("xc", F.when(F.col("range").isNotNull(), (F.col("x0") + F.col("_x1")) / 2).otherwise(_xc())).drop("_span", "_x1", "_timed", "_digits", "_roman", "_ordinals", "_nth")
 
 
 def _to_min(c: str) -> Column:
@@ -223,8 +236,9 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The columns of each table head (words of its head lines): col_no, xc, number, is_break, times.
 
     Time ranges are the columns where there are at least three and as many as period marks; marks are then attached to
-    the nearest range. Otherwise the marks are the columns and take the nearest range. Missing numbers are filled, and
-    a gap between two periods becomes a break. A head with a single column is no table."""
+    the nearest range; a break mark out of reach of every range is a column of its own, without times. Two ranges and less than
+    two marks make two plain periods. Otherwise the marks are the columns and take the nearest range. Missing numbers are
+    filled, and a gap between two periods becomes a break. A head with a single column is no table."""
     tokens = period_tokens(header, keys)
     marks = tokens.filter(F.col("number").isNotNull() | F.col("is_break"))
     w = Window.partitionBy(*keys).orderBy("xc", "line_no")
@@ -237,7 +251,8 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     both = both.withColumn("m", F.coalesce("m", F.array().cast("array<struct<xc:double,number:int,is_break:boolean>>"))).withColumn("r", F.coalesce("r", F.array().cast("array<struct<xc:double,s:string,e:string>>")))
     both = cut_lineage(both)  # one small row per table, used several times below
     n_marks = F.size(F.filter("m", lambda x: ~x["is_break"]))
-    by_range = ((F.size("r") >= 3) & (F.size("r") >= n_marks)) | ((n_marks < 2) & (F.size("r") >= 2))
+    many = (F.size("r") >= 3) & (F.size("r") >= n_marks)
+    plain = ~many & (n_marks < 2) & (F.size("r") >= 2)
 
     def spacing(a: str) -> Column:
         steps = F.array_sort(F.transform(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, i: x["xc"] - F.get(F.col(a), i)["xc"]))
@@ -248,8 +263,9 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     def nearest(a: str, x: Column) -> Column:
         return F.array_min(F.transform(a, lambda c, i: F.struct(F.abs(c["xc"] - x).alias("d"), i.alias("i"))))
 
-    both = both.withColumn("by_range", by_range).withColumn("gap", F.when(by_range, spacing("r")).otherwise(spacing("m")))
-    base = both.select(*keys, "by_range", "gap", "m", "r", F.posexplode(F.when(F.col("by_range"), F.transform("r", lambda x: x["xc"])).otherwise(F.transform("m", lambda x: x["xc"]))).alias("i", "xc"))
+    no_marks = F.filter("m", lambda x: F.lit(False))
+    both = both.withColumn("by_range", many | plain).withColumn("plain", plain).withColumn("m", F.when(F.col("plain"), no_marks).otherwise(F.col("m"))).withColumn("gap", F.when(F.col("by_range"), spacing("r")).otherwise(spacing("m")))
+    base = both.select(*keys, "by_range", "plain", "gap", "m", "r", F.posexplode(F.when(F.col("by_range"), F.transform("r", lambda x: x["xc"])).otherwise(F.transform("m", lambda x: x["xc"]))).alias("i", "xc"))
     reach = F.when(F.col("by_range"), F.greatest(F.col("gap") * 0.6, F.lit(25.0))).otherwise(F.greatest(F.col("gap") * 0.8, F.lit(20.0)))
 
     def taken(other: str, own: str) -> Column:
@@ -263,13 +279,14 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     is_break = F.when(F.col("by_range"), F.exists("_m", lambda z: z["o"]["is_break"])).otherwise(own_m["is_break"])
     number = F.when(F.col("by_range"), lent["number"]).otherwise(own_m["number"])
     times = F.when(F.col("by_range"), F.struct(own_r["s"].alias("s"), own_r["e"].alias("e"))).otherwise(F.struct(F.get("_r", F.lit(0))["o"]["s"].alias("s"), F.get("_r", F.lit(0))["o"]["e"].alias("e")))
-    cols = base.select(*keys, "xc", "by_range", is_break.alias("is_break"), F.when(~is_break, number).alias("number"), times["s"].alias("start_time"), times["e"].alias("end_time"))
-
-    cols = cut_lineage(cols)
+    cols = base.select(*keys, "xc", "by_range", "plain", is_break.alias("is_break"), F.when(~is_break, number).alias("number"), times["s"].alias("start_time"), times["e"].alias("end_time"))
+    far = F.filter("m", lambda z: z["is_break"] & (nearest("r", z["xc"])["d"] > reach))
+    lone = both.filter("by_range").select(*keys, F.explode(far).alias("z")).select(*keys, F.col("z.xc").alias("xc"), F.lit(True).alias("by_range"), F.lit(False).alias("plain"), F.lit(True).alias("is_break"))
+    cols = cut_lineage(cols.unionByName(lone, allowMissingColumns=True))
     periods = fill_period_numbers(cols.filter(~F.col("is_break")), keys, "xc")
     periods = periods.withColumn("number", F.when(F.col("by_range"), F.col("filled")).otherwise(F.col("number"))).drop("filled")
     cols = periods.unionByName(cols.filter("is_break")).drop("by_range").withColumn("inferred", F.lit(False))
-    timed = cols.withColumn("start_min", _to_min("start_time")).withColumn("end_min", _to_min("end_time"))
+    timed = cols.filter(~F.col("plain")).withColumn("start_min", _to_min("start_time")).withColumn("end_min", _to_min("end_time"))
 
     def clock(c: str) -> Column:
         return F.format_string("%02d:%02d", F.floor(F.col(c) / 60).cast("int"), (F.col(c) % 60).cast("int"))
@@ -277,7 +294,7 @@ def detect_columns(header: DataFrame, keys: Sequence[str]) -> DataFrame:
     gaps = infer_breaks(timed, keys).select(
         *keys, "xc", F.lit(True).alias("is_break"), F.lit(None).cast("int").alias("number"), clock("start_min").alias("start_time"), clock("end_min").alias("end_time"), F.lit(True).alias("inferred")
     )
-    out = cols.unionByName(gaps).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n >= 2").drop("_n")
+    out = cols.drop("plain").unionByName(gaps).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n >= 2").drop("_n")
     return out.withColumn("col_no", (F.row_number().over(Window.partitionBy(*keys).orderBy("xc")) - 1).cast("int"))
 
 
@@ -354,17 +371,26 @@ def read_timetables(words: DataFrame, page: Sequence[str] = PAGE, from_text: boo
 # ---------------------------------------------------------------- ruled tables: W6, W7
 
 
-def grid_cells(rule_h: DataFrame, rule_v: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+def grid_cells(rule_h: DataFrame, rule_v: DataFrame, page: Sequence[str] = PAGE, sizes: DataFrame | None = None) -> DataFrame:
     """Cells of a ruled table: rules within 8 units are one line; rows are at least 18 high; a divider cuts a row
-    when it covers 55% of it, so a merged cell spans the columns it lacks dividers for."""
+    when it covers 55% of it, so a merged cell spans the columns it lacks dividers for.
+
+    `sizes` (page, width) gives the width of the sheet: a page whose widest line is under 40% of it holds no table, and a line counts
+    from 12% of it on. Without it the table's own width is taken."""
     down = Window.partitionBy(*page).orderBy("y")
     h = rule_h.withColumn("_new", F.when(F.col("y") - F.lag("y").over(down) > 8, 1).otherwise(0))
     h = h.withColumn("_g", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     lines = h.groupBy(*page, "_g").agg(F.avg("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1")).withColumn("span", F.col("x1") - F.col("x0"))
     widest = lines.groupBy(*page).agg(F.max("span").alias("_w"))
+    if sizes is not None:
+        wide = sizes.select(*page, F.col("width").cast("double").alias("_page"))
+        widest = widest.join(wide, list(page), "left").filter(F.col("_page").isNull() | (F.col("_w") >= F.col("_page") * 0.4)).drop("_page")
     full = lines.join(widest, list(page)).filter(F.col("span") >= F.col("_w") * 0.85)
     box = full.groupBy(*page).agg(F.min("y").alias("_top"), F.max("y").alias("_bottom"), F.min("x0").alias("tx0"), F.max("x1").alias("tx1"), F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
-    edges = lines.join(box, list(page)).filter((F.col("y") >= F.col("_top") - 4) & (F.col("y") <= F.col("_bottom") + 4) & (F.col("span") >= (F.col("tx1") - F.col("tx0")) * 0.12))
+    box = box.withColumn("_unit", F.col("tx1") - F.col("tx0"))
+    if sizes is not None:
+        box = box.join(wide, list(page), "left").withColumn("_unit", F.coalesce("_page", "_unit")).drop("_page")
+    edges = lines.join(box, list(page)).filter((F.col("y") >= F.col("_top") - 4) & (F.col("y") <= F.col("_bottom") + 4) & (F.col("span") >= F.col("_unit") * 0.12))
     rows = edges.withColumn("cy1", F.lead("y").over(down)).filter(F.col("cy1") - F.col("y") >= 18).select(*page, F.col("y").alias("cy0"), "cy1", "tx0", "tx1")
     rows = rows.withColumn("row_no", (F.row_number().over(Window.partitionBy(*page).orderBy("cy0")) - 1).cast("int"))
 
@@ -395,9 +421,52 @@ def cell_texts(words: DataFrame, cells: DataFrame, page: Sequence[str] = PAGE) -
     return out.withColumn("text", F.coalesce(F.array_join("lines", " "), F.lit(""))).withColumn("conf", F.coalesce("conf", F.lit(0.0)))
 
 
-def remedial_matrix(cells: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+def _repaired_labels(label: DataFrame, heading: Column, page: Sequence[str]) -> DataFrame:
+    """Row labels (page, row_no, class_name, section) of each matrix in order, with those filled in that could not be read.
+
+    A class that stands twice in a row, without sections, was misread the second time. What is unread after a class without a
+    section is the next one, as long as the heading's range ("class VI to X") goes on; `assumed` marks it. One pass over
+    the rows of a sheet."""
+    order = F.array(*[F.lit(r) for r in X.ROMAN[5:12]])
+    last = X.normalize_class(F.regexp_extract(heading, RANGE_HEADING, 2))
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("c"), none.alias("s"), F.array().cast("array<struct<row_no:int,class_name:string,section:string,assumed:boolean>>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        bare = F.coalesce(acc["s"] == "", F.lit(False))
+        again = bare & (x["section"] == "") & (x["class_name"] == acc["c"])
+        own = F.when(~F.coalesce(again, F.lit(False)), x["class_name"])
+        on = bare & own.isNull() & F.coalesce(X.class_rank(acc["c"]) < X.class_rank(last), F.lit(False)) & last.isNotNull()
+        name = F.coalesce(own, F.when(on, F.get(order, F.array_position(order, acc["c"]).cast("int"))))
+        part = F.when(own.isNotNull(), x["section"]).otherwise(F.lit(""))
+        told = F.struct(x["row_no"].alias("row_no"), name.alias("class_name"), part.alias("section"), (own.isNull() & name.isNotNull()).alias("assumed"))
+        return F.struct(F.coalesce(name, acc["c"]).alias("c"), F.when(name.isNotNull(), part).otherwise(acc["s"]).alias("s"), F.concat(acc["done"], F.array(told)).alias("done"))
+
+    rows = label.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("row_no", "class_name", "section"))).alias("_rows"), F.first("heading").alias("heading"))
+    return rows.select(*page, F.explode(F.aggregate("_rows", start, step)["done"]).alias("x")).select(*page, "x.*")
+
+
+RANGE_HEADING = r"(?i)class(?:es)?\s+([VXIl1|]+|\d+)\s+to\s+([VXIl1|]+|\d+)"
+# Words of a heading and the kind of extra class they name.
+CATEGORIES = {"remedial": "REMEDIAL", r"life\s*skill": "LIFE_SKILL", "enrich": "ENRICHMENT"}
+
+
+def extra_category(heading: Column) -> Column:
+    """The one kind of extra class that a heading names, else OTHER."""
+    named = {v: F.lower(heading).rlike(k) for k, v in CATEGORIES.items()}
+    count = sum((c.cast("int") for c in named.values()), F.lit(0))
+    picked = F.lit("OTHER")
+    for kind, c in reversed(named.items()):
+        picked = F.when(c, F.lit(kind)).otherwise(picked)
+    return F.when(count == 1, picked).otherwise(F.lit("OTHER"))
+
+
+def remedial_matrix(cells: DataFrame, page: Sequence[str] = PAGE, headings: DataFrame | None = None) -> DataFrame:
     """Extra classes from a ruled matrix - classes as rows, day groups over time sub-columns. A cell that spans
-    several sub-columns of a day runs from the first start to the last end. Labels that cannot be read stay empty."""
+    several sub-columns of a day runs from the first start to the last end.
+
+    `headings` (page, heading) gives the category and the range of classes, by which labels that cannot be read are filled in
+    with confidence 0.4 at most; without it they stay empty."""
     c = with_value(cells, "_v", F.struct(X.day_in_text(F.col("text")).alias("day"), X.time_range(F.col("text")).alias("t")))
     days = c.filter(F.col("_v.day").isNotNull())
     day_row = days.groupBy(*page, "row_no").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").groupBy(*page).agg(F.min("row_no").alias("_dr"))
@@ -416,12 +485,19 @@ def remedial_matrix(cells: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
         F.min_by(F.coalesce(F.regexp_extract(picked, pattern, 1), X.normalize_class(letters)), "col_no").alias("class_name"), F.min_by(F.coalesce(F.regexp_extract(picked, pattern, 2), F.lit("")), "col_no").alias("section")
     )
     entry = body.filter((F.col("cx0") >= F.col("_fx") - 6) & (F.col("text") != ""))
+    filled = entry.select(*page, "row_no").distinct().join(label, [*page, "row_no"], "left").withColumn("section", F.coalesce("section", F.lit("")))
+    titles = cells.select(*page).distinct().withColumn("heading", F.lit("")) if headings is None else headings.select(*page, "heading")
+    titles = titles.withColumn("heading", F.coalesce("heading", F.lit("")))
+    filled = filled.join(titles, list(page), "left").withColumn("heading", F.coalesce("heading", F.lit("")))
+    label = _repaired_labels(filled, F.col("heading"), page).withColumn("section", X.normalize_section(F.col("section")))
     entry = entry.join(subs.select(*page, "cx", "s", "e", "day"), list(page)).filter((F.col("cx") > F.col("cx0") + 2) & (F.col("cx") < F.col("cx1") - 2))
     g = entry.groupBy(*page, "row_no", "col_no", "day").agg(F.min("s").alias("start_time"), F.max("e").alias("end_time"), F.first("lines").alias("lines"), F.first("conf").alias("conf"))
     out = with_value(g.join(label, [*page, "row_no"], "left"), "c", split_cell(F.col("lines"))).filter((F.col("c.subject") != "") | (F.col("c.teacher") != ""))
-    conf = F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.col("conf"))), 2)
+    sure = F.when(F.col("assumed"), F.least(F.lit(0.4), F.col("conf"))).otherwise(F.col("conf"))
+    conf = F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.05), sure)), 2)
+    out = out.join(titles, list(page), "left")
     return out.select(
-        *page, F.coalesce("class_name", F.lit("")).alias("class_name"), F.coalesce("section", F.lit("")).alias("section"), "day", "start_time", "end_time",
+        *page, extra_category(F.coalesce("heading", F.lit(""))).alias("category"), F.coalesce("class_name", F.lit("")).alias("class_name"), F.coalesce("section", F.lit("")).alias("section"), "day", "start_time", "end_time",
         F.col("c.subject").alias("activity"), F.col("c.teacher").alias("teacher_name"), conf.alias("confidence"),
     )
 
@@ -431,7 +507,24 @@ def remedial_matrix(cells: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
 
 def duty_table_rows(cells: DataFrame, keys: Sequence[str], heading: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Duties from table cells (keys, row_no, col_no, text): column roles by their head text, the date carried down
-    in holiday lists. Returns (duties, dates that name nobody or no person)."""
+    in holiday lists. `heading` (keys, heading) is the text above each table, which may name the kind of list. Returns (duties,
+    dates that name nobody or no person)."""
+    duties, reported = _duty_tables(cells, keys, heading)
+    return duties.drop("description"), reported
+
+
+def described_duties(cells: DataFrame, keys: Sequence[str], heading: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """The duties with a description (house, classes, day off, "MOD") and the confidence of their source: `sources` (keys,
+    from_scan, mean_conf) tells scanned pages, whose words' mean counts; text is taken at 0.97."""
+    duties, _ = _duty_tables(cells, keys, heading)
+    if sources is None:
+        return duties.withColumn("confidence", F.lit(0.97))
+    scanned = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("mean_conf") / 100)), 2)
+    out = duties.join(sources.select(*keys, "from_scan", "mean_conf"), list(keys), "left")
+    return out.withColumn("confidence", F.when(F.coalesce("from_scan", F.lit(False)), scanned).otherwise(F.lit(0.97))).drop("from_scan", "mean_conf")
+
+
+def _duty_tables(cells: DataFrame, keys: Sequence[str], heading: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     t = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
     off = t.rlike(r"weekly\s*off")
     role = {
@@ -467,10 +560,14 @@ def duty_table_rows(cells: DataFrame, keys: Sequence[str], heading: DataFrame |
     def only_holiday(c: Column) -> Column:
         return F.when(F.col("holiday"), c)
 
+    told = F.concat_ws(
+        " · ", F.nullif("house", F.lit("")), F.when(F.col("classes") != "", F.concat(F.lit("Class "), "classes")),
+        F.concat(F.lit("weekly off "), F.date_format("_p.off", "dd-MM-yyyy")), F.when(F.col("name").rlike(r"(?i)\(\s*MOD\s*\)"), F.lit("MOD")),
+    )
     duties = rows.filter(person).select(
         *keys, "row_no", "duty_date", F.col("_p.p.name").alias("teacher_name"), F.when(F.col("holiday"), F.lit("HOLIDAY")).otherwise(F.lit("MOD")).alias("duty_type"),
         F.substring(printed, 1, 80).alias("designation"), only_holiday(F.nullif("house", F.lit(""))).alias("house"), only_holiday(F.nullif("classes", F.lit(""))).alias("classes"),
-        only_holiday(F.col("_p.off")).alias("off_date"),
+        only_holiday(F.col("_p.off")).alias("off_date"), F.when(F.col("holiday"), told).otherwise(F.lit("")).alias("description"),
     )
     problem = F.when(F.col("name") != "", F.lit("not a person")).when(F.col("designation") != "", F.lit("no person named"))
     reported = rows.filter(~person).withColumn("problem", problem).filter(F.col("problem").isNotNull()).select(*keys, "row_no", "duty_date", "name", "problem")

@@ -19,11 +19,13 @@ BY = ("school_id",)
 
 
 def publish_routine(
-    periods: DataFrame, resolved: DataFrame, summary: DataFrame, routines: DataFrame, as_of: date, effective: date | None = None, by: Sequence[str] = BY
-) -> dict[str, DataFrame]:
+    periods: DataFrame, resolved: DataFrame, summary: DataFrame, routines: DataFrame, as_of: date, effective: date | None = None, by: Sequence[str] = BY,
+    known: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """L1: the drafts that pass the gate become the next version of their school.
 
     periods: draft rows (by, draft_id, ...); resolved: (by, raw, teacher_id); summary: (by, draft_id, publishable).
+    known: stored subjects (by, subject_id, name); a printed subject whose name is one of them, whatever the case, keeps its id.
     Drafts of one school publish in draft order, so each takes the next number. Returns the new period, class,
     subject and day rows and the new state of the version table; a later effective date schedules the version."""
     gate = summary.filter("publishable").select(*by, "draft_id").distinct()
@@ -43,6 +45,9 @@ def publish_routine(
     classes = period.select(*by, "version", "class_name", "section").distinct()
     named = period.filter(F.col("subject_key").isNotNull())
     subjects = named.groupBy(*by, "subject_key").agg(F.min_by(F.trim("subject"), F.struct("version", "seq")).alias("name"))
+    if known is not None:
+        stored = known.select(*by, F.lower("name").alias("_lower"), "subject_id").groupBy(*by, "_lower").agg(F.min("subject_id").alias("subject_id"))
+        subjects = subjects.withColumn("_lower", F.lower("name")).join(stored, [*by, "_lower"], "left").drop("_lower")
     days = period.select(*by, "day_idx").distinct()
 
     start = effective if effective is not None and effective > as_of else as_of

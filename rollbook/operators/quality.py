@@ -228,6 +228,13 @@ def remedial_issues(remedial: DataFrame, offs: DataFrame, lessons: DataFrame, by
     return _union([_flag(df, "remedial", "warning", code, by) for df, code in ((on_off, "remedialOnOff"), (clash, "remedialClash"), (double, "remedialDouble"))])
 
 
+def roster_audit(duties: DataFrame, offs: DataFrame, remedial: DataFrame, lessons: DataFrame, resolved: DataFrame, by: Sequence[str] = BY, school: Sequence[str] = ("school_id",)) -> DataFrame:
+    """Every collision of a hand-edited roster, by the rules the planner follows: R11 over duties and days off, R12 over extra
+    classes. `resolved` (by or school, raw, teacher_id, is_new) tells who a printed name is."""
+    duties, offs, remedial = (with_person(x, resolved, school) for x in (duties, offs, remedial))
+    return roster_issues(duties, offs, by).unionByName(remedial_issues(remedial, offs, lessons, by, school))
+
+
 # ---------------------------------------------------------------- all together: U5, G17, P7
 
 
@@ -244,6 +251,39 @@ def issue_summary(issues: DataFrame, drafts: DataFrame, by: Sequence[str] = BY)
     return out.select(*by, F.coalesce("errors", zero).alias("errors"), F.coalesce("warnings", zero).alias("warnings")).withColumn("publishable", F.col("errors") == 0)
 
 
+def repeated_findings(prepared: DataFrame, remedial: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """(by, severity, more) for what a rule finds more than once on a row, where an issue is kept once per row and code: a second clock
+    that cannot be read, and every further lesson or extra class that a row overlaps."""
+    one = F.lit(1).cast("long")
+
+    def bad(c: str) -> Column:
+        return (F.coalesce(F.col(c), F.lit("")) != "") & ~is_clock(F.col(c))
+
+    clocks = [df.filter(bad("start_time") & bad("end_time")).select(*by, F.lit("error").alias("severity"), one.alias("more")) for df in (prepared, remedial)]
+    rows = prepared.select(*by, "seq", "is_break", "teacher_id", "day_idx", "class_name", "section", "start_min", "end_min", "period_number")
+    booked = with_value(remedial, "who", _who()).withColumn("start_min", to_minutes(F.col("start_time"))).withColumn("end_min", to_minutes(F.col("end_time")))
+    booked = booked.filter(_named() & F.col("day_idx").isNotNull() & F.col("start_min").isNotNull() & F.col("end_min").isNotNull()).drop("teacher_id").withColumn("teacher_id", F.col("who"))
+    parts = [(C.teacher_clash(rows, by), C.clashing_rows(rows, by)), (C.remedial_double(booked, by), C.doubled_rows(booked, by))]
+    found = []
+    for pairs, once in parts:
+        found.append(pairs.select(*by, F.col("pairs").cast("long").alias("more")).unionByName(once.select(*by, (-one).alias("more"))).withColumn("severity", F.lit("warning")))
+    out = _union([*clocks, *[f.select(*by, "severity", "more") for f in found]])
+    return out.groupBy(*by, "severity").agg(F.sum("more").alias("more")).filter("more <> 0")
+
+
+def issue_totals(issues: DataFrame, repeated: DataFrame, drafts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """All findings of each draft - its issues and what `repeated_findings` adds to them."""
+    rows = issues.select(*by, "severity", F.lit(1).cast("long").alias("more")).unionByName(repeated.select(*by, "severity", "more"))
+    return _per_severity(rows, drafts, by)
+
+
+def _per_severity(rows: DataFrame, drafts: DataFrame, by: Sequence[str]) -> DataFrame:
+    sums = {f"{s}s": F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("more"))), F.lit(0)) for s in ("error", "warning")}
+    g = rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+    out = drafts.select(*by).distinct().join(g, list(by), "left")
+    return out.select(*by, *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in sums]).withColumn("publishable", F.col("errors") == 0)
+
+
 def issues_by_class(issues: DataFrame, periods: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Errors and warnings of each class-section as printed."""
     rows = issues.filter((F.col("scope") == "period") & F.col("seq").isNotNull()).join(periods.select(*by, "seq", "class_name", "section"), [*by, "seq"])
@@ -276,7 +316,8 @@ def _rejects(df: DataFrame, keep: Sequence[str], checks: Sequence[tuple[str, Col
 def reject_people(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return _rejects(
         df, keep,
-        [("name", _too_short("name", 2) | _too_long("name", 120)), ("code", _too_long("code", 40)), ("designation", _too_long("designation", 80)), ("aliases", F.size("aliases") > 10)],
+        [("name", _too_short("name", 2) | _too_long("name", 120)), ("code", _too_long("code", 40)), ("designation", _too_long("designation", 80)), ("aliases", (F.size("aliases") > 10) | F.exists("aliases", lambda a: F.length(F.trim(a)) > 120)),
+         *([("phone", _too_long("phone", 30))] if "phone" in df.columns else [])],
     )
 
 
@@ -296,7 +337,8 @@ def reject_periods(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     def bad(c: str) -> Column:
         return F.col(c).isNotNull() & ~is_clock(F.col(c))
 
-    return _rejects(df, keep, [("subject", _too_long("subject", 120)), ("start_time", bad("start_time")), ("end_time", bad("end_time")), ("order", e <= s)])
+    room = [("room", _too_long("room", 40))] if "room" in df.columns else []
+    return _rejects(df, keep, [("subject", _too_long("subject", 120)), ("start_time", bad("start_time")), ("end_time", bad("end_time")), ("order", e <= s), *room])
 
 
 def reject_remedial(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -307,6 +349,52 @@ def reject_remedial(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
+def _iso(c: Column) -> Column:
+    """Whether text is a date written YYYY-MM-DD."""
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def reject_clubs(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Clubs (name, members, activities)."""
+
+    def bad(c: str, longest: int) -> Column:
+        return (F.size(c) > 60) | F.exists(c, lambda x: F.length(F.trim(x)) > longest)
+
+    return _rejects(df, keep, [("name", _too_short("name", 2) | _too_long("name", 120)), ("members", bad("members", 160)), ("activities", bad("activities", 300))])
+
+
+def reject_duty_requests(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Requests to put teachers on duty (dates, teacher_ids as text, description, duty_type)."""
+    dates = ~F.coalesce(F.size("dates").between(1, 62), F.lit(False)) | F.exists("dates", lambda d: ~_iso(d))
+    people = ~F.coalesce(F.size("teacher_ids").between(1, 30), F.lit(False)) | F.exists("teacher_ids", lambda i: F.coalesce(i, F.lit("")) == "")
+    return _rejects(df, keep, [("dates", dates), ("teachers", people), ("description", _too_long("description", 300)), ("type", ~F.col("duty_type").isin("MOD", "HOLIDAY"))])
+
+
+def reject_accounts(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """New accounts (username, password): the name counts trimmed and in lower case."""
+    name = F.lower(F.trim(F.coalesce("username", F.lit(""))))
+    word = F.length(F.coalesce("password", F.lit("")))
+    return _rejects(df, keep, [("username", ~F.length(name).between(3, 40) | ~name.rlike("^[a-z0-9._-]+$")), ("password", ~word.between(8, 100))])
+
+
+def reject_settings(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Changes of a school's settings; a null field is not changed."""
+
+    def text(c: str, least: int, most: int) -> tuple[str, Column]:
+        return (c, ~F.length(F.trim(c)).between(least, most))
+
+    def items(c: str, least: int, longest: int) -> tuple[str, Column]:
+        return (c, ~F.size(c).between(least, 20) | F.exists(c, lambda x: ~F.length(F.trim(x)).between(1, longest)))
+
+    mail = F.trim("contact_email")
+    checks = [
+        text("school_name", 2, 160), text("school_address", 2, 200), text("portal_name", 2, 80), items("classes", 1, 10), items("sections", 0, 3), text("contact_phone", 0, 30),
+        ("contact_email", (mail != "") & (~mail.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$") | (F.length(mail) > 120))), text("footer_text", 0, 300),
+    ]
+    present = [(n, F.col(n).isNotNull() & c) for n, c in checks if n in df.columns]
+    return _rejects(df, keep, present)
+
+
 def reject_subjects(new: DataFrame, existing: DataFrame, by: Sequence[str] = ("school_id",)) -> DataFrame:
     """New subjects (by, seq, name) that exist already, whatever their case, in the table or earlier in the batch."""
     rows = new.withColumn("_n", F.lower(F.trim("name")))

@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.clock import class_label, lookup
 from rollbook.functions.people import classify
 from rollbook.functions.text import class_rank, normalize_class
 from rollbook.keyed import first_rows, with_value
+from rollbook.session import cut_lineage
 
 BY = ("school_id",)
 
@@ -191,6 +192,17 @@ def off_on(offs: DataFrame, duties: DataFrame, teachers: DataFrame, day: date, b
     return both.agg(F.max("source").alias("source"))
 
 
+def next_duties(duties: DataFrame, day: date, by: Sequence[str] = BY, ahead: int = 20, each: int = 6) -> DataFrame:
+    """Of each teacher's next `ahead` duties from `day` on, the first `each` of a kind after that day, with their place, and those
+    of the kind HOLIDAY on the day itself at place 0."""
+    key = [*by, "teacher_id"]
+    rows = first_rows(duties.filter(F.col("duty_date") >= F.lit(day)), key, F.col("duty_date"), F.col("duty_id"), k=ahead)
+    w = Window.partitionBy(*key, "duty_type").orderBy("duty_date", "duty_id")  # `ahead` rows at most
+    later = rows.filter(F.col("duty_date") > F.lit(day)).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= each)
+    now = first_rows(rows.filter((F.col("duty_date") == F.lit(day)) & (F.col("duty_type") == "HOLIDAY")), key, F.col("duty_id"))
+    return later.unionByName(now.withColumn("place", F.lit(0))).select(*key, "duty_type", "place", "duty_date", "duty_id")
+
+
 def teacher_day(
     periods: DataFrame, duties: DataFrame, offs: DataFrame, teachers: DataFrame, version: int, day: date, by: Sequence[str] = BY
 ) -> DataFrame:
@@ -280,6 +292,34 @@ def page_of(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def deep_page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """F4 far into a listing: `page_of` holds all rows up to the page in one task; here rows are cut into ranges of the order, ranges
+    are counted, and only those that hold the page are sorted."""
+    rows = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy("_range").count().orderBy("_range").collect()  # a row a range
+    start, before, held, skip = (number - 1) * size, 0, [], 0
+    for r in counts:
+        if before < start + size and before + r["count"] > start:
+            if not held:
+                skip = start - before
+            held.append(r["_range"])
+        before += r["count"]
+    return rows.filter(F.col("_range").isin(held)).drop("_range").orderBy(*order).offset(skip).limit(size)
+
+
+def page_after(df: DataFrame, last: Sequence[tuple[str, object, bool]], size: int) -> DataFrame:
+    """F4 onwards from a page: the next `size` rows behind its last row, given as (column, value, descending) in the order of the
+    listing. The filter reaches the scan and no task holds more than `size` rows, however far the page."""
+    behind, equal = F.lit(False), F.lit(True)
+    for name, value, down in last:
+        c = F.col(name)
+        behind = behind | (equal & ((c < F.lit(value)) if down else (c > F.lit(value))))
+        equal = equal & (c == F.lit(value))
+    name, value, down = last[0]
+    first = (F.col(name) <= F.lit(value)) if down else (F.col(name) >= F.lit(value))  # a plain bound for the scan
+    return df.filter(first & behind).orderBy(*[F.col(n).desc() if down else F.col(n) for n, _, down in last]).limit(size)
+
+
 def page_count(df: DataFrame, size: int = 40, by: Sequence[str] = ()) -> DataFrame:
     """number of pages, at least one."""
     return df.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("long").alias("pages"))

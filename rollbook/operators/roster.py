@@ -12,7 +12,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.functions.text import class_rank
 from rollbook.keyed import first_rows, numbered
+from rollbook.session import written
 
 BY = ("school_id",)
 
@@ -30,10 +32,10 @@ def shortage(pool: DataFrame, per_day: int, min_gap: int, by: Sequence[str] = BY
 
 def roster_candidates(
     pool: DataFrame, start: date, end: date, kind: str, restrictions: DataFrame, offs: DataFrame, comp_offs: DataFrame, last: DataFrame, gap: int,
-    holidays: DataFrame | None = None, by: Sequence[str] = BY,
+    holidays: DataFrame | None = None, by: Sequence[str] = BY, work_days: Sequence[int] | None = None,
 ) -> DataFrame:
-    """(teacher, date) pairs that may take a duty of the kind: working days for MOD, Sundays and holidays for
-    HOLIDAY; not restricted, off, on compensatory off, or within `gap` days of the last duty in the history.
+    """(teacher, date) pairs that may take a duty of the kind: working days (`work_days`, else Monday to Saturday) for MOD,
+    Sundays and holidays for HOLIDAY; not restricted, off, on compensatory off, or within `gap` days of the last duty in the history.
 
     restrictions: by, teacher_id and the arrays dates, days, duties (null means any)."""
     key = [*by, "teacher_id"]
@@ -45,6 +47,8 @@ def roster_candidates(
     else:
         rows = rows.withColumn("_h", F.lit(None).cast("boolean"))
     free = (F.col("day_idx") == 6) | F.coalesce("_h", F.lit(False))
+    if kind != "HOLIDAY" and work_days is not None:
+        free = free | ~F.col("day_idx").isin([int(d) for d in work_days])
     rows = rows.filter(free if kind == "HOLIDAY" else ~free).drop("_h")
 
     r = restrictions.filter(F.col("duties").isNull() | F.array_contains("duties", kind))
@@ -143,6 +147,76 @@ def remedial_candidates(teaches: DataFrame, slots: DataFrame, lessons: DataFrame
     return first_rows(rows, [*by, "class_name", "section"], *score).select(*key, "class_name", "section", "subject", "tier", "day_idx", "start_min", "end_min")
 
 
+def _remedial_options(teaches: DataFrame, pool: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(options, subjects): the teachers and slots every class-section could have, whatever else is planned, and what each of the
+    teachers teaches there."""
+    key, cs = [*by, "teacher_id"], [*by, "class_name", "section"]
+    fine = teaches.filter("section <> '*'").withColumn("tier", F.lit(0))
+    sections = fine.select(*cs).distinct()
+    wide = teaches.filter("section = '*'").drop("section").join(sections, [*by, "class_name"]).withColumn("tier", F.lit(1))
+    both = fine.select(*cs, "teacher_id", "tier", "subject", "lessons").unionByName(wide.select(*cs, "teacher_id", "tier", "subject", "lessons"))
+    nearest = both.groupBy(*cs, "teacher_id").agg(F.min("tier").alias("tier"))  # who teaches the section counts as that
+    subjects = both.join(nearest, [*cs, "teacher_id", "tier"])
+
+    times = slots.filter(F.col("start_min") < F.col("end_min")).select(*by, "day_idx", "start_min", "end_min").distinct()
+    # free (teacher, slot) pairs first: there are far fewer of them than (section, teacher, slot)
+    people = pool.select(*key).join(subjects.select(*key).distinct(), key).join(times, list(by))
+    people = people.join(offs.select(*key, "day_idx").distinct(), [*key, "day_idx"], "left_anti")
+    r = restrictions.filter((F.col("duties").isNull() | F.array_contains("duties", "REMEDIAL")) & F.col("dates").isNull())
+    r = r.select(*[F.col(c).alias(f"_r_{c}") for c in key], "days")
+    away = [F.col(c) == F.col(f"_r_{c}") for c in key] + [F.col("days").isNull() | F.array_contains("days", F.col("day_idx"))]
+    busy = lessons.filter(~F.col("is_break") & F.col("teacher_id").isNotNull())
+    busy = busy.select(*[F.col(c).alias(f"_b_{c}") for c in (*key, "day_idx")], F.col("start_min").alias("_s"), F.col("end_min").alias("_e")).distinct()
+    clash = [F.col(c) == F.col(f"_b_{c}") for c in (*key, "day_idx")] + [F.col("start_min") < F.col("_e"), F.col("_s") < F.col("end_min")]
+    people = people.join(r, away, "left_anti").join(busy, clash, "left_anti")
+    return nearest.join(people, key), subjects.select(*cs, "teacher_id", "subject", "lessons")
+
+
+def plan_remedial(
+    teaches: DataFrame, pool: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, per_week: int, most_per_week: int, by: Sequence[str] = BY
+) -> DataFrame:
+    """P5: `per_week` extra classes of every class-section, each with a teacher and a slot: (by, class_name, section, session,
+    teacher_id, subject, tier, day_idx, start_min, end_min).
+
+    Hard rules: the teacher teaches the section (tier 0) or the class (tier 1), is not off, restricted or teaching then, gives at
+    most one a day and `most_per_week` a week; a section takes no two at one time. Wishes, in points as fixed below: tier, classes
+    already given, a subject the section had, a second one on a day; then the place in the name list and the slot.
+
+    Sessions are dealt one after another, each in rounds: every section still without one asks for its best option; a teacher's
+    day goes to the first that asks (by class and section), a teacher's week to as many as there is room for; the others ask
+    again for what is left. A section without an option is left out of that session."""
+    key, cs, slot = [*by, "teacher_id"], [*by, "class_name", "section"], ["day_idx", "start_min", "end_min"]
+    options, subjects = (written(x) for x in _remedial_options(teaches, pool, slots, lessons, offs, restrictions, by))
+    seat = numbered(pool.select(*key, "name"), by, ["name", "teacher_id"], "_seat").select(*key, "_seat")
+    options = written(options.join(seat, key))
+    turn = F.struct(class_rank(F.col("class_name")), F.col("section"), F.col("class_name"))
+    done = written(
+        options.filter("false").join(subjects, [*cs, "teacher_id"]).select(*cs, F.lit(0).alias("session"), "teacher_id", "subject", "tier", *slot)
+    )
+    for session in range(1, per_week + 1):
+        while True:
+            waiting = options.join(done.filter(F.col("session") == session).select(*cs), cs, "left_anti")
+            given = done.groupBy(*key).agg(F.count(F.lit(1)).alias("_given"))
+            taken = done.select(*[F.col(c).alias(f"_t_{c}") for c in (*cs, "day_idx")], F.col("start_min").alias("_s"), F.col("end_min").alias("_e"))
+            meets = [F.col(c) == F.col(f"_t_{c}") for c in (*cs, "day_idx")] + [F.col("start_min") < F.col("_e"), F.col("_s") < F.col("end_min")]
+            rows = waiting.join(done.select(*key, "day_idx").distinct(), [*key, "day_idx"], "left_anti").join(taken, meets, "left_anti")
+            rows = rows.join(given, key, "left").withColumn("_given", F.coalesce("_given", F.lit(0))).filter(F.col("_given") < most_per_week)
+            had = done.groupBy(*cs, "subject").agg(F.count(F.lit(1)).alias("_had"))
+            same_day = done.select(*cs, "day_idx").distinct().withColumn("_same", F.lit(1))
+            told = first_rows(subjects.join(had, [*cs, "subject"], "left").withColumn("_had", F.coalesce("_had", F.lit(0))), [*cs, "teacher_id"], F.col("_had"), F.desc("lessons"), F.col("subject"))
+            rows = rows.join(told.select(*cs, "teacher_id", "subject", "_had"), [*cs, "teacher_id"]).join(same_day, [*cs, "day_idx"], "left")
+            points = F.col("tier") * 1000 + F.col("_given") * 40 + F.col("_had") * 25 + F.coalesce("_same", F.lit(0)) * 40
+            asked = first_rows(rows.withColumn("_points", points), cs, F.col("_points"), F.col("_seat"), *[F.col(c) for c in slot])
+            asked = first_rows(asked.withColumn("_turn", turn), [*key, "day_idx"], F.col("_turn"))
+            room = F.row_number().over(Window.partitionBy(*key).orderBy("_turn"))  # a row per weekday at most
+            won = asked.withColumn("_room", room).filter(F.col("_given") + F.col("_room") <= most_per_week)
+            won = written(won.select(*cs, F.lit(session).alias("session"), "teacher_id", "subject", "tier", *slot))
+            if won.isEmpty():
+                break
+            done = written(done.unionByName(won))
+    return done
+
+
 def restrictions_from_rules(rules: DataFrame, pool: DataFrame, by: Sequence[str] = BY) -> dict[str, DataFrame]:
     """Rule rows (by, place in the name list, type, dates, days, duties) to restrictions and preferred offs; rules
     that name nobody or hold nothing usable are counted as skipped."""

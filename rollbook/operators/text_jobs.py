@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import text as X
 from rollbook.functions.cells import split_cell
 from rollbook.functions.clock import class_label, day_label, is_clock, range12, to_minutes
 from rollbook.functions.people import clean_code, code_prefix, code_stem, classify, person_key
+from rollbook.session import written
 
 BY = ("school_id",)
 
@@ -109,11 +110,13 @@ def decode_entities(c: Column) -> Column:
         c = F.replace(c, F.lit(entity), F.lit(ch))
 
     def numeric(s: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d{1,7});"), F.lit(1)))
+        codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d+);"), F.lit(1)))
 
         def put(acc: Column, n: Column) -> Column:
-            ch = F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
-            return F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), ch)
+            code = n.try_cast("bigint")
+            known = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)  # other numbers name no character and stay as they are
+            ch = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0)), 8, "0")), "UTF-32")
+            return F.when(F.coalesce(known, F.lit(False)), F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), ch)).otherwise(acc)
 
         return F.aggregate(codes, s, put)
 
@@ -134,56 +137,93 @@ def html_lines(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, F.posexplode(html_text_lines(outside)).alias("line_no", "line"))
 
 
-def html_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page, table, row, col, text) with column and row spans filled in.
+TABLES = r"(?is)(<table.*?</table>)"
+
 
-    Spans are placed with one fold over the rows of a table: it carries the columns still covered from above."""
-    tables = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<table.*?</table>)"), F.lit(1))).alias("table_no", "table"))
+def html_headings(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page, table, heading): the last three lines of the nearest text above each table, joined; empty without any."""
+    chunks = F.split("html", TABLES)
+    lines = pages.select(key, F.posexplode(F.transform(F.slice(chunks, 1, F.size(chunks) - 1), html_text_lines)).alias("table_no", "lines"))
+    some = F.when(F.size("lines") > 0, F.array_join(F.slice("lines", F.greatest(F.size("lines") - 2, F.lit(1)), 3), " "))
+    above = Window.partitionBy(key).orderBy("table_no").rowsBetween(Window.unboundedPreceding, 0)  # the tables of one page
+    return lines.select(key, "table_no", F.coalesce(F.last(some, ignorenulls=True).over(above), F.lit("")).alias("heading"))
 
-    def span(attrs: Column, name: str) -> Column:
-        n = F.regexp_extract(attrs, rf'(?i){name}="?(\d+)', 1).try_cast("int")
-        return F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))
 
-    def cells(tr: Column) -> Column:
-        whole = F.regexp_extract_all(tr, F.lit(r"(?is)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1))
+#: Columns of a span that are written out at once.
+SPREAD = 4096
 
-        def cell(c: Column) -> Column:
-            attrs = F.regexp_extract(c, r"(?is)^<t[dh]([^>]*)>", 1)
-            body = F.regexp_extract(c, r"(?is)^<t[dh][^>]*>(.*)</t[dh]>$", 1)
-            one = F.struct(F.array_join(html_text_lines(body), " ").alias("text"), span(attrs, "rowspan").alias("down"))
-            return F.array_repeat(one, span(attrs, "colspan"))
 
-        return F.flatten(F.transform(whole, cell))
+def _html_cells(pages: DataFrame, key: str) -> DataFrame:
+    """(page, table, row, cell, text, down, across, first slot, rows of the table): a slot is a column that the row's own cells take,
+    counted without what covers the row from above."""
+    tables = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(TABLES), F.lit(1))).alias("table_no", "table"))
+    trs = tables.select(key, "table_no", F.regexp_extract_all("table", F.lit(r"(?is)(<tr.*?</tr>)"), F.lit(1)).alias("trs"))
+    rows = trs.select(key, "table_no", F.size("trs").alias("rows"), F.posexplode("trs").alias("row_no", "tr"))
+    cells = rows.select(key, "table_no", "rows", "row_no", F.posexplode(F.regexp_extract_all("tr", F.lit(r"(?is)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1))).alias("cell_no", "cell"))
+    attrs = F.regexp_extract("cell", r"(?is)^<t[dh]([^>]*)>", 1)
+
+    def span(name: str) -> Column:
+        return F.greatest(F.coalesce(F.regexp_extract(attrs, rf'(?i){name}="?(\d+)', 1).try_cast("bigint"), F.lit(1)), F.lit(1))
+
+    body = F.regexp_extract("cell", r"(?is)^<t[dh][^>]*>(.*)</t[dh]>$", 1)
+    told = cells.select(
+        key, "table_no", "row_no", "cell_no", F.array_join(html_text_lines(body), " ").alias("text"), F.least(span("rowspan"), F.col("rows") - F.col("row_no")).alias("down"), span("colspan").alias("across")
+    )
+    before = Window.partitionBy(key, "table_no", "row_no").orderBy("cell_no").rowsBetween(Window.unboundedPreceding, -1)
+    return told.withColumn("slot", F.coalesce(F.sum("across").over(before), F.lit(0)))
 
-    rows = F.transform(F.regexp_extract_all("table", F.lit(r"(?is)(<tr.*?</tr>)"), F.lit(1)), cells)
-    cell_type = "array<struct<text:string,down:int>>"
-    start = F.struct(F.array().cast(f"array<{cell_type}>").alias("done"), F.array().cast(cell_type).alias("above"))
 
-    def place(acc: Column, row: Column) -> Column:
-        """Lay a row's cells into the columns that no cell from above still covers."""
-        open_above = F.transform(acc["above"], lambda a: a["down"] > 1)
+def _spread(cells: DataFrame) -> DataFrame:
+    """One row per slot of each cell; a very wide cell is spread in pieces, so that no array of its width is built."""
+    pieces = cells.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1, F.lit(SPREAD).cast("long"))))
+    inside = F.sequence(F.col("_at"), F.least(F.col("_at") + SPREAD, F.col("across")) - 1)
+    return pieces.withColumn("_k", F.explode(inside)).withColumn("slot", F.col("slot") + F.col("_k")).drop("_at", "_k", "across")
 
-        def fill(state: Column, i: Column) -> Column:
-            covered = F.coalesce(F.get(open_above, i), F.lit(False))
-            above = F.get(acc["above"], i)
-            nxt = F.get(row, state["used"])
-            carried = F.struct(above["text"].alias("text"), (above["down"] - 1).alias("down"))
-            gap = F.struct(F.lit("").alias("text"), F.lit(1).alias("down"))
-            value = F.when(covered, carried).otherwise(F.coalesce(nxt, gap))
-            return F.struct(F.concat(state["line"], F.array(value)).alias("line"), (state["used"] + F.when(covered, 0).otherwise(1)).alias("used"))
 
-        n_open = F.size(F.filter(open_above, lambda x: x))
-        last_open = F.coalesce(F.array_max(F.transform(open_above, lambda x, i: F.when(x, i + 1))), F.lit(0))
-        width = F.greatest(F.size(row) + n_open, last_open)
-        empty = F.struct(F.array().cast(cell_type).alias("line"), F.lit(0).alias("used"))
-        columns = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-        line = F.aggregate(columns, empty, fill)["line"]
-        return X.let(line, lambda ln: F.struct(F.concat(acc["done"], F.array(ln)).alias("done"), ln.alias("above")))
+def _columns(slots: DataFrame, covers: DataFrame, row: Sequence[str]) -> DataFrame:
+    """`col_no` of each slot: the slot-th column of its row that no cell from above covers.
+
+    The j-th covered column c of a row has c - j free columns before it; slots with at least so many free columns before them
+    lie behind it. Running counts over covers and slots in that order give all columns of a row in one pass."""
+    places = Window.partitionBy(*row).orderBy("col_no")
+    marks = covers.select(*row, "col_no").distinct().withColumn("_v", F.col("col_no") - F.row_number().over(places) + 1).select(*row, "_v")
+    line = slots.withColumn("_own", F.lit(1)).withColumn("_v", F.col("slot")).unionByName(marks.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    behind = F.count_if(F.col("_own") == 0).over(Window.partitionBy(*row).orderBy("_v", "_own").rowsBetween(Window.unboundedPreceding, 0))
+    return line.withColumn("col_no", F.col("slot") + behind).filter("_own = 1").drop("_own", "_v")
+
+
+def html_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page, table, row, col, text) with column and row spans filled in.
 
-    laid = tables.select(key, "table_no", F.aggregate(rows, start, place)["done"].alias("grid"))
-    by_row = laid.select(key, "table_no", F.posexplode("grid").alias("row_no", "cells"))
-    by_cell = by_row.select(key, "table_no", "row_no", F.posexplode("cells").alias("col_no", "cell"))
-    return by_cell.select(key, "table_no", "row_no", "col_no", F.col("cell.text").alias("text"))
+    Cells that reach down cover columns of the rows below. Their own columns follow from what covers them in turn: they are placed
+    as if nothing did, then again with those covers, until none moves, which takes as many rounds as spans stand on
+    spans. All other cells are placed once. Columns between a row's last cell and the last one covered from above are empty."""
+    row = [key, "table_no", "row_no"]
+    cells = written(_html_cells(pages, key))
+    flat = cells.join(cells.filter("down > 1").select(key, "table_no").distinct(), [key, "table_no"], "left_anti")
+    flat = _spread(flat).select(*row, F.col("slot").alias("col_no"), "text")
+    tall = cells.filter("down > 1")
+    if tall.isEmpty():
+        return flat.select(*row, F.col("col_no").cast("int").alias("col_no"), "text")
+    spread = written(_spread(tall))
+    placed = written(spread.withColumn("col_no", F.col("slot")))
+    while True:
+        covers = placed.select(key, "table_no", F.explode(F.sequence(F.col("row_no") + 1, (F.col("row_no") + F.col("down") - 1).cast("int"))).alias("row_no"), "col_no", "text")
+        moved = _columns(placed.withColumn("_old", F.col("col_no")).drop("col_no"), covers, row).withColumn("_moved", F.col("col_no") != F.col("_old")).drop("_old")
+        placed = written(moved)
+        if placed.filter("_moved").isEmpty():
+            break
+        placed = placed.drop("_moved")
+    covers = written(covers)
+    spanned = cells.join(covers.select(key, "table_no").distinct(), [key, "table_no"], "left_semi")
+    own = _columns(_spread(spanned).select(*row, "slot", "text"), covers, row)
+    # columns without a cell before the last covered one
+    used = spanned.groupBy(*row).agg(F.sum("across").alias("_used"))
+    ends = covers.groupBy(*row).agg((F.max("col_no") + 1).alias("_end"), F.count(F.lit(1)).alias("_covered")).join(used, row, "left")
+    ends = ends.withColumn("slot", F.coalesce("_used", F.lit(0))).withColumn("across", F.col("_end") - F.col("_covered") - F.col("slot")).filter("across > 0")
+    gaps = _columns(_spread(ends.select(*row, "slot", "across", F.lit("").alias("text"))), covers, row)
+    out = flat.unionByName(own.select(*row, "col_no", "text")).unionByName(gaps.select(*row, "col_no", "text")).unionByName(covers.select(*row, "col_no", "text"))
+    return out.select(*row, F.col("col_no").cast("int").alias("col_no"), "text")
 
 
 # ---------------------------------------------------------------- JSON, calendar
@@ -217,12 +257,19 @@ def months_before(day: Column, months: int) -> Column:
     return F.add_months(day, -months)
 
 
-def describe_changes(diff: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """A diff row as text - where, what it was, what it is."""
+def describe_changes(diff: DataFrame, by: Sequence[str] = BY, teachers: DataFrame | None = None) -> DataFrame:
+    """A diff row as text - where, what it was, what it is. `teachers` (by, teacher_id, name) gives the names to print; without it
+    a teacher is shown by id."""
+    if teachers is not None:
+        names = teachers.select(*by, F.col("teacher_id").alias("_id"), F.col("name").alias("_name"))
+        for p in ("before", "after"):
+            named = names.withColumnsRenamed({"_id": f"{p}_teacher_id", "_name": f"_{p}_name"})
+            diff = diff.join(named, [*by, f"{p}_teacher_id"], "left")
 
     def side(p: str) -> Column:
         subject = F.coalesce(F.nullif(F.col(f"{p}_subject"), F.lit("")), F.lit("(no subject)"))
-        teacher = F.coalesce(F.col(f"{p}_teacher_id").cast("string"), F.lit("(no teacher)"))
+        shown = F.col(f"{p}_teacher_id").cast("string") if teachers is None else F.nullif(F.col(f"_{p}_name"), F.lit(""))
+        teacher = F.coalesce(shown, F.lit("(no teacher)"))
         span = F.nullif(range12(F.col(f"{p}_start_min"), F.col(f"{p}_end_min")), F.lit(""))
         return F.concat_ws(" · ", subject, teacher, span)
 

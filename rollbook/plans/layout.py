@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.clock import WEEKDAYS
@@ -260,6 +260,78 @@ def cell_texts(t):
     return out.select("page_id", "row_no", "col_no", words.cast("long").alias("words"), F.round("conf", 6).alias("conf"))
 
 
+# ---------------------------------------------------------------- heads with misread ordinals and breaks far from every time range
+
+_HEADS = """SELECT school_id * 100 + day_idx AS page_id, slot, min(start_min) AS s, max(end_min) AS e FROM f_period WHERE version = 2 AND slot < 7 AND class_name = 'VI' GROUP BY ALL"""
+_MISREAD = ["lst", "2nd", "3rd", "4th", "Sth", "6th", "7th"]
+
+
+def _head_words(t):
+    """Two lines: ordinals (some as a scan shows them) and, under each, its time range; a break word three columns on."""
+    d = t.sql(_HEADS.replace("GROUP BY ALL", "GROUP BY school_id * 100 + day_idx, slot"))
+    clock = lambda c: F.format_string("%02d:%02d", F.floor(F.col(c) / 60).cast("int"), (F.col(c) % 60).cast("int"))
+    x = F.col("slot") * 100.0 + 50
+    top = d.select("page_id", F.lit(0).alias("line_no"), F.element_at(F.array(*[F.lit(w) for w in _MISREAD]), F.col("slot") + 1).alias("word"), x.alias("x"))
+    low = d.select("page_id", F.lit(1).alias("line_no"), F.concat(clock("s"), F.lit("-"), clock("e")).alias("word"), x.alias("x"))
+    far = d.groupBy("page_id").agg((F.max("slot") * 100.0 + 350).alias("x")).select("page_id", F.lit(0).alias("line_no"), F.lit("RECESS").alias("word"), "x")
+    words = top.unionByName(low).unionByName(far)
+    y = F.col("line_no") * 20.0
+    order = Window.partitionBy("page_id", "line_no").orderBy("x")
+    return words.select("page_id", "line_no", (F.row_number().over(order) - 1).alias("word_no"), "word", (F.col("x") - 12).alias("x0"), (F.col("x") + 12).alias("x1"), y.alias("y0"), (y + 10).alias("y1"), F.lit(90).alias("conf"))
+
+
+@query(
+    "misread_heads",
+    f"""WITH h AS (SELECT * FROM ({_HEADS}) QUALIFY count(*) OVER (PARTITION BY page_id) >= 3),
+ c AS (SELECT page_id, slot, CAST(slot + 1 AS INTEGER) AS number, false AS is_break, lpad(CAST(s // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS start_time, lpad(CAST(e // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(e % 60 AS VARCHAR), 2, '0') AS end_time FROM h
+  UNION ALL SELECT page_id, max(slot) + 3, NULL, true, NULL, NULL FROM h GROUP BY ALL)
+ SELECT page_id, number, is_break, start_time, end_time FROM c""",
+)
+def misread_heads(t):
+    cols = L.detect_columns(_head_words(t), ["page_id"]).filter("not inferred")
+    enough = cols.filter("not is_break").groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).filter("k >= 3")
+    return cols.join(enough, "page_id", "left_semi").select("page_id", "number", "is_break", "start_time", "end_time")
+
+
+# ---------------------------------------------------------------- matrices of extra classes with labels that cannot be read
+
+_CLASSES = ["VI", "VII", "VIII", "IX", "X", "XI", "XII"]
+_MATRIX = f"""SELECT s.school_id AS page_id, CAST(k AS INTEGER) AS k, {_CLASSES}[k + 1] AS class_name, coalesce(m.activity, 'Sport') AS activity, 1 - (s.school_id % 5) / 10.0 AS conf, k > 0 AND (s.school_id + k) % 3 < 2 AS unread
+ FROM (SELECT DISTINCT school_id FROM f_teacher) s CROSS JOIN range(7) g(k) LEFT JOIN (SELECT school_id, seq % 7 AS k, arg_max(activity, seq) AS activity FROM f_remedial GROUP BY ALL) m USING (school_id, k)"""
+
+
+def _matrix_cells(t):
+    """A matrix a school: two days over two sessions each; one class spans both sessions of Monday. A third of the labels is
+    unreadable, a third repeats the class above."""
+    latest = t.f_remedial.groupBy("school_id", (F.col("seq") % 7).cast("int").alias("k")).agg(F.max_by("activity", "seq").alias("activity"))
+    names = F.array(*[F.lit(c) for c in _CLASSES])
+    rows = t.f_teacher.select("school_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(latest, ["school_id", "k"], "left")
+    turn = (F.col("school_id") + F.col("k")) % 3
+    label = F.when(F.col("k") == 0, F.lit("VI")).when(turn == 0, F.lit("~")).when(turn == 1, F.element_at(names, F.col("k"))).otherwise(F.element_at(names, F.col("k") + 1))
+
+    def cell(row, col, x0, x1, text):
+        return F.struct(row.cast("int").alias("row_no"), F.lit(col).alias("col_no"), F.lit(float(x0)).alias("cx0"), F.lit(float(x1)).alias("cx1"), text.alias("text"))
+
+    head = [cell(F.lit(0), 0, 0, 100, F.lit("")), cell(F.lit(0), 1, 100, 300, F.lit("Monday")), cell(F.lit(0), 2, 300, 500, F.lit("Tuesday"))]
+    head += [cell(F.lit(1), i, 100 * i, 100 * i + 100, F.lit(x)) for i, x in enumerate(["", "3:00-3:30", "3:30-4:00", "3:00-3:30", "3:30-4:00"])]
+    said = F.coalesce("activity", F.lit("Sport"))
+    body = [cell(F.col("k") + 2, 0, 0, 100, label), cell(F.col("k") + 2, 1, 100, 300, said), cell(F.col("k") + 2, 2, 300, 400, said), cell(F.col("k") + 2, 3, 400, 500, F.lit(""))]
+    heads = rows.filter("k = 0").select("school_id", F.explode(F.array(*head)).alias("c"))
+    out = heads.unionByName(rows.select("school_id", F.explode(F.array(*body)).alias("c"))).select(F.col("school_id").alias("page_id"), "c.*")
+    return out.withColumn("lines", F.array("text")).withColumn("conf", 1 - (F.col("page_id") % 5) / 10.0)
+
+
+@query(
+    "remedial_matrix",
+    f"""SELECT page_id, 'REMEDIAL' AS category, class_name, '' AS section, d.day, d.s AS start_time, d.e AS end_time, activity, '' AS teacher_name,
+ round(least(0.99, greatest(0.05, CASE WHEN unread THEN least(0.4, conf) ELSE conf END)), 2)::DOUBLE AS confidence FROM ({_MATRIX}) CROSS JOIN (VALUES ('MONDAY', '15:00', '16:00'), ('TUESDAY', '15:00', '15:30')) d(day, s, e)""",
+)
+def remedial_matrix(t):
+    cells = _matrix_cells(t)
+    title = cells.select("page_id").distinct().withColumn("heading", F.lit("Remedial classes for Class VI to XII"))
+    return L.remedial_matrix(cells, headings=title)
+
+
 # ---------------------------------------------------------------- duty tables and lists rendered from the duties
 
 
@@ -298,6 +370,11 @@ def html_tables(t):
     return T.html_tables(_duty_pages(t))
 
 
+@query("html_headings", "SELECT duty_id AS page_id, 0 AS table_no, CASE WHEN duty_type = 'MOD' THEN 'Roster & list' ELSE '' END AS heading FROM f_duty")
+def html_headings(t):
+    return T.html_headings(_duty_pages(t))
+
+
 @query(
     "duty_table_rows",
     f"""SELECT duty_id AS page_id, 1 AS row_no, {_SHIFT} AS duty_date, t.name AS teacher_name, duty_type, t.code AS designation, CASE WHEN duty_type = 'HOLIDAY' THEN 'Red' END AS house, CASE WHEN duty_type = 'HOLIDAY' THEN 'Red' END AS classes,
@@ -308,6 +385,39 @@ def duty_table_rows(t):
     return L.duty_table_rows(T.html_tables(_duty_pages(t)).drop("table_no"), ["page_id"])[0]
 
 
+def _headed_pages(t):
+    """Lists whose columns do not tell their kind; the text above does."""
+    d = t.f_duty.join(t.f_teacher.select("school_id", "teacher_id", "name"), ["school_id", "teacher_id"])
+    title = F.when(F.col("duty_type") == "HOLIDAY", F.lit("Sunday duty list")).when(F.col("duty_id") % 3 == 0, F.lit("Staff list")).otherwise(F.lit("MOD roster"))
+    html = F.concat(
+        F.lit("<p>School</p><p>"), title, F.lit("</p><table><tr><td>Date</td><td>Name</td><td>Class</td><td>Weekly Off</td></tr><tr><td>"), _printed_day(), F.lit("</td><td>"), "name",
+        F.lit(" (MOD)</td><td>VI</td><td>"), _printed_day(), F.lit("</td></tr></table>"),
+    )
+    return d.select(F.col("duty_id").alias("page_id"), html.alias("html"))
+
+
+@query(
+    "described_duties",
+    f"""SELECT duty_id AS page_id, {_SHIFT} AS duty_date, t.name AS teacher_name, duty_type, CASE WHEN duty_type = 'HOLIDAY' THEN 'VI' END AS classes,
+ CASE WHEN duty_type = 'HOLIDAY' THEN 'Class VI · weekly off ' || strftime({_SHIFT}, '%d-%m-%Y') || ' · MOD' ELSE '' END AS description,
+ CASE WHEN duty_id % 4 = 0 THEN round(greatest(0.05, least(0.99, (duty_id % 120) / 100.0)), 2)::DOUBLE ELSE 0.97::DOUBLE END AS confidence FROM {_DT} WHERE duty_type = 'HOLIDAY' OR duty_id % 3 <> 0""",
+)
+def described_duties(t):
+    pages = _headed_pages(t)
+    sources = pages.select("page_id", (F.col("page_id") % 4 == 0).alias("from_scan"), (F.col("page_id") % 120).cast("double").alias("mean_conf"))
+    heads = T.html_headings(pages).drop("table_no")
+    out = L.described_duties(T.html_tables(pages).drop("table_no"), ["page_id"], heads, sources)
+    return out.select("page_id", "duty_date", "teacher_name", "duty_type", "classes", "description", "confidence")
+
+
+@query("grid_cells_on_wide_sheets", f"WITH {_GRID} SELECT page_id, row_no, col_no FROM g WHERE page_id % 2 = 0")
+def grid_cells_on_wide_sheets(t):
+    """On every second sheet the widest line is under 40 % of the sheet: no table."""
+    h, v = _rules(t)
+    sizes = h.select("page_id").distinct().withColumn("width", F.when(F.col("page_id") % 2 == 0, F.lit(1700.0)).otherwise(F.lit(1800.0)))
+    return L.grid_cells(h, v, sizes=sizes).select("page_id", "row_no", "col_no")
+
+
 @query("duty_table_problems", f"SELECT duty_id AS page_id, 2 AS row_no, {_SHIFT} AS duty_date, '' AS name, 'no person named' AS problem FROM f_duty WHERE duty_type = 'MOD'")
 def duty_table_problems(t):
     return L.duty_table_rows(T.html_tables(_duty_pages(t)).drop("table_no"), ["page_id"])[1]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from rollbook.plans.registry import query
 from rollbook.plans.text import _class
 from rollbook.sources import backup as B
 from rollbook.sources import drafts as D
+from rollbook.session import shared_folder
 from rollbook.sources import files as FI
+from rollbook.sources import tables as TB
 
 AS_OF = date(2025, 1, 1)
 _AS = "DATE '2025-01-01'"
@@ -62,6 +66,19 @@ def publish_subjects(t):
     return _published(t)["subject"]
 
 
+_KNOWN = "SELECT school_id, min(seq) AS subject_id, CASE WHEN length(subject) % 2 = 0 THEN upper(subject) ELSE lower(subject) END AS name FROM f_period WHERE version = 1 AND subject <> '' AND length(subject) <> 5 GROUP BY school_id, subject"
+
+
+@query(
+    "publish_known_subjects",
+    f"""WITH {_VER}, p AS (SELECT p.school_id, v.version, p.seq, trim(subject) AS s, {S.key('subject')} AS k FROM f_draft_period p JOIN ver v ON v.school_id = p.school_id AND v.draft_id = p.draft_id WHERE NOT is_break AND trim(subject) <> ''),
+ n AS (SELECT school_id, k AS subject_key, arg_min(s, (version, seq)) AS name FROM p GROUP BY ALL)
+ SELECT n.school_id, n.subject_key, n.name, (SELECT min(subject_id) FROM ({_KNOWN}) x WHERE x.school_id = n.school_id AND lower(x.name) = lower(n.name)) AS subject_id FROM n""",
+)
+def publish_known_subjects(t):
+    return L.publish_routine(t.f_draft_period, _resolved(t), t.sql(_GATE), t.f_routine, AS_OF, known=t.sql(_KNOWN))["subject"]
+
+
 # ---------------------------------------------------------------- upserts
 
 _DUTY = ["duty_id", "school_id", "teacher_id", "duty_date", "duty_type", "off_date"]
@@ -328,6 +345,52 @@ def remap_references(t):
     return B.remap_references(rows, skipped, t.sql(_EXIST), ["created_by"])
 
 
+def _folder(t) -> str:
+    """A new folder in the place that all executors share."""
+    return f"{shared_folder(t.spark)}/{uuid.uuid4()}"
+
+
+@query("backup_round_trip", "SELECT 'teacher' AS name, count(*) AS rows, count(*) AS read_back FROM f_teacher UNION ALL SELECT 'duty', count(*), count(*) FROM f_duty UNION ALL SELECT 'notice', 0, 0")
+def backup_round_trip(t):
+    """The manifest's counts beside the rows that come back equal."""
+    tables = {"teacher": t.f_teacher.select("teacher_id", "school_id", "name", "code"), "duty": t.f_duty.select("duty_id", "school_id", "duty_type"), "notice": t.f_notice.filter("notice_id < 0").select("notice_id", "school_id")}
+    path = _folder(t)
+    counts = B.export_json(tables, path)
+    schemas = {"teacher": "teacher_id LONG, school_id INT, name STRING, code STRING", "duty": "duty_id LONG, school_id INT, duty_type STRING", "notice": "notice_id LONG, school_id INT"}
+    back = B.read_backup(t.spark, path, schemas)
+    same = [tables[n].intersectAll(back[n].select(*[F.col(c).cast(tables[n].schema[c].dataType).alias(c) for c in tables[n].columns])).select(F.lit(n).alias("name")) for n in tables]
+    found = reduce(lambda a, b: a.unionByName(b), same).groupBy("name").agg(F.count(F.lit(1)).alias("read_back"))
+    return counts.join(found, "name", "left").withColumn("read_back", F.coalesce("read_back", F.lit(0)))
+
+
+@query("entity_tables", "SELECT teacher_id, school_id, name, code, designation FROM f_teacher")
+def entity_tables(t):
+    """A table written by school and read again by its declared types."""
+    path = _folder(t)
+    kept = [c for c in ("teacher_id", "school_id", "name", "code", "designation", "active") if c in t.f_teacher.columns]
+    TB.save_table(t.f_teacher.select(*kept), path, "teacher")
+    return TB.load_tables(t.spark, path, ["teacher"])["teacher"].select("teacher_id", "school_id", "name", "code", "designation")
+
+
+@query("activity_log", "SELECT event_id, CAST(created_at AS DATE) AS day, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM f_activity")
+def activity_log(t):
+    """Actions appended in two batches; the stored value is a parsed one."""
+    path = _folder(t)
+    rows = t.f_activity.select("event_id", "created_at", F.col("props").alias("old_value"), F.lit(None).cast("string").alias("new_value"))
+    D.append_activity(rows.filter("event_id % 2 = 0"), path)
+    D.append_activity(rows.filter("event_id % 2 = 1"), path)
+    return t.spark.read.parquet(path).select("event_id", F.col("day").cast("date").alias("day"), F.try_variant_get("old_value", "$.k", "bigint").alias("k"))
+
+
+@query("published_version", "SELECT school_id, seq, subject FROM f_period WHERE version = 2")
+def published_version(t):
+    """Two versions published one after the other; readers follow the newest pointer."""
+    path = _folder(t)
+    for version in (1, 2):
+        D.publish_version({"period": t.f_period.filter(F.col("version") == version).select("school_id", "seq", "subject")}, path, str(version))
+    return D.read_version(t.spark, path, "period").select("school_id", "seq", "subject")
+
+
 @query("manifest", "SELECT 'teacher' AS name, count(*) AS rows FROM f_teacher UNION ALL SELECT 'duty', count(*) FROM f_duty UNION ALL SELECT 'document', count(*) FROM f_doc")
 def manifest(t):
     return B.manifest({"teacher": t.f_teacher, "duty": t.f_duty, "document": t.f_doc})
@@ -394,3 +457,33 @@ def parse_drafts(t):
 @query("parse_draft_rejects", "SELECT school_id, draft_id, seq, CASE WHEN seq % 31 = 0 THEN 'not a draft' ELSE 'kind' END AS problem FROM f_draft_period WHERE seq % 31 = 0 OR seq % 29 = 0")
 def parse_draft_rejects(t):
     return D.parse_drafts(_draft_json(t))[1]
+
+
+# which limit each draft breaks, by its number: (remainder of 16, field, value)
+_LIMITS = {1: ("section", "ABCD"), 2: ("label", "x" * 41), 3: ("subject", "x" * 121), 4: ("teacherName", "x" * 161), 5: ("room", "x" * 41), 6: ("room", "x" * 40), 7: ("label", "  " + "x" * 40 + "  ")}
+
+
+@query(
+    "draft_limits",
+    """SELECT seq, CASE WHEN seq % 16 BETWEEN 1 AND 5 THEN 'period' WHEN seq % 16 = 8 THEN 'club' WHEN seq % 16 = 9 THEN 'duty' WHEN seq % 16 = 10 THEN 'remedial' WHEN seq % 16 = 11 THEN 'too many in weeklyOffs' WHEN seq % 16 = 12 THEN 'head' WHEN seq % 16 = 13 THEN 'generated' END AS problem
+ FROM f_draft_period WHERE seq % 16 IN (1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13)""",
+)
+def draft_limits(t):
+    """One draft a period, whose texts, lists or head break a limit or just keep it."""
+    base = '{"id":"p","className":"VI","day":"MONDAY","slot":0%s}'
+    shape = F.lit('{"periods":[' + base % "" + "]}")
+    for k, (f, v) in _LIMITS.items():
+        shape = F.when(F.col("seq") % 16 == k, F.lit('{"periods":[' + base % f',"{f}":"{v}"' + "]}")).otherwise(shape)
+    off = '{"id":"w","day":"MONDAY","teacherName":"A"}'
+    other = {
+        8: '{"clubs":[{"id":"c","name":"Art","teachers":["' + "x" * 161 + '"]}]}',
+        9: '{"modDuties":[{"id":"m","date":"2026-01-05","teacherName":"A","dutyType":"REST"}]}',
+        10: '{"remedial":[{"id":"r","className":"VI","category":"GAMES"}]}',
+        11: '{"weeklyOffs":[' + ",".join([off] * 501) + "]}",
+        12: '{"title":"' + "x" * 161 + '"}',
+        13: '{"generated":{"from":"2026-01-05","to":"soon"}}',
+        14: '{"weeklyOffs":[' + ",".join([off] * 500) + "]}",
+    }
+    for k, v in other.items():
+        shape = F.when(F.col("seq") % 16 == k, F.lit(v)).otherwise(shape)
+    return D.parse_drafts(t.f_draft_period.select("seq", shape.alias("data")))[1]

@@ -21,6 +21,23 @@ def throttle(t):
     return S.throttle(t.f_login)
 
 
+@query(
+    "throttle_busy",
+    """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip_id ORDER BY ts, event_id) AS rn FROM f_login),
+ r(ip_id, rn, event_id, user_failures, ip_failures, refused, held) AS (
+  SELECT DISTINCT ip_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, false, []::STRUCT(u BIGINT, at BIGINT, live BOOLEAN)[] FROM e
+  UNION ALL
+  SELECT ip_id, rn, event_id, uf, af, uf >= 3 OR af >= 9, CASE WHEN uf >= 3 OR af >= 9 THEN now WHEN failed THEN list_append(now, {'u': user_id, 'at': us, 'live': true})
+    ELSE list_transform(now, lambda x: {'u': x.u, 'at': x.at, 'live': x.live AND x.u <> user_id}) END
+  FROM (SELECT *, CAST(len(list_filter(now, lambda x: x.u = user_id AND x.live)) AS BIGINT) AS uf, CAST(len(now) AS BIGINT) AS af
+   FROM (SELECT e.ip_id, e.rn, e.event_id, e.user_id, e.failed, e.us, list_filter(r.held, lambda x: e.us - x.at < 172800000000) AS now FROM r JOIN e ON e.ip_id = r.ip_id AND e.rn = r.rn + 1)))
+ SELECT event_id, user_failures, ip_failures, refused FROM r WHERE event_id IS NOT NULL""",
+)
+def throttle_busy(t):
+    """Two days and small limits, so that many attempts are refused."""
+    return S.throttle(t.f_login, minutes=2 * 24 * 60, user_limit=3, ip_limit=9)
+
+
 @query(
     "failure_windows",
     """SELECT CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS window_start, user_id, count(*) AS failures FROM f_login WHERE failed GROUP BY ALL""",
@@ -62,16 +79,24 @@ def dedupe_events(t):
 _TICK = "(SELECT school_id, CAST(k AS INTEGER) AS tick, 0 AS day_idx, CAST(480 + 90 * k AS INTEGER) AS now_min FROM (SELECT DISTINCT school_id FROM f_teacher) s CROSS JOIN range(4) g(k))"
 
 
-@query(
-    "live_day_status",
-    f"""WITH {_WEEK}, b AS (SELECT b.*, t.tick, t.now_min FROM blocks b JOIN {_TICK} t USING (school_id, day_idx)),
+_LIVE = f"""WITH {_WEEK}, b AS (SELECT b.*, t.tick, t.now_min FROM blocks b JOIN {_TICK} t USING (school_id, day_idx)),
  c AS (SELECT * FROM b WHERE start_min <= now_min AND now_min < end_min QUALIFY row_number() OVER (PARTITION BY school_id, tick, teacher_id ORDER BY start_min, kind, seq) = 1),
  n AS (SELECT * FROM b WHERE start_min > now_min QUALIFY row_number() OVER (PARTITION BY school_id, tick, teacher_id ORDER BY start_min, kind, seq) = 1)
  SELECT d.school_id, d.tick, d.teacher_id, CASE WHEN c.seq IS NOT NULL THEN 'in-class' WHEN n.seq IS NOT NULL THEN 'upcoming' ELSE 'day-done' END AS status, coalesce(c.label, n.label) AS label,
  CASE WHEN c.seq IS NOT NULL THEN c.end_min - d.now_min ELSE n.start_min - d.now_min END AS minutes FROM (SELECT DISTINCT school_id, tick, teacher_id, now_min FROM b) d
- LEFT JOIN c USING (school_id, tick, teacher_id) LEFT JOIN n USING (school_id, tick, teacher_id)""",
-)
+ LEFT JOIN c USING (school_id, tick, teacher_id) LEFT JOIN n USING (school_id, tick, teacher_id)"""
+
+
+@query("live_day_status", _LIVE)
 def live_day_status(t):
+    return S.live_day_status(_ticks(t), week(t))
+
+
+@query("live_status", _LIVE)
+def live_status(t):
+    return S.live_status(_ticks(t), S.day_segments(week(t)))
+
+
+def _ticks(t):
     schools = t.f_teacher.select("school_id").distinct()
-    ticks = schools.select("school_id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("tick")).select("school_id", "tick", F.lit(0).alias("day_idx"), (F.col("tick") * 90 + 480).alias("now_min"))
-    return S.live_day_status(ticks, week(t))
+    return schools.select("school_id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("tick")).select("school_id", "tick", F.lit(0).alias("day_idx"), (F.col("tick") * 90 + 480).alias("now_min"))

@@ -199,9 +199,10 @@ _PLAN = rf"""d AS ({_DIR}), {S.classified('c', 'd', 'name')},
  cs AS (SELECT *, coalesce({S.prefix('pcode')}, '') AS p, coalesce({S.stem('pcode')}, pcode) AS s FROM r WHERE kind = 'code' AND NOT contains(name, '/') AND NOT regexp_matches(name, '\d\s*,\s*\d')),
  hold AS (SELECT cs.school_id, cs.teacher_id, min(h.person) AS lo, max(h.person) AS hi FROM cs LEFT JOIN held h ON h.school_id = cs.school_id AND h.p = cs.p
    AND (h.s = cs.s OR (least(length(h.s), length(cs.s)) >= 2 AND (starts_with(h.s, cs.s) OR starts_with(cs.s, h.s)))) GROUP BY ALL),
- stems AS (SELECT DISTINCT school_id, p, s FROM cs),
+ free AS (SELECT cs.*, hold.lo FROM cs JOIN hold USING (school_id, teacher_id) WHERE lo IS NULL OR lo <> hi),
+ stems AS (SELECT DISTINCT school_id, p, s FROM free),
  rep AS (SELECT a.school_id, a.p, a.s, coalesce(min_by(b.s, length(b.s)), a.s) AS rep FROM stems a LEFT JOIN stems b ON b.school_id = a.school_id AND b.p = a.p AND length(b.s) >= 2 AND starts_with(a.s, b.s) GROUP BY a.school_id, a.p, a.s),
- lone AS (SELECT cs.*, rep.rep, hold.lo FROM cs JOIN hold USING (school_id, teacher_id) JOIN rep ON rep.school_id = cs.school_id AND rep.p = cs.p AND rep.s = cs.s WHERE lo IS NULL OR lo <> hi),
+ lone AS (SELECT free.*, rep.rep FROM free JOIN rep ON rep.school_id = free.school_id AND rep.p = free.p AND rep.s = free.s),
  grp AS (SELECT *, first_value(teacher_id) OVER (PARTITION BY school_id, p, rep ORDER BY has_user DESC, refs DESC, length(name), teacher_id) AS keep_id FROM lone),
  plan_ AS (SELECT school_id, teacher_id, CASE WHEN code IS NOT NULL OR has_user OR hard_refs > 0 THEN 'keep' ELSE 'delete' END AS action, CAST(NULL AS BIGINT) AS keep_id,
    CASE WHEN code IS NOT NULL OR has_user THEN 'has a code or login' WHEN hard_refs > 0 THEN 'still used by timetable rows' ELSE 'not a person or a teacher code' END AS reason FROM r WHERE kind = 'garbage'
@@ -213,6 +214,16 @@ _PLAN = rf"""d AS ({_DIR}), {S.classified('c', 'd', 'name')},
 _TARGETS = """tg AS (SELECT school_id, keep_id, any_value(name) FILTER (teacher_id = keep_id) AS keep_name, any_value(code) FILTER (teacher_id = keep_id) AS keep_code, min_by(pname, (length(pname), teacher_id)) AS final_name,
   coalesce(any_value(code) FILTER (teacher_id = keep_id), min_by(code, teacher_id) FILTER (code IS NOT NULL), min_by(pcode, teacher_id) FILTER (pcode IS NOT NULL)) AS final_code,
   coalesce(any_value(designation) FILTER (teacher_id = keep_id), min_by(designation, teacher_id) FILTER (designation IS NOT NULL), min_by(pdesignation, teacher_id) FILTER (pdesignation IS NOT NULL)) AS final_designation FROM ps GROUP BY ALL)"""
+_CODED = "cg AS (SELECT school_id, teacher_id AS keep_id, name AS final_name, coalesce(code, pcode) AS final_code, designation AS final_designation, code IS NULL AS renamed FROM grp WHERE teacher_id = keep_id)"
+_ALIASES = """al AS (SELECT DISTINCT a.school_id, a.keep_id, trim(a.alias) AS alias FROM (
+  SELECT school_id, keep_id, unnest(string_split(alias_list, ';')) AS alias FROM ps
+  UNION ALL SELECT ps.school_id, ps.keep_id, x FROM (SELECT school_id, keep_id, unnest([code, trim(pcode)]) AS x FROM ps) ps JOIN tg USING (school_id, keep_id) WHERE x IS DISTINCT FROM tg.final_code
+  UNION ALL SELECT c.school_id, k.keep_id, unnest([c.name, c.pcode]) FROM cs c JOIN hold h USING (school_id, teacher_id) JOIN (SELECT DISTINCT school_id, person, keep_id FROM ps) k ON k.school_id = h.school_id AND k.person = h.lo WHERE h.lo = h.hi
+  UNION ALL SELECT school_id, keep_id, unnest(string_split(alias_list, ';')) FROM grp
+  UNION ALL SELECT school_id, keep_id, name FROM grp WHERE teacher_id <> keep_id) a
+ LEFT JOIN (SELECT school_id, keep_id, final_name FROM tg UNION ALL SELECT school_id, keep_id, final_name FROM cg) n USING (school_id, keep_id) WHERE trim(a.alias) <> '' AND trim(a.alias) IS DISTINCT FROM n.final_name),
+ ch AS (SELECT * FROM (SELECT school_id, keep_id, final_name, final_code, final_designation, final_name <> keep_name OR final_code IS DISTINCT FROM keep_code AS renamed FROM tg UNION ALL SELECT * FROM cg) t
+  WHERE renamed OR EXISTS (SELECT 1 FROM plan_ p WHERE p.action = 'merge' AND p.school_id = t.school_id AND p.keep_id = t.keep_id))"""
 
 
 def _directory(t):
@@ -229,17 +240,40 @@ def cleanup_targets(t):
     return C.cleanup_targets(_directory(t))
 
 
-@query(
-    "cleanup_aliases",
-    f"""WITH {_PLAN}, {_TARGETS} SELECT DISTINCT x.school_id, x.keep_id, x.alias FROM (SELECT p.school_id, p.keep_id, unnest(string_split(d.alias_list, ';') || [d.code, CASE WHEN p.action = 'merge' AND p.reason <> 'same person' THEN d.name END]) AS alias
-  FROM plan_ p JOIN d USING (school_id, teacher_id) WHERE p.action IN ('merge', 'primary')) x LEFT JOIN tg ON tg.school_id = x.school_id AND tg.keep_id = x.keep_id
- WHERE trim(alias) <> '' AND alias IS DISTINCT FROM final_name AND alias IS DISTINCT FROM final_code""",
-)
+@query("cleanup_aliases", f"WITH {_PLAN}, {_TARGETS}, {_CODED}, {_ALIASES} SELECT * FROM al")
 def cleanup_aliases(t):
     rows = _directory(t)
     return C.cleanup_aliases(rows, C.plan_cleanup(rows))
 
 
+@query("cleanup_codes", f"WITH {_PLAN}, {_CODED} SELECT * FROM cg")
+def cleanup_codes(t):
+    rows = _directory(t)
+    return C.code_targets(rows, C.plan_cleanup(rows))
+
+
+@query(
+    "apply_cleanup_names",
+    f"""WITH {_PLAN}, {_TARGETS}, {_CODED}, {_ALIASES}, m AS (SELECT f.school_id, f.seq, coalesce(p.keep_id, f.teacher_id) AS teacher_id, d.name AS teacher_name FROM f_period f LEFT JOIN d ON d.school_id = f.school_id AND d.teacher_id = f.teacher_id
+  LEFT JOIN plan_ p ON p.school_id = f.school_id AND p.teacher_id = f.teacher_id AND p.action = 'merge')
+ SELECT m.school_id, m.seq, m.teacher_id, coalesce(ch.final_name, m.teacher_name) AS teacher_name FROM m LEFT JOIN ch ON ch.school_id = m.school_id AND ch.keep_id = m.teacher_id""",
+)
+def apply_cleanup_names(t):
+    rows = _directory(t)
+    plan = C.plan_cleanup(rows)
+    named = t.f_period.join(rows.select("school_id", "teacher_id", F.col("name").alias("teacher_name")), ["school_id", "teacher_id"], "left").select("school_id", "seq", "teacher_id", "teacher_name")
+    return C.apply_names(C.apply_to_fact(named, plan), rows, plan)
+
+
+@query(
+    "apply_cleanup_logins",
+    f"WITH {_PLAN} SELECT d.school_id, d.teacher_id AS user_id, CASE WHEN p.teacher_id IS NULL THEN d.teacher_id END AS teacher_id FROM d LEFT JOIN plan_ p ON p.school_id = d.school_id AND p.teacher_id = d.teacher_id AND p.action = 'merge'",
+)
+def apply_cleanup_logins(t):
+    rows = _directory(t)
+    return C.apply_to_logins(rows.select("school_id", F.col("teacher_id").alias("user_id"), "teacher_id"), C.plan_cleanup(rows))
+
+
 @query(
     "apply_cleanup_duties",
     f"""WITH {_PLAN}, m AS (SELECT f.duty_id, f.school_id, coalesce(p.keep_id, f.teacher_id) AS teacher_id, f.duty_date, f.duty_type, p.keep_id IS NOT NULL AS moved FROM f_duty f LEFT JOIN plan_ p ON p.school_id = f.school_id AND p.teacher_id = f.teacher_id AND p.action = 'merge')
@@ -261,12 +295,14 @@ def apply_cleanup_periods(t):
 
 @query(
     "apply_cleanup_directory",
-    f"""WITH {_PLAN}, {_TARGETS} SELECT d.school_id, d.teacher_id, coalesce(tg.final_name, d.name) AS name, coalesce(tg.final_code, d.code) AS code, coalesce(tg.final_designation, d.designation) AS designation
- FROM d JOIN plan_ p USING (school_id, teacher_id) LEFT JOIN tg ON tg.school_id = d.school_id AND tg.keep_id = d.teacher_id WHERE p.action NOT IN ('merge', 'delete')""",
+    f"""WITH {_PLAN}, {_TARGETS}, {_CODED}, {_ALIASES}, w AS (SELECT school_id, keep_id, string_agg(alias, ';' ORDER BY alias) AS words FROM al GROUP BY ALL)
+ SELECT d.school_id, d.teacher_id, coalesce(ch.final_name, d.name) AS name, CASE WHEN ch.keep_id IS NULL THEN d.code ELSE ch.final_code END AS code, CASE WHEN ch.keep_id IS NULL THEN d.designation ELSE ch.final_designation END AS designation,
+ coalesce(CASE WHEN ch.keep_id IS NULL THEN d.alias_list ELSE w.words END, '') AS aliases
+ FROM d JOIN plan_ p USING (school_id, teacher_id) LEFT JOIN ch ON ch.school_id = d.school_id AND ch.keep_id = d.teacher_id LEFT JOIN w ON w.school_id = d.school_id AND w.keep_id = d.teacher_id WHERE p.action NOT IN ('merge', 'delete')""",
 )
 def apply_cleanup_directory(t):
     rows = _directory(t)
-    return C.apply_to_directory(rows, C.plan_cleanup(rows))
+    return C.apply_to_directory(rows, C.plan_cleanup(rows)).withColumn("aliases", F.array_join("aliases", ";"))
 
 
 # ---------------------------------------------------------------- learning

@@ -197,6 +197,11 @@ def remedial_issues(t):
     return Q.remedial_issues(remedial, offs, t.f_period.filter("version = 2"))
 
 
+@query("roster_audit", f"WITH {_RES}, {_OTHERS}, {_ROSTER}, {_REMEDIAL} SELECT * FROM roster_ UNION ALL SELECT * FROM rem_")
+def roster_audit(t):
+    return Q.roster_audit(t.f_draft_duty, t.f_draft_off, t.f_draft_remedial, t.f_period.filter("version = 2"), _resolved(t))
+
+
 _EVERY = f"""every_ AS ({_PERIOD} UNION ALL {_DUP.replace('SELECT school_id', 'SELECT * FROM (SELECT school_id', 1)}) UNION ALL {_GAP} UNION ALL {_CLASH} UNION ALL {_LOW} UNION ALL SELECT * FROM ({_REP}) UNION ALL {_OTHER}
  UNION ALL {_DRAFT_ISSUES} UNION ALL SELECT * FROM roster_ UNION ALL SELECT * FROM rem_)"""
 _U5 = f"WITH {_RES}, {_PREP}, {_OTHERS}, {_ROSTER}, {_REMEDIAL}, {_EVERY}"
@@ -228,6 +233,24 @@ def issue_summary(t):
     return Q.issue_summary(_every(t), t.sql(_DRAFTS))
 
 
+_TWO_BAD = f"start_time <> '' AND NOT regexp_matches(start_time, '{_CLOCK}') AND end_time <> '' AND NOT regexp_matches(end_time, '{_CLOCK}')"
+_MORE = f"""more_ AS (SELECT school_id, draft_id, severity, sum(n) AS n FROM (
+  SELECT school_id, draft_id, 'error' AS severity, 1 AS n FROM f_draft_period WHERE {_TWO_BAD} UNION ALL SELECT school_id, draft_id, 'error', 1 FROM f_draft_remedial WHERE {_TWO_BAD}
+  UNION ALL SELECT school_id, draft_id, 'warning', count(*) - 1 FROM ({_CLASH.replace('SELECT DISTINCT', 'SELECT')}) GROUP BY school_id, draft_id, seq
+  UNION ALL SELECT school_id, draft_id, 'warning', count(*) - 1 FROM (SELECT b.school_id, b.draft_id, b.seq FROM rw a JOIN rw b USING (school_id, draft_id, who, day_idx) WHERE a.seq < b.seq AND a.s < b.e AND b.s < a.e) GROUP BY school_id, draft_id, seq) GROUP BY ALL)"""
+
+
+@query(
+    "issue_totals",
+    f"""{_U5}, {_MORE}, a AS (SELECT school_id, draft_id, severity, 1 AS n FROM every_ UNION ALL SELECT school_id, draft_id, severity, n FROM more_)
+ SELECT d.school_id, d.draft_id, CAST(coalesce(sum(n) FILTER (severity = 'error'), 0) AS BIGINT) AS errors, CAST(coalesce(sum(n) FILTER (severity = 'warning'), 0) AS BIGINT) AS warnings, coalesce(sum(n) FILTER (severity = 'error'), 0) = 0 AS publishable
+ FROM ({_DRAFTS}) d LEFT JOIN a USING (school_id, draft_id) GROUP BY ALL""",
+)
+def issue_totals(t):
+    _, _, remedial = _others(t)
+    return Q.issue_totals(_every(t), Q.repeated_findings(_prepared(t), remedial), t.sql(_DRAFTS))
+
+
 @query(
     "issues_by_class",
     f"""WITH {_RES}, {_PREP}, e AS ({_PERIOD}) SELECT p.school_id, p.draft_id, p.class_name, p.section, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings
@@ -282,6 +305,60 @@ def reject_remedial(t):
     return Q.reject_remedial(t.f_draft_remedial, ["seq"])
 
 
+_CLUB_IN = """SELECT club_id, CASE WHEN club_id % 11 = 0 THEN ' A ' WHEN club_id % 13 = 0 THEN repeat(name, 20) ELSE name END AS name,
+ CASE WHEN club_id % 7 = 0 THEN repeat(activities_text, 8) ELSE activities_text END AS member, CASE WHEN club_id % 17 = 0 THEN 61 ELSE 2 END AS n FROM f_club"""
+
+
+@query(
+    "reject_clubs",
+    f"""WITH c AS ({_CLUB_IN}) SELECT club_id, 'name' AS problem FROM c WHERE length(trim(name)) NOT BETWEEN 2 AND 120 UNION ALL SELECT club_id, 'members' FROM c WHERE length(trim(member)) > 160 OR n > 60
+ UNION ALL SELECT club_id, 'activities' FROM c WHERE length(trim(member)) > 300 OR n > 60""",
+)
+def reject_clubs(t):
+    lists = F.array_repeat(F.col("member"), F.col("n"))
+    return Q.reject_clubs(t.sql(_CLUB_IN).withColumn("members", lists).withColumn("activities", lists), ["club_id"])
+
+
+_REQUEST_IN = """SELECT duty_id, CASE WHEN duty_id % 11 = 0 THEN '2026-02-30' WHEN duty_id % 13 = 0 THEN 'soon' ELSE CAST(duty_date AS STRING) END AS day, CASE WHEN duty_id % 17 = 0 THEN 63 WHEN duty_id % 19 = 0 THEN 0 ELSE 3 END AS n,
+ CASE WHEN duty_id % 23 = 0 THEN '' ELSE CAST(teacher_id AS STRING) END AS who, CASE WHEN duty_id % 29 = 0 THEN 31 ELSE 1 END AS k, CASE WHEN duty_id % 31 = 0 THEN repeat('x', 301) END AS description, CASE WHEN duty_id % 37 = 0 THEN 'REST' ELSE duty_type END AS duty_type FROM f_duty"""
+
+
+@query(
+    "reject_duty_requests",
+    f"""WITH r AS ({_REQUEST_IN}) SELECT duty_id, 'dates' AS problem FROM r WHERE n NOT BETWEEN 1 AND 62 OR TRY_CAST(day AS DATE) IS NULL UNION ALL SELECT duty_id, 'teachers' FROM r WHERE k > 30 OR who = ''
+ UNION ALL SELECT duty_id, 'description' FROM r WHERE length(description) > 300 UNION ALL SELECT duty_id, 'type' FROM r WHERE duty_type = 'REST'""",
+)
+def reject_duty_requests(t):
+    rows = t.sql(_REQUEST_IN).withColumn("dates", F.array_repeat(F.col("day"), F.col("n"))).withColumn("teacher_ids", F.array_repeat(F.col("who"), F.col("k")))
+    return Q.reject_duty_requests(rows, ["duty_id"])
+
+
+_ACCOUNT_IN = "SELECT user_id, CASE WHEN user_id % 5 = 0 THEN ' ' || upper(username) || ' ' WHEN user_id % 7 = 0 THEN 'ab' WHEN user_id % 11 = 0 THEN replace(username, '.', '!') ELSE username END AS username, repeat('p', CAST(user_id % 120 AS INT)) AS password FROM f_user"
+
+
+@query(
+    "reject_accounts",
+    f"""WITH a AS (SELECT *, lower(trim(username)) AS u FROM ({_ACCOUNT_IN})) SELECT user_id, 'username' AS problem FROM a WHERE length(u) NOT BETWEEN 3 AND 40 OR NOT regexp_full_match(u, '[a-z0-9._-]+')
+ UNION ALL SELECT user_id, 'password' FROM a WHERE length(password) NOT BETWEEN 8 AND 100""",
+)
+def reject_accounts(t):
+    return Q.reject_accounts(t.sql(_ACCOUNT_IN), ["user_id"])
+
+
+_SETTINGS_IN = """SELECT club_id, CASE WHEN club_id % 3 = 0 THEN name END AS school_name, CASE WHEN club_id % 5 = 0 THEN 'X' ELSE name END AS portal_name, CASE WHEN club_id % 7 = 0 THEN 'office' WHEN club_id % 2 = 0 THEN 'a@b.org' END AS contact_email,
+ CASE WHEN club_id % 11 = 0 THEN repeat('1', 31) ELSE '123' END AS contact_phone, CASE WHEN club_id % 13 = 0 THEN 21 WHEN club_id % 17 = 0 THEN 0 ELSE 7 END AS n FROM f_club"""
+
+
+@query(
+    "reject_settings",
+    f"""WITH x AS ({_SETTINGS_IN}) SELECT club_id, 'portal_name' AS problem FROM x WHERE portal_name = 'X' UNION ALL SELECT club_id, 'contact_email' FROM x WHERE contact_email = 'office'
+ UNION ALL SELECT club_id, 'contact_phone' FROM x WHERE length(contact_phone) > 30 UNION ALL SELECT club_id, 'classes' FROM x WHERE n NOT BETWEEN 1 AND 20""",
+)
+def reject_settings(t):
+    rows = t.sql(_SETTINGS_IN).withColumn("classes", F.array_repeat(F.lit("VI"), F.col("n"))).withColumn("sections", F.array().cast("array<string>"))
+    return Q.reject_settings(rows, ["club_id"])
+
+
 @query(
     "reject_subjects",
     """WITH n AS (SELECT school_id, club_id AS seq, CASE WHEN club_id % 2 = 0 THEN name ELSE upper(name) END AS name FROM f_club) SELECT school_id, seq, name FROM n

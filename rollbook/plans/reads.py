@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -235,6 +235,17 @@ def teacher_day(t):
     return R.teacher_day(t.f_period, t.f_duty, t.f_weekly_off, t.f_teacher, 2, DAY)
 
 
+@query(
+    "next_duties",
+    f"""WITH ahead AS (SELECT * FROM f_duty WHERE duty_date >= {D} QUALIFY row_number() OVER (PARTITION BY school_id, teacher_id ORDER BY duty_date, duty_id) <= 20)
+ SELECT school_id, teacher_id, duty_type, CAST(row_number() OVER (PARTITION BY school_id, teacher_id, duty_type ORDER BY duty_date, duty_id) AS INTEGER) AS place, duty_date, duty_id FROM ahead WHERE duty_date > {D}
+ QUALIFY row_number() OVER (PARTITION BY school_id, teacher_id, duty_type ORDER BY duty_date, duty_id) <= 6
+ UNION ALL SELECT school_id, teacher_id, duty_type, 0, duty_date, duty_id FROM ahead WHERE duty_date = {D} AND duty_type = 'HOLIDAY' QUALIFY row_number() OVER (PARTITION BY school_id, teacher_id ORDER BY duty_id) = 1""",
+)
+def next_duties(t):
+    return R.next_duties(t.f_duty, DAY)
+
+
 @query(
     "availability",
     f"""SELECT school_id, count(*) AS total, count(*) FILTER (duty_date = {D}) AS today,
@@ -312,6 +323,18 @@ def activity_page(t):
     return R.page_of(d, 3, 40, F.col("created_at").desc(), F.col("event_id").desc())
 
 
+@query("activity_deep_page", "SELECT event_id, created_at, entity_type FROM f_activity ORDER BY created_at DESC, event_id DESC LIMIT 40 OFFSET 7960")
+def activity_deep_page(t):
+    d = t.f_activity.select("event_id", "created_at", "entity_type")
+    return R.deep_page(d, 200, 40, F.col("created_at").desc(), F.col("event_id").desc())
+
+
+@query("activity_next_page", "SELECT event_id, created_at, entity_type FROM f_activity WHERE created_at < TIMESTAMP '2024-01-09 12:00:00' OR (created_at = TIMESTAMP '2024-01-09 12:00:00' AND event_id < 500) ORDER BY created_at DESC, event_id DESC LIMIT 40")
+def activity_next_page(t):
+    d = t.f_activity.select("event_id", "created_at", "entity_type")
+    return R.page_after(d, [("created_at", datetime(2024, 1, 9, 12), True), ("event_id", 500, True)], 40)
+
+
 @query("activity_page_count", "SELECT entity_type, greatest(CAST(ceil(count(*) / 40.0) AS BIGINT), 1) AS pages FROM f_activity GROUP BY ALL")
 def activity_page_count(t):
     return R.page_count(t.f_activity, 40, ["entity_type"])

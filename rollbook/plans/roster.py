@@ -54,6 +54,13 @@ def roster_candidates(t):
     return _candidates(t)
 
 
+@query("roster_candidates_five_days", f"WITH {_CAND} SELECT * FROM cand WHERE day_idx < 5")
+def roster_candidates_five_days(t):
+    comp = t.f_duty.filter("off_date is not null").select("school_id", "teacher_id", F.col("off_date").alias("day"))
+    holidays = t.f_duty.filter("duty_type = 'HOLIDAY'").select("school_id", F.col("duty_date").alias("day"))
+    return P.roster_candidates(pool(t), START, END, "MOD", rules(t), t.f_weekly_off, comp, V.last_duty(t.f_duty, START), 5, holidays, work_days=DAYS[:5])
+
+
 @query(
     "rotation_plan",
     f"""WITH {_CAND}, rk AS (SELECT *, row_number() OVER (PARTITION BY school_id ORDER BY name, teacher_id) - 1 AS r, count(*) OVER (PARTITION BY school_id) AS n FROM pool),
@@ -115,6 +122,49 @@ def remedial_candidates(t):
     return P.remedial_candidates(A.who_teaches_what(lessons(t)), t.sql(_SLOTS), lessons(t), t.f_weekly_off, given)
 
 
+def _remedial_rounds(per_week: int, most: int) -> str:
+    """The plan as one recursion: a step deals one round of one session to all schools and carries every row dealt so far. A step that
+    deals nothing goes on to the next session."""
+    rank = "CASE class_name " + " ".join(f"WHEN '{c}' THEN {i + 1}" for i, c in enumerate("I II III IV V VI VII VIII IX X XI XII".split())) + " ELSE 99 END"
+    return f"""WITH RECURSIVE {_POOL}, seat AS (SELECT school_id, teacher_id, row_number() OVER (PARTITION BY school_id ORDER BY name, teacher_id) AS seat FROM pool),
+ tw AS (SELECT school_id, class_name, section, teacher_id, trim(subject) AS subject, count(*) AS n FROM f_period WHERE version = 2 AND NOT is_break AND teacher_id IS NOT NULL AND trim(subject) <> '' GROUP BY ALL),
+ al AS (SELECT *, 0 AS tier FROM tw UNION ALL SELECT s.school_id, s.class_name, s.section, w.teacher_id, w.subject, w.n, 1 FROM (SELECT DISTINCT school_id, class_name, section FROM tw) s
+  JOIN (SELECT school_id, class_name, teacher_id, subject, sum(n) AS n FROM tw GROUP BY ALL) w USING (school_id, class_name)),
+ su AS MATERIALIZED (SELECT * FROM al QUALIFY tier = min(tier) OVER (PARTITION BY school_id, class_name, section, teacher_id)),
+ sl AS (SELECT DISTINCT school_id, day_idx, start_min, end_min FROM ({_SLOTS}) WHERE start_min < end_min),
+ fr AS (SELECT p.school_id, p.teacher_id, p.seat, sl.day_idx, sl.start_min, sl.end_min FROM seat p JOIN sl USING (school_id) JOIN pool USING (school_id, teacher_id)
+  WHERE NOT EXISTS (SELECT 1 FROM f_weekly_off o WHERE o.school_id = p.school_id AND o.teacher_id = p.teacher_id AND o.day_idx = sl.day_idx) AND NOT coalesce(designation = 'Warden' AND sl.day_idx = 0, false)
+  AND NOT EXISTS (SELECT 1 FROM f_period b WHERE b.version = 2 AND NOT b.is_break AND b.school_id = p.school_id AND b.teacher_id = p.teacher_id AND b.day_idx = sl.day_idx AND sl.start_min < b.end_min AND b.start_min < sl.end_min)),
+ op AS MATERIALIZED (SELECT x.*, fr.seat, fr.day_idx, fr.start_min, fr.end_min FROM (SELECT DISTINCT school_id, class_name, section, teacher_id, tier FROM su) x JOIN fr USING (school_id, teacher_id)),
+ r(step, now, school_id, class_name, section, session, teacher_id, subject, tier, day_idx, start_min, end_min) AS (
+  SELECT 0, 1, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0, NULL::BIGINT, NULL::VARCHAR, 0, 0, 0, 0
+  UNION ALL
+  (WITH d AS (SELECT * FROM r WHERE session > 0), cur AS (SELECT max(step) AS step, max(now) AS now FROM r),
+   g AS (SELECT school_id, teacher_id, count(*) AS given FROM d GROUP BY ALL), h AS (SELECT school_id, class_name, section, subject, count(*) AS had FROM d GROUP BY ALL),
+   ts AS (SELECT su.school_id, su.class_name, su.section, su.teacher_id, su.subject, coalesce(h.had, 0) AS had FROM su LEFT JOIN h USING (school_id, class_name, section, subject)
+    QUALIFY row_number() OVER (PARTITION BY su.school_id, su.class_name, su.section, su.teacher_id ORDER BY coalesce(h.had, 0), su.n DESC, su.subject) = 1),
+   o AS (SELECT op.*, coalesce(g.given, 0) AS given, ts.subject, op.tier * 1000 + coalesce(g.given, 0) * 40 + ts.had * 25
+      + CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.school_id = op.school_id AND d.class_name = op.class_name AND d.section = op.section AND d.day_idx = op.day_idx) THEN 40 ELSE 0 END AS points
+    FROM op JOIN ts USING (school_id, class_name, section, teacher_id) LEFT JOIN g ON g.school_id = op.school_id AND g.teacher_id = op.teacher_id
+    WHERE coalesce(g.given, 0) < {most}
+     AND NOT EXISTS (SELECT 1 FROM d WHERE d.school_id = op.school_id AND d.class_name = op.class_name AND d.section = op.section AND d.session = (SELECT now FROM cur))
+     AND NOT EXISTS (SELECT 1 FROM d WHERE d.school_id = op.school_id AND d.teacher_id = op.teacher_id AND d.day_idx = op.day_idx)
+     AND NOT EXISTS (SELECT 1 FROM d WHERE d.school_id = op.school_id AND d.class_name = op.class_name AND d.section = op.section AND d.day_idx = op.day_idx AND op.start_min < d.end_min AND d.start_min < op.end_min)),
+   b AS (SELECT *, {rank} AS cr FROM o QUALIFY row_number() OVER (PARTITION BY school_id, class_name, section ORDER BY points, seat, day_idx, start_min, end_min) = 1),
+   w AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY school_id, teacher_id, day_idx ORDER BY cr, section, class_name) = 1),
+   n AS (SELECT * FROM w QUALIFY given + row_number() OVER (PARTITION BY school_id, teacher_id ORDER BY cr, section, class_name) <= {most}),
+   nxt AS (SELECT step + 1 AS step, CASE WHEN EXISTS (SELECT 1 FROM n) THEN now ELSE now + 1 END AS now FROM cur)
+   SELECT nxt.step, nxt.now, x.* FROM nxt, (SELECT school_id, class_name, section, session, teacher_id, subject, tier, day_idx, start_min, end_min FROM r
+     UNION ALL SELECT school_id, class_name, section, (SELECT now FROM cur), teacher_id, subject, tier, day_idx, start_min, end_min FROM n) x WHERE nxt.now <= {per_week + 1} AND (SELECT now FROM cur) <= {per_week}))
+SELECT school_id, class_name, section, session, teacher_id, subject, tier, day_idx, start_min, end_min FROM r WHERE session > 0 AND step = (SELECT max(step) FROM r)"""
+
+
+@query("plan_remedial", _remedial_rounds(2, 3))
+def plan_remedial(t):
+    away = t.f_teacher.filter("designation = 'Warden'").select("school_id", "teacher_id", F.lit(None).cast("array<date>").alias("dates"), F.array(F.lit(0)).alias("days"), F.array(F.lit("REMEDIAL")).alias("duties"))
+    return P.plan_remedial(A.who_teaches_what(lessons(t)), pool(t), t.sql(_SLOTS), lessons(t), t.f_weekly_off, away, 2, 3)
+
+
 @query("target_gap", "SELECT * FROM (SELECT school_id, count(*) AS teachers, CAST(greatest(least(20, count(*) // 3 - 2), 0) AS INTEGER) AS gap FROM f_teacher WHERE active GROUP BY ALL) WHERE gap < 20")
 def target_gap(t):
     return P.shortage(pool(t), 3, 20)

@@ -153,6 +153,20 @@ def describe_changes(t):
     return T.describe_changes(_diff(t))
 
 
+def _named_side(p: str) -> str:
+    return f"coalesce(nullif({p}_subject, ''), '(no subject)') || ' · ' || coalesce(nullif({p[0]}.name, ''), '(no teacher)') || ' · ' || {_clock12(p + '_start_min')} || ' - ' || {_clock12(p + '_end_min')}"
+
+
+@query(
+    "describe_named_changes",
+    f"""WITH {_DIFF} SELECT d.school_id, class_name, section, day_idx, slot, kind, {_DAYNAMES}[day_idx + 1] || ' - Class ' || CASE WHEN section <> '' THEN class_name || '-' || section ELSE class_name END AS place,
+ CASE WHEN kind <> 'added' THEN {_named_side('before')} END AS "before", CASE WHEN kind <> 'removed' THEN {_named_side('after')} END AS "after" FROM diff d
+ LEFT JOIN f_teacher b ON b.school_id = d.school_id AND b.teacher_id = d.before_teacher_id LEFT JOIN f_teacher a ON a.school_id = d.school_id AND a.teacher_id = d.after_teacher_id""",
+)
+def describe_named_changes(t):
+    return T.describe_changes(_diff(t), teachers=t.f_teacher)
+
+
 @query(
     "split_lists",
     """SELECT club_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(activities_text, ';'), lambda x: trim(x)), lambda x: length(x) > 1))), '|') AS items
