@@ -296,7 +296,7 @@ def misread_heads(t):
 # ---------------------------------------------------------------- matrices of extra classes with labels that cannot be read
 
 _CLASSES = ["VI", "VII", "VIII", "IX", "X", "XI", "XII"]
-_MATRIX = f"""SELECT s.school_id AS page_id, CAST(k AS INTEGER) AS k, {_CLASSES}[k + 1] AS class_name, coalesce(m.activity, 'Sport') AS activity, 1 - (s.school_id % 5) / 10.0 AS conf, k > 0 AND (s.school_id + k) % 3 < 2 AS unread
+_MATRIX = f"""SELECT s.school_id AS page_id, CAST(k AS INTEGER) AS k, {_CLASSES}[k + 1] AS class_name, coalesce(nullif(trim(m.activity), ''), 'Sport') AS activity, 1 - (s.school_id % 5) / 10.0 AS conf, k > 0 AND (s.school_id + k) % 3 < 2 AS unread
  FROM (SELECT DISTINCT school_id FROM f_teacher) s CROSS JOIN range(7) g(k) LEFT JOIN (SELECT school_id, seq % 7 AS k, arg_max(activity, seq) AS activity FROM f_remedial GROUP BY ALL) m USING (school_id, k)"""
 
 
@@ -314,7 +314,7 @@ def _matrix_cells(t):
 
     head = [cell(F.lit(0), 0, 0, 100, F.lit("")), cell(F.lit(0), 1, 100, 300, F.lit("Monday")), cell(F.lit(0), 2, 300, 500, F.lit("Tuesday"))]
     head += [cell(F.lit(1), i, 100 * i, 100 * i + 100, F.lit(x)) for i, x in enumerate(["", "3:00-3:30", "3:30-4:00", "3:00-3:30", "3:30-4:00"])]
-    said = F.coalesce("activity", F.lit("Sport"))
+    said = F.coalesce(F.nullif(F.trim("activity"), F.lit("")), F.lit("Sport"))
     body = [cell(F.col("k") + 2, 0, 0, 100, label), cell(F.col("k") + 2, 1, 100, 300, said), cell(F.col("k") + 2, 2, 300, 400, said), cell(F.col("k") + 2, 3, 400, 500, F.lit(""))]
     heads = rows.filter("k = 0").select("school_id", F.explode(F.array(*head)).alias("c"))
     out = heads.unionByName(rows.select("school_id", F.explode(F.array(*body)).alias("c"))).select(F.col("school_id").alias("page_id"), "c.*")

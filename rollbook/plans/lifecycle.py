@@ -465,15 +465,16 @@ _LIMITS = {1: ("section", "ABCD"), 2: ("label", "x" * 41), 3: ("subject", "x" *
 
 @query(
     "draft_limits",
-    """SELECT seq, CASE WHEN seq % 16 BETWEEN 1 AND 5 THEN 'period' WHEN seq % 16 = 8 THEN 'club' WHEN seq % 16 = 9 THEN 'duty' WHEN seq % 16 = 10 THEN 'remedial' WHEN seq % 16 = 11 THEN 'too many in weeklyOffs' WHEN seq % 16 = 12 THEN 'head' WHEN seq % 16 = 13 THEN 'generated' END AS problem
- FROM f_draft_period WHERE seq % 16 IN (1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13)""",
+    """SELECT seq, CASE WHEN seq // 8 % 16 BETWEEN 1 AND 5 THEN 'period' WHEN seq // 8 % 16 = 8 THEN 'club' WHEN seq // 8 % 16 = 9 THEN 'duty' WHEN seq // 8 % 16 = 10 THEN 'remedial' WHEN seq // 8 % 16 = 11 THEN 'too many in weeklyOffs' WHEN seq // 8 % 16 = 12 THEN 'head' WHEN seq // 8 % 16 = 13 THEN 'generated' END AS problem
+ FROM f_draft_period WHERE seq // 8 % 16 IN (1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13)""",
 )
 def draft_limits(t):
     """One draft a period, whose texts, lists or head break a limit or just keep it."""
+    turn = F.expr("seq div 8 % 16")
     base = '{"id":"p","className":"VI","day":"MONDAY","slot":0%s}'
     shape = F.lit('{"periods":[' + base % "" + "]}")
     for k, (f, v) in _LIMITS.items():
-        shape = F.when(F.col("seq") % 16 == k, F.lit('{"periods":[' + base % f',"{f}":"{v}"' + "]}")).otherwise(shape)
+        shape = F.when(turn == k, F.lit('{"periods":[' + base % f',"{f}":"{v}"' + "]}")).otherwise(shape)
     off = '{"id":"w","day":"MONDAY","teacherName":"A"}'
     other = {
         8: '{"clubs":[{"id":"c","name":"Art","teachers":["' + "x" * 161 + '"]}]}',
@@ -485,5 +486,5 @@ def draft_limits(t):
         14: '{"weeklyOffs":[' + ",".join([off] * 500) + "]}",
     }
     for k, v in other.items():
-        shape = F.when(F.col("seq") % 16 == k, F.lit(v)).otherwise(shape)
+        shape = F.when(turn == k, F.lit(v)).otherwise(shape)
     return D.parse_drafts(t.f_draft_period.select("seq", shape.alias("data")))[1]

@@ -25,12 +25,12 @@ def throttle(t):
     "throttle_busy",
     """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY ip_id ORDER BY ts, event_id) AS rn FROM f_login),
  r(ip_id, rn, event_id, user_failures, ip_failures, refused, held) AS (
-  SELECT DISTINCT ip_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, false, []::STRUCT(u BIGINT, at BIGINT, live BOOLEAN)[] FROM e
+  SELECT DISTINCT ip_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, false, []::STRUCT(u BIGINT, us BIGINT, live BOOLEAN)[] FROM e
   UNION ALL
-  SELECT ip_id, rn, event_id, uf, af, uf >= 3 OR af >= 9, CASE WHEN uf >= 3 OR af >= 9 THEN now WHEN failed THEN list_append(now, {'u': user_id, 'at': us, 'live': true})
-    ELSE list_transform(now, lambda x: {'u': x.u, 'at': x.at, 'live': x.live AND x.u <> user_id}) END
+  SELECT ip_id, rn, event_id, uf, af, uf >= 3 OR af >= 9, CASE WHEN uf >= 3 OR af >= 9 THEN now WHEN failed THEN list_append(now, {'u': user_id, 'us': us, 'live': true})
+    ELSE list_transform(now, lambda x: {'u': x.u, 'us': x.us, 'live': x.live AND x.u <> user_id}) END
   FROM (SELECT *, CAST(len(list_filter(now, lambda x: x.u = user_id AND x.live)) AS BIGINT) AS uf, CAST(len(now) AS BIGINT) AS af
-   FROM (SELECT e.ip_id, e.rn, e.event_id, e.user_id, e.failed, e.us, list_filter(r.held, lambda x: e.us - x.at < 172800000000) AS now FROM r JOIN e ON e.ip_id = r.ip_id AND e.rn = r.rn + 1)))
+   FROM (SELECT e.ip_id, e.rn, e.event_id, e.user_id, e.failed, e.us, list_filter(r.held, lambda x: e.us - x.us < 172800000000) AS now FROM r JOIN e ON e.ip_id = r.ip_id AND e.rn = r.rn + 1)))
  SELECT event_id, user_failures, ip_failures, refused FROM r WHERE event_id IS NOT NULL""",
 )
 def throttle_busy(t):
