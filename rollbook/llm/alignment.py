@@ -13,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,9 +115,9 @@ def side(path: str) -> Side:
 
 
 def _flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts end to end, their n + 1 borders)"""
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    ids = np.fromiter((i for x in lists for i in x), np.int64, first[-1])
-    return ids, first
+    return np.fromiter(chain.from_iterable(lists), np.int64, first[-1]), first
 
 
 def _joined(tokenizer: Side, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
