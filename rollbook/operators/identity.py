@@ -108,8 +108,7 @@ def resolve_names(names: DataFrame, people: DataFrame, mapping: DataFrame | None
 
 def _less_one(s: Column) -> Column:
     """The string and every string with one character left out."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1)))
-    return F.array_distinct(F.concat(F.array(s), cut))
+    return F.array_distinct(F.concat(F.array(s), _one_off(s, "")))
 
 
 def deletions(s: Column, k: int) -> Column:
@@ -120,24 +119,62 @@ def deletions(s: Column, k: int) -> Column:
     return F.transform(out, lambda x: F.xxhash64(x))
 
 
+def _one_off(s: Column, put: str) -> Column:
+    """The string with each of its characters in turn replaced by `put`."""
+    at = F.sequence(F.lit(1), F.length(s))
+    return F.array_distinct(F.transform(at, lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.lit(put), F.substr(s, i + 1))))
+
+
+def _variants(s: Column, changed: int, left_out: int) -> Column:
+    """The strings that come of marking `changed` characters as changed and leaving `left_out` out."""
+    out = F.array(s)
+    for put in ["?"] * changed + [""] * left_out:
+        out = _spread_one(out, put)
+    return out
+
+
+def _spread_one(strings: Column, put: str) -> Column:
+    return F.array_distinct(F.flatten(F.transform(strings, lambda x: _one_off(x, put))))
+
+
+def edit_keys(s: Column, radius: int, asked: bool) -> Column:
+    """Keys that two strings share exactly when they are within `radius` edits (1 or 2): one of them as `asked`, the other not.
+
+    Edits that turn the asked string into the other are c changes, o left out and m put in, c + o + m <= radius. The asked
+    string with c marks and o characters left out is then the other with c marks and m left out, so that (c, o, m, that text)
+    is a key of both; and any shared key is such a way. s must be longer than the radius and hold no question mark."""
+    parts = []
+    for c in range(radius + 1):
+        for own in range(radius + 1 - c):
+            texts = _variants(s, c, own)
+            for other in range(radius + 1 - c - own):
+                kind = f"{c}{own}{other}" if asked else f"{c}{other}{own}"
+                parts.append(F.transform(texts, _keyed(kind)))
+    return F.flatten(F.array(*parts))
+
+
+def _keyed(kind: str):
+    return lambda t: F.struct(F.xxhash64(F.lit(kind), t).alias("k"), F.hash(F.lit(kind), t).alias("h"))
+
+
 def fuzzy_resolve(names: DataFrame, people: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """J11 (opt-in): names with a key of 6+ letters to the only person within one edit (two from 12 letters on)."""
+    """J11 (opt-in): names with a key of 6+ letters to the only person within one edit (two from 12 letters on).
+
+    Every key is reduced to its first and last owner before names meet it: however many people have nearly the same name, an asked
+    name meets each of its keys once and needs no further comparison."""
     asked = with_value(names.select(*by, "raw"), "q", match_key(F.col("raw"))).filter(F.length("q") >= 6)
     q = asked.select(*by, "q", F.when(F.length("q") >= 12, 2).otherwise(1).alias("radius")).distinct()
     words = F.concat(F.array(match_key(F.col("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), match_key))
     owners = people.filter("active").select(*by, "teacher_id", F.explode(words).alias("d")).filter(F.length("d") >= 6)
     owners = owners.groupBy(*by, "d").agg(F.min("teacher_id").alias("lo"), F.max("teacher_id").alias("hi"))
 
-    def spread(df: DataFrame, c: str) -> DataFrame:
-        near = F.when(F.col("radius") == 2, deletions(F.col(c), 2)).otherwise(deletions(F.col(c), 1))
+    def spread(df: DataFrame, c: str, is_asked: bool) -> DataFrame:
+        near = F.when(F.col("radius") == 2, edit_keys(F.col(c), 2, is_asked)).otherwise(edit_keys(F.col(c), 1, is_asked))
         return df.withColumn("_v", F.explode(near))
 
     radii = F.when(F.length("d") >= 10, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    left = spread(q, "q")
-    right = spread(owners.withColumn("radius", F.explode(radii)), "d").select(*by, "radius", "_v", "d", "lo", "hi")
-    near = left.join(right, [*by, "radius", "_v"]).select(*by, "q", "radius", "d", "lo", "hi").distinct()
-    dist = F.levenshtein("q", "d", 2)
-    near = near.filter((dist >= 0) & (dist <= F.col("radius")))
+    right = spread(owners.withColumn("radius", F.explode(radii)), "d", False).groupBy(*by, "radius", "_v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = spread(q, "q", True).join(right, [*by, "radius", "_v"])
     only = near.groupBy(*by, "q").agg(F.min("lo").alias("teacher_id"), F.max("hi").alias("_hi")).filter(F.col("teacher_id") == F.col("_hi")).drop("_hi")
     return asked.join(only, [*by, "q"]).select(*by, "raw", "teacher_id")
 
@@ -258,6 +295,7 @@ def rename_spelling(df: DataFrame, pairs: DataFrame, by: Sequence[str] = BY) ->
 def unique_usernames(people: DataFrame, users: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Base, base2, base3 ... in name order, skipping names already taken.
 
+    A number of more than 18 digits in a taken name is never reached by counting and is not read.
     The k-th free number of a base is k plus the taken numbers at or before it: taken numbers and people are laid
     on one line per base and the last count is carried down, so one very common name is still many tasks."""
     rows = numbered(people.withColumn("base", username_base(F.col("name"))), [*by, "base"], ["name", "teacher_id"], "k")
