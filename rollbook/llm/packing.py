@@ -6,6 +6,7 @@ among the pieces of equal length."""
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.hashing import Words, slices
 from rollbook.session import cut_lineage
 
-#: Distinct words whose ids a task remembers; when full, the memory starts afresh.
+#: Distinct words whose ids a worker remembers; when full, the memory starts afresh.
 REMEMBERED = 600_000
 
 
@@ -99,14 +100,17 @@ class _Ids:
         return out, first
 
 
-def _pieces(path: str, capacity: int):
-    made: list[_Ids] = []
+@functools.lru_cache(2)
+def _learned(path: str) -> _Ids:
+    """The words of a tokenizer file that this worker has met; Spark's workers take one task after another and keep them."""
+    return _Ids(path)
+
 
+def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(_Ids(path))
+        known = _learned(path)
         for b in slices(batches, "text", 1 << 20):
-            ids, first = made[0].encode(b.column("text"))
+            ids, first = known.encode(b.column("text"))
             size = np.diff(first)
             n = -(-size // capacity)
             row = np.repeat(np.arange(len(size)), n)
