@@ -155,6 +155,23 @@ def _used(t):
     return L.documents_in_use(t.f_doc, routines, lists, lists.filter("false"), t.f_notice)
 
 
+_CLUB_LISTS = "SELECT CAST(club_id AS BIGINT) AS doc_id, active FROM f_club WHERE club_id % 4 = 1"
+
+
+@query(
+    "documents_in_use_by_clubs",
+    f"""WITH c AS ({_CLUB_LISTS}), x AS (SELECT d.doc_id, l.has_schedule AND l.schedule_active AS live_schedule, l.has_schedule, l.routine_status, d.extraction_status, d.archived, EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id) AS listed,
+  EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.active) AS live_club, EXISTS (SELECT 1 FROM f_notice n WHERE n.doc_id = d.doc_id AND NOT n.archived) AS noticed FROM f_doc d JOIN f_doc_link l USING (doc_id))
+ SELECT doc_id, has_schedule OR listed AS has_list, CASE WHEN extraction_status IN ('QUEUED', 'PROCESSING', 'REVIEW') THEN 'in work' WHEN routine_status IN ('ACTIVE', 'SCHEDULED') THEN 'current or upcoming routine'
+  WHEN live_schedule OR live_club THEN 'live schedule or club list' WHEN NOT archived AND noticed THEN 'attached to a notice' END AS block_reason FROM x""",
+)
+def documents_in_use_by_clubs(t):
+    link = t.f_doc_link
+    routines = link.filter("routine_status is not null").select("doc_id", F.col("routine_status").alias("status"))
+    lists = link.filter("has_schedule").select("doc_id", F.col("schedule_active").alias("active"))
+    return L.documents_in_use(t.f_doc, routines, lists, t.sql(_CLUB_LISTS), t.f_notice).select("doc_id", "has_list", "block_reason")
+
+
 @query("documents_in_use", f"WITH {_USED} SELECT doc_id, has_routine, has_list, active_routine, block_reason FROM used")
 def documents_in_use(t):
     return _used(t).select("doc_id", "has_routine", "has_list", "active_routine", "block_reason")

@@ -47,6 +47,15 @@ def failure_windows(t):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id", "failures")
 
 
+@query(
+    "sliding_failures",
+    """SELECT CAST(w AS TIMESTAMP) AS window_start, user_id, count(*) AS failures FROM (SELECT user_id, unnest([b, b - INTERVAL 5 MINUTE, b - INTERVAL 10 MINUTE]) AS w FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM f_login WHERE failed)) GROUP BY ALL""",
+)
+def sliding_failures(t):
+    rows = S.failure_windows(t.f_login, slide="5 minutes")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "user_id", "failures")
+
+
 _JOBS = "SELECT doc_id, extraction_status AS status, 'step' AS stage, CAST(updated_on AS TIMESTAMP) AS updated_at FROM f_doc"
 
 
