@@ -20,7 +20,7 @@ from rollbook.llm.hashing import Words, slices
 from rollbook.session import cut_lineage
 
 #: Distinct words whose ids a worker remembers; when full, the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 
 class _Ids:
@@ -55,17 +55,18 @@ class _Ids:
         # many words to a call, told apart by a separator of one id; words that hold its sign go alone
         own = np.array(["|" in w for w in found])
         together = [w for w in found if "|" not in w]
-        lists = [" | ".join(together[i : i + 256]) for i in range(0, len(together), 256)]
-        parts: list[np.ndarray] = []
-        for text in lists:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            parts += np.split(ids, np.flatnonzero(ids == self.separator))
-        parts = [p[1:] if len(p) and p[0] == self.separator else p for p in parts]
-        new, alone = np.concatenate([new[~own], new[own]]), np.flatnonzero(own)
-        parts += [np.array(self.tokenizer.encode(found[i], add_special_tokens=False).ids, np.uint32) for i in alone]
-        slots = np.arange(len(parts)) + len(self.first) - 1
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(p) for p in parts])])
-        self.ids = np.concatenate([self.ids, *parts])
+        told = [np.array([self.separator], np.uint32)]  # every word's ids end with the sign's
+        for i in range(0, len(together), 256):
+            ids = self.tokenizer.encode(" | ".join(together[i : i + 256]), add_special_tokens=False).ids
+            told += [np.array(ids, np.uint32), told[0]]
+        ids = np.concatenate(told[1:]) if together else np.zeros(0, np.uint32)
+        sizes = np.diff(np.flatnonzero(ids == self.separator), prepend=-1) - 1
+        lone = [np.array(self.tokenizer.encode(found[i], add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(own)]
+        sizes = np.concatenate([sizes, [len(x) for x in lone]]).astype(np.int64)
+        new = np.concatenate([new[~own], new[own]])
+        slots = np.arange(len(sizes)) + len(self.first) - 1
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids[ids != self.separator], *lone])
         order = np.argsort(merged := np.concatenate([self.hashes, new]), kind="stable")
         self.hashes, self.slot = merged[order], np.concatenate([self.slot, slots])[order]
 
