@@ -82,7 +82,8 @@ def doubled_rows(t):
  start_min - lag(end_min) OVER (PARTITION BY school_id, version, class_name, section, day_idx ORDER BY start_min, seq) AS gap FROM f_period) WHERE gap < 0 OR gap BETWEEN 1 AND 5""",
 )
 def adjacent_gap(t):
-    return C.adjacent_gap(t.f_period, VER).select(*VER, "seq", "gap", "code")
+    rows = t.f_period.select(*VER, "class_name", "section", "day_idx", "seq", "start_min", "end_min")  # the rows are checkpointed
+    return C.adjacent_gap(rows, VER).select(*VER, "seq", "gap", "code")
 
 
 @query(
