@@ -222,3 +222,14 @@ def test_empty_tables(docs_of):
     none = docs_of([])
     for f in (near_duplicates, remove_repeats, remove_substrings, dedup_lines):
         assert f(none).count() == 0
+
+
+def test_lines_keep_columns_of_any_name(docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of([(1, "alpha beta gamma delta\nown line of one"), (2, "alpha beta gamma delta\nother line of two")])
+    docs = docs.withColumns({"rid": F.lit("keep me"), "_rid": F.lit(1), "GONE": F.lit("too"), "__rid": F.lit(2), "__gone": F.lit(3)})
+    out = dedup_lines(docs)
+    assert set(docs.columns) <= set(out.columns)
+    rows = {r["doc_id"]: (r["n_removed"], r["rid"], r["GONE"], r["__gone"]) for r in out.collect()}
+    assert rows == {1: (0, "keep me", "too", 3), 2: (1, "keep me", "too", 3)}
