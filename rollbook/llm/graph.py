@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.session import cut_lineage
+from rollbook.session import cut_lineage, drop_old_shuffles
 
 
 #: Rows of two numbers up to which a side of a join may be broadcast (about 24 MB); beyond, both sides are dealt by key.
@@ -34,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or state[0] == 0:
             break
         last = state
+        drop_old_shuffles(edges.sparkSession)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -70,4 +71,6 @@ def link_buckets(open_: DataFrame, linked: Callable[[DataFrame], DataFrame], com
         split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
         open_ = cut_lineage(rest.join(split, "key", "left_semi").select("key", "node", "score"))
         leaders_each *= 8
+        del rank, leaders, pairs, found, rest, split
+        drop_old_shuffles(open_.sparkSession)
     return comps
