@@ -233,3 +233,23 @@ def test_pipeline_stages_take_effect(docs_of, spark, tmp_path):
     assert kept["language"] == everyone - {40, 41}
     assert kept["near_duplicates"] == everyone - {40, 41, 43}
     assert kept["packing"] == kept["decontamination"] == everyone - {40, 41, 43, 44}
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>T</title><article><p>Body text here</p></article></html>", "Body text here"),
+        ("<head><meta charset=utf-8><link rel=x><script>var a = '<p>no</p>'</script><main><p>One</p><p>Two</p></main>", "One\nTwo"),
+        ("<html><head><title>T</title></head><body><article><p>A</p></article></body></html>", "A"),
+        ("<article><p>A</p><button>Menu<p>B</p><p>C</p></article>", "A\nB\nC"),
+        ("<article><p>A</p><button>Menu<p>B</p><button>Share</button><p>C</p></article>", "A\nB\nC"),
+        ("<article><p>A</p><button><div>Icon</div></button><p>B</p></article>", "A\nB"),
+        ("<article><p>A</p><noscript>turn it on<p>B</p></article>", "A\nB"),
+        ("<article><p>A</p><noscript><p>turn it on</p></noscript><p>B</p></article>", "A\nB"),
+        ("<article><p>A</p><select><option>1<option>2<p>B</p></article>", "A\nB"),
+        ("<article><p>A <svg><text>x</text><p>B</p></article>", "A\nB"),
+        ("<article><p>A</p><script>if (a < b) { <p>never</p>", "A"),
+    ],
+)
+def test_left_out_end_tags_lose_no_text(page, text):
+    assert "\n".join(t for t, kind in pages._blocks(page) if kind == 2) == text
