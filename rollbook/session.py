@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -65,10 +64,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_old_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of rounds that are over. It does so for plans the driver no longer holds, which it learns from a
-    garbage collection; left alone, the next one may come after half an hour, and a loop's files pile up until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
