@@ -83,9 +83,10 @@ def _refused(rows: DataFrame, span: int, user_limit: int, ip_limit: int) -> Data
 
     Only attempts in busy cells can be refused. Cells are tied by the attempts they share and by following each other; each
     tied group is one sequence in time order, whose state is the failures of the last minutes."""
-    users, ips = (cut_lineage(_busy_cells(rows, k, n)) for k, n in (("user_id", user_limit), ("ip_id", ip_limit)))
-    if users.isEmpty() and ips.isEmpty():
+    users, ips = (_busy_cells(rows, k, n) for k, n in (("user_id", user_limit), ("ip_id", ip_limit)))
+    if users.select("cell").unionByName(ips.select("cell")).isEmpty():
         return None
+    users, ips = cut_lineage(users), cut_lineage(ips)
     met = rows.join(users.withColumnRenamed("cell", "_u"), ["user_id", "_cut"], "left").join(ips.withColumnRenamed("cell", "_i"), ["ip_id", "_cut"], "left")
     met = cut_lineage(met.filter("_u IS NOT NULL OR _i IS NOT NULL").withColumn("_cell", F.coalesce("_u", "_i")))
     chains = [c.join(c.select(k, (F.col("_cut") + 1).alias("_cut"), F.col("cell").alias("_before")), [k, "_cut"], "left").select(F.col("cell").alias("a"), F.coalesce("_before", "cell").alias("b")) for c, k in ((users, "user_id"), (ips, "ip_id"))]
