@@ -56,7 +56,8 @@ def parse_clock(raw: Column) -> Column:
             F.lower(F.replace(F.regexp_extract(t, PRINTED_CLOCK, 3), F.lit("."), F.lit(""))).alias("half"),
         )
 
-    return let(parts(F.trim(raw)), from_parts)
+    # a text that is no time never reaches the casts, which raise and catch an error for an empty text
+    return let(F.trim(raw), lambda t: let(F.when(t.rlike(PRINTED_CLOCK), parts(t)), from_parts))
 
 
 def clock12(m: Column) -> Column:

@@ -88,13 +88,16 @@ def is_break_label(raw: Column) -> Column:
     return raw.rlike(BREAK_PATTERN)
 
 
+def _digits(s: Column, pattern: str) -> Column:
+    """The number in the first group, null without a match: an empty text is not cast, which would raise and catch an error."""
+    return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 1).try_cast("int"))
+
+
 def period_number(raw: Column) -> Column:
     words = {**{w: i + 1 for i, w in enumerate(NUMBER_WORDS)}, **{r: i + 1 for i, r in enumerate(ROMAN[:10])}}
 
     def read(s: Column) -> Column:
-        plain = F.regexp_extract(s, r"^(\d{1,2})\s*(ST|ND|RD|TH)?$", 1).try_cast("int")
-        named = F.regexp_extract(s, r"^(?:PERIOD|PER|P)\s*[-:]?\s*(\d{1,2})$", 1).try_cast("int")
-        return F.coalesce(plain, named, lookup(s, words))
+        return F.coalesce(_digits(s, r"^(\d{1,2})\s*(ST|ND|RD|TH)?$"), _digits(s, r"^(?:PERIOD|PER|P)\s*[-:]?\s*(\d{1,2})$"), lookup(s, words))
 
     return let(F.replace(F.upper(F.trim(raw)), F.lit("."), F.lit("")), read)
 
@@ -122,14 +125,19 @@ def _checked_date(y: Column, m: Column, d: Column) -> Column:
 def date_in_text(raw: Column, default_year: int | None = None) -> Column:
     """First calendar date: d/m/y (two-digit years are 20yy) or "12 March 2026"; null when it does not exist."""
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(raw, pattern, i)
+    def parts(pattern: str, year: int, month: int, day: int) -> Column:
+        """The three groups, taken once; null without a match."""
+        groups = F.struct(*[F.regexp_extract(raw, pattern, i).alias(n) for n, i in (("y", year), ("m", month), ("d", day))])
+        return F.when(raw.rlike(pattern), groups)
+
+    def numeric(p: Column) -> Column:
+        return let(p["y"].try_cast("int"), lambda y: _checked_date(F.when(y < 100, y + 2000).otherwise(y), p["m"].try_cast("int"), p["d"].try_cast("int")))
+
+    def worded(p: Column) -> Column:
+        year = F.when(p["y"] != "", p["y"].try_cast("int")).otherwise(F.lit(default_year).cast("int"))
+        return _checked_date(year, lookup(F.lower(p["m"]), MONTHS), p["d"].try_cast("int"))
 
-    y = part(NUMERIC_DATE, 3).try_cast("int")
-    numeric = _checked_date(F.when(y < 100, y + 2000).otherwise(y), part(NUMERIC_DATE, 2).try_cast("int"), part(NUMERIC_DATE, 1).try_cast("int"))
-    year = F.coalesce(part(WORD_DATE, 3).try_cast("int"), F.lit(default_year).cast("int"))
-    worded = _checked_date(year, lookup(F.lower(part(WORD_DATE, 2)), MONTHS), part(WORD_DATE, 1).try_cast("int"))
-    return F.when(raw.rlike(NUMERIC_DATE), numeric).otherwise(worded)
+    return F.when(raw.rlike(NUMERIC_DATE), let(parts(NUMERIC_DATE, 3, 2, 1), numeric)).otherwise(let(parts(WORD_DATE, 3, 2, 1), worded))
 
 
 def session_in_text(raw: Column) -> Column:

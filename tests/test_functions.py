@@ -106,3 +106,9 @@ def test_cells(spark, lines, subject, teacher):
 def test_usernames(spark):
     table = {"Mr. R.K. Bose": "rk.bose", "Mrs. Philomena Shaw": "philomena.shaw", "": "teacher"}
     assert values(spark, table, people.username_base) == list(table.values())
+
+
+def test_a_date_is_matched_once(spark):
+    df = spark.createDataFrame([("on 3/4/26",), ("12 March 2026",), ("12 March",), ("31/4/2026",), ("none",), (None,)], "s string").select(X.date_in_text(F.col("s")).cast("string").alias("d"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 6
+    assert [r["d"] for r in df.collect()] == ["2026-04-03", "2026-03-12", None, None, None, None]
