@@ -92,3 +92,9 @@ def test_remedial_matrix(spark):
     out = L.remedial_matrix(L.cell_texts(words, L.grid_cells(h, v))).collect()
     got = sorted((r["class_name"], r["section"], r["day"], r["start_time"], r["end_time"], r["activity"], r["teacher_name"]) for r in out)
     assert got == [("VI", "", "MONDAY", "16:00", "17:00", "Maths", "TGT-MATH"), ("VI", "", "TUESDAY", "16:00", "16:30", "Art", ""), ("VII", "A", "MONDAY", "16:00", "16:30", "Hindi", "")]
+
+
+def test_draft_text_is_parsed_once(spark):
+    rows = spark.range(3).select(F.lit('{"kind":"POEM"}').alias("head"), F.col("id").cast("string").alias("n")).select(F.concat("head", "n").alias("data"), "n")
+    for df in D.parse_drafts(rows):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
