@@ -525,13 +525,15 @@ def described_duties(cells: DataFrame, keys: Sequence[str], heading: DataFrame |
 
 
 def _duty_tables(cells: DataFrame, keys: Sequence[str], heading: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    t = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
+    cells = cut_lineage(cells)  # the heads and the bodies are read from it
+    t = F.col("_low")
     off = t.rlike(r"weekly\s*off")
     role = {
         "off": off, "date": t.rlike(r"^date\b|\bdate$") & ~off, "name": t.rlike(r"m\.?\s?o\.?\s?d\b|master on duty|\bname\b|teacher"),
         "designation": t.rlike("designation|post|code"), "house": t.rlike("house"), "classes": t.rlike("class"),
     }
-    top = cells.filter("row_no < 3").groupBy(*keys, "row_no").agg(
+    lowered = with_value(cells.filter("row_no < 3"), "_low", F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "))
+    top = lowered.groupBy(*keys, "row_no").agg(
         *[F.min(F.when(c, F.col("col_no"))).alias(n) for n, c in role.items()],
         F.max(t.rlike(r"m\.?\s?o\.?\s?d\b|master on duty")).alias("mod"), F.max(t.rlike("allotted house")).alias("allotted"),
     )

@@ -11,6 +11,7 @@ from rollbook.functions import text as X
 from rollbook.functions.cells import split_cell
 from rollbook.functions.clock import class_label, day_label, is_clock, range12, to_minutes
 from rollbook.functions.people import clean_code, code_prefix, code_stem, classify, person_key
+from rollbook.keyed import with_value
 from rollbook.session import written
 
 BY = ("school_id",)
@@ -125,9 +126,14 @@ def decode_entities(c: Column) -> Column:
 
 def html_text_lines(c: Column) -> Column:
     """Array of the non-empty text lines of an HTML fragment."""
-    s = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|h\d)>", "\n")
-    s = decode_entities(F.regexp_replace(s, r"<[^>]+>", ""))
-    lines = F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+    def plain(s: Column) -> Column:
+        """Text without markup and references, which most cells are."""
+        marked = F.regexp_replace(F.regexp_replace(s, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|h\d)>", "\n")
+        untagged = X.let(F.regexp_replace(marked, r"<[^>]+>", ""), lambda u: F.when(F.contains(u, F.lit("&")), decode_entities(u)).otherwise(u))
+        return F.when(F.contains(s, F.lit("<")), untagged).when(F.contains(s, F.lit("&")), decode_entities(s)).otherwise(s)
+
+    lines = F.transform(F.split(X.let(c, plain), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.filter(lines, lambda x: x != "")
 
 
@@ -156,16 +162,23 @@ SPREAD = 4096
 def _html_cells(pages: DataFrame, key: str) -> DataFrame:
     """(page, table, row, cell, text, down, across, first slot, rows of the table): a slot is a column that the row's own cells take,
     counted without what covers the row from above."""
-    tables = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(TABLES), F.lit(1))).alias("table_no", "table"))
-    trs = tables.select(key, "table_no", F.regexp_extract_all("table", F.lit(r"(?is)(<tr.*?</tr>)"), F.lit(1)).alias("trs"))
+    # a table file of short pages is one task to read but much work to parse; the windows below find the rows of a page together
+    dealt = pages.select(key, "html").repartition(key)
+    tables = dealt.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(TABLES), F.lit(1))).alias("table_no", "table"))
+    trs = with_value(tables.select(key, "table_no", "table"), "trs", F.regexp_extract_all("table", F.lit(r"(?is)(<tr.*?</tr>)"), F.lit(1)))
     rows = trs.select(key, "table_no", F.size("trs").alias("rows"), F.posexplode("trs").alias("row_no", "tr"))
     cells = rows.select(key, "table_no", "rows", "row_no", F.posexplode(F.regexp_extract_all("tr", F.lit(r"(?is)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1))).alias("cell_no", "cell"))
-    attrs = F.regexp_extract("cell", r"(?is)^<t[dh]([^>]*)>", 1)
+    # a cell is <td, attributes, >, body, </td>: its first > ends the opening tag, and the closing one has five characters
+    opened = F.instr("cell", ">")
+    cells = with_value(cells, "attrs", F.substring("cell", F.lit(4), opened - 4))
 
     def span(name: str) -> Column:
-        return F.greatest(F.coalesce(F.regexp_extract(attrs, rf'(?i){name}="?(\d+)', 1).try_cast("bigint"), F.lit(1)), F.lit(1))
+        # with a 0 before it, a missing number is 0: casting an empty text raises and catches an error for every cell
+        said = F.concat(F.lit("0"), F.regexp_extract("attrs", rf'(?i){name}="?(\d+)', 1)).try_cast("bigint")
+        said = F.greatest(F.coalesce(said, F.lit(1)), F.lit(1))
+        return F.when(F.col("attrs") == "", F.lit(1).cast("bigint")).otherwise(said)
 
-    body = F.regexp_extract("cell", r"(?is)^<t[dh][^>]*>(.*)</t[dh]>$", 1)
+    body = F.substring("cell", opened + 1, F.length("cell") - opened - 5)
     told = cells.select(
         key, "table_no", "row_no", "cell_no", F.array_join(html_text_lines(body), " ").alias("text"), F.least(span("rowspan"), F.col("rows") - F.col("row_no")).alias("down"), span("colspan").alias("across")
     )

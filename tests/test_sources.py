@@ -98,3 +98,10 @@ def test_draft_text_is_parsed_once(spark):
     rows = spark.range(3).select(F.lit('{"kind":"POEM"}').alias("head"), F.col("id").cast("string").alias("n")).select(F.concat("head", "n").alias("data"), "n")
     for df in D.parse_drafts(rows):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_pages_are_dealt_before_their_tables_are_parsed(spark):
+    pages = spark.createDataFrame([(1, '<table><tr><td ROWSPAN="2" class=a>x &lt; <b>y</b></td><td>1</td></tr><tr><th colspan=2></th></tr></table>')], "page_id long, html string")
+    cells = T._html_cells(pages.coalesce(1), "page_id")
+    assert "RepartitionByExpression [page_id" in cells._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["text"], r["down"], r["across"], r["slot"]) for r in cells.orderBy("row_no", "cell_no").collect()] == [("x < y", 2, 1, 0), ("1", 1, 1, 1), ("", 1, 2, 0)]
