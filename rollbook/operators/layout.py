@@ -106,9 +106,10 @@ def median_spacing(points: DataFrame, at: str, page: Sequence[str] = PAGE) -> Da
 def nearest_centre(points: DataFrame, centres: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """Each point's nearest column (first on ties) and how clear the choice is (nearest / second distance).
 
-    The columns of a page travel as one small array, so points are joined once and not multiplied."""
+    The columns of a page travel as one small array, so points are joined once and not multiplied. Distances count to nine digits, as
+    the last ones are rounding noise that would decide ties."""
     cols = centres.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("col_no", "xc"))).alias("_cols"))
-    away = F.transform("_cols", lambda c: F.struct(F.abs(c["xc"] - F.col("_x")).alias("d"), c["col_no"].alias("col_no")))
+    away = F.transform("_cols", lambda c: F.struct(F.round(F.abs(c["xc"] - F.col("_x")), 9).alias("d"), c["col_no"].alias("col_no")))
     out = points.join(cols, list(page)).withColumn("_x", _xc()).withColumn("_d", F.array_sort(away))
     first, second = F.col("_d")[0], F.get("_d", F.lit(1))
     ratio = F.when(second["d"] > 0, first["d"] / second["d"])

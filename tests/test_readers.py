@@ -160,3 +160,10 @@ def test_draft_limits(spark):
     good, bad = D.parse_drafts(spark.createDataFrame(rows, "doc_id long, data string"))
     assert {r["doc_id"]: r["problem"] for r in bad.collect()} == {1: "period", 3: "club", 4: "head", 5: "too many in periods", 6: "weekly off"}
     assert [r["doc_id"] for r in good.collect()] == [2]
+
+
+def test_equal_distances_go_to_the_first_column(spark):
+    """0.3 on both sides of 1.1, but for the noise of the last digits."""
+    points = spark.createDataFrame([(1, 1, 1.1, 1.1)], "page_id long, seq long, x0 double, x1 double")
+    centres = spark.createDataFrame([(1, 0, 0.8), (1, 1, 1.4)], "page_id long, col_no int, xc double")
+    assert L.nearest_centre(points, centres).first()["col_no"] == 0
