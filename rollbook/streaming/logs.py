@@ -24,7 +24,7 @@ def _failures_before(events: DataFrame, key: str, clears: bool, minutes: int, na
     """Recorded failures of the key in the minutes before each event; a success that was let in starts the count anew when
     `clears`.
 
-    Events are cut into windows' lengths and each also visits the next cut, so a frame never needs more than two
+    Events are cut into windows' lengths and each also visits the next cut, so a count never needs more than two
     cuts of one key and a very busy key is still many tasks."""
     span = minutes * 60_000_000
     rows = events.select("event_id", key, "_hit", "_clear", "_at").withColumn("_cut", F.floor(F.col("_at") / span))
@@ -34,11 +34,13 @@ def _failures_before(events: DataFrame, key: str, clears: bool, minutes: int, na
         before = Window.partitionBy(*part).orderBy("_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("_run", F.coalesce(F.sum(F.col("_clear").cast("int")).over(before), F.lit(0)))
         part.append("_run")
-    # all failures up to this instant, less those of the instant that do not stand before the event
-    frame = Window.partitionBy(*part).orderBy("_at").rangeBetween(-span + 1, 0)
-    later = Window.partitionBy(*part, "_at").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn(name, F.count_if("_hit").over(frame) - F.count_if("_hit").over(later))
-    return counted.filter("_visit = 0").select("event_id", name)
+    # a failure adds one at its time and, in the next cut, takes it back when it is too old, before the events of that instant: one
+    # running sum, where a frame of the minutes before would be counted anew for every event
+    step = F.struct(F.col("_at").alias("_t"), F.lit(1).alias("_turn"), F.col("_hit").cast("int").alias("_n"))
+    gone = F.struct((F.col("_at") + span).alias("_t"), F.lit(0).alias("_turn"), F.lit(-1).alias("_n"))
+    steps = rows.filter("_visit = 0 OR _hit").select("event_id", *part, "_visit", F.explode(F.when(F.col("_visit") == 1, F.array(step, gone)).otherwise(F.array(step))).alias("_s")).select("event_id", *part, "_visit", "_s.*")
+    ahead = Window.partitionBy(*part).orderBy("_t", "_turn", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn(name, F.coalesce(F.sum("_n").over(ahead), F.lit(0).cast("long"))).filter("_visit = 0").select("event_id", name)
 
 
 def _busy_cells(rows: DataFrame, key: str, limit: int) -> DataFrame:

@@ -196,3 +196,10 @@ def test_segments_fill_the_day(spark):
     got = sorted((r["from_min"], r["to_min"], r["status"], r["label"]) for r in S.day_segments(blocks).collect())
     assert got[0][0] == 0 and got[-1][1] == 1440 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
     assert (490, 500, "in-class", "A") in got and got[-1][2] == "day-done"
+
+
+def test_no_frame_is_counted_anew_for_every_attempt(spark):
+    rows = spark.range(3).selectExpr("id AS event_id", "id AS user_id", "id AS ip_id", "true AS _hit", "false AS _clear", "id AS _at")
+    for clears in (True, False):
+        plan = S._failures_before(rows, "user_id", clears, 15, "n")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame" not in plan and "unboundedpreceding$()" in plan
