@@ -67,3 +67,16 @@ def test_no_nested_loops(spark):
     for name in ("teacher_clash", "remedial_clash", "fuzzy_resolve", "version_diff", "roster_candidates"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_names_are_resolved_once_for_all_rules(monkeypatch):
+    """Other resolutions of the same names would keep Spark from sharing the shuffles behind them."""
+    from unittest.mock import MagicMock
+
+    from rollbook.plans import quality as P
+
+    asked = []
+    monkeypatch.setattr(P, "Q", MagicMock())
+    monkeypatch.setattr(P, "_resolved", lambda t: asked.append(t) or "names")
+    P.issue_totals(MagicMock())
+    assert len(asked) == 1
