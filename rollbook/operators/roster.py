@@ -147,34 +147,86 @@ def remedial_candidates(teaches: DataFrame, slots: DataFrame, lessons: DataFrame
     return first_rows(rows, [*by, "class_name", "section"], *score).select(*key, "class_name", "section", "subject", "tier", "day_idx", "start_min", "end_min")
 
 
-def _remedial_options(teaches: DataFrame, pool: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(options, subjects): the teachers and slots every class-section could have, whatever else is planned, and what each of the
-    teachers teaches there."""
+def _remedial_options(
+    teaches: DataFrame, sections: DataFrame, seat: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, by: Sequence[str]
+) -> DataFrame:
+    """(cs, teacher_id, tier, _seat, _most, slots, subjects): the teachers every class-section could have, whatever else is planned, with
+    the slots they are free in and the subjects they teach there (who teaches the section counts as that)."""
     key, cs = [*by, "teacher_id"], [*by, "class_name", "section"]
-    fine = teaches.filter("section <> '*'").withColumn("tier", F.lit(0))
-    sections = fine.select(*cs).distinct()
-    wide = teaches.filter("section = '*'").drop("section").join(sections, [*by, "class_name"]).withColumn("tier", F.lit(1))
-    both = fine.select(*cs, "teacher_id", "tier", "subject", "lessons").unionByName(wide.select(*cs, "teacher_id", "tier", "subject", "lessons"))
-    nearest = both.groupBy(*cs, "teacher_id").agg(F.min("tier").alias("tier"))  # who teaches the section counts as that
-    subjects = both.join(nearest, [*cs, "teacher_id", "tier"])
-
     times = slots.filter(F.col("start_min") < F.col("end_min")).select(*by, "day_idx", "start_min", "end_min").distinct()
     # free (teacher, slot) pairs first: there are far fewer of them than (section, teacher, slot)
-    people = pool.select(*key).join(subjects.select(*key).distinct(), key).join(times, list(by))
+    people = seat.join(teaches.select(*key).distinct(), key, "left_semi").join(times, list(by))
     people = people.join(offs.select(*key, "day_idx").distinct(), [*key, "day_idx"], "left_anti")
     r = restrictions.filter((F.col("duties").isNull() | F.array_contains("duties", "REMEDIAL")) & F.col("dates").isNull())
     r = r.select(*[F.col(c).alias(f"_r_{c}") for c in key], "days")
     away = [F.col(c) == F.col(f"_r_{c}") for c in key] + [F.col("days").isNull() | F.array_contains("days", F.col("day_idx"))]
-    busy = lessons.filter(~F.col("is_break") & F.col("teacher_id").isNotNull())
+    busy = lessons.filter(~F.col("is_break") & F.col("teacher_id").isNotNull()).join(seat.select(*key), key, "left_semi")
     busy = busy.select(*[F.col(c).alias(f"_b_{c}") for c in (*key, "day_idx")], F.col("start_min").alias("_s"), F.col("end_min").alias("_e")).distinct()
     clash = [F.col(c) == F.col(f"_b_{c}") for c in (*key, "day_idx")] + [F.col("start_min") < F.col("_e"), F.col("_s") < F.col("end_min")]
     people = people.join(r, away, "left_anti").join(busy, clash, "left_anti")
-    return nearest.join(people, key), subjects.select(*cs, "teacher_id", "subject", "lessons")
+    people = people.groupBy(*key, "_seat", "_most").agg(F.collect_list(F.struct("day_idx", "start_min", "end_min")).alias("slots"))  # the free slots of a week
 
+    fine = teaches.filter("section <> '*'").withColumn("tier", F.lit(0))
+    wide = teaches.filter("section = '*'").drop("section").join(sections, [*by, "class_name"]).withColumn("tier", F.lit(1))
+    both = fine.select(*cs, "teacher_id", "tier", "subject", "lessons").unionByName(wide.select(*cs, "teacher_id", "tier", "subject", "lessons"))
+    told = both.groupBy(*cs, "teacher_id").agg(F.min("tier").alias("tier"), F.collect_list(F.struct("tier", "subject", "lessons")).alias("_all"))  # the subjects of one teacher
+    nearest = F.transform(F.filter("_all", lambda x: x["tier"] == F.col("tier")), lambda x: F.struct(x["subject"].alias("subject"), x["lessons"].alias("lessons")))
+    return told.select(*cs, "teacher_id", "tier", nearest.alias("subjects")).join(people, key)
 
-def plan_remedial(
-    teaches: DataFrame, pool: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, per_week: int, most_per_week: int, by: Sequence[str] = BY
+
+def _contenders(
+    teaches: DataFrame, pool: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, per_week: int, by: Sequence[str], reach: int
 ) -> DataFrame:
+    """The `_remedial_options` that could ever be chosen.
+
+    A plan gives a school's teachers `per_week` classes for each of its k sections, so at any time fewer than per_week * k of them
+    have one. Of the teachers free in a slot who hold a subject of a section, the first per_week * k by tier and place in the name
+    list therefore always include one without any class, who is no worse than a teacher behind them all: the others never win.
+    The list is read up to `reach` times that number first; the rest of it only for sections and subjects that found too few there."""
+    key, cs, slot = [*by, "teacher_id"], [*by, "class_name", "section"], ["day_idx", "start_min", "end_min"]
+    teaches = written(teaches)  # read several times below
+    taught = teaches.filter("section <> '*'")
+    sections = written(taught.select(*cs).distinct())
+    most = sections.groupBy(*by).agg((F.count(F.lit(1)) * per_week).alias("_most"))
+    top = most.agg(F.max("_most")).first()[0] or 0
+    seat = written(numbered(pool.select(*key, "name"), by, ["name", "teacher_id"], "_seat").select(*key, "_seat").join(most, list(by)))
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def held(people: DataFrame, only: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The options of some people, and a row for each section, subject and slot of theirs."""
+        mine = teaches.join(people.select(*key), key, "left_semi")
+        if only is not None:
+            mine = mine.join(only.select(*by, "class_name").distinct(), [*by, "class_name"], "left_semi")
+        rows = written(_remedial_options(mine, sections, people, slots, lessons, offs, restrictions, by))
+        # a few rows that become many: dealt out by number before they do
+        each = rows.repartition(tasks, *cs).select(*cs, "teacher_id", "tier", "_seat", "_most", "slots", F.explode("subjects.subject").alias("subject"))
+        if only is not None:
+            each = each.join(only, [*cs, "subject"], "left_semi")
+        return rows, each.select("*", F.inline("slots")).drop("slots")
+
+    group = [*cs, "subject", *slot]
+    rows, each = held(seat.filter(F.col("_seat") <= F.col("_most") * reach), None)
+    # sections and subjects for which enough teachers of the section itself were found in every slot of the school
+    enough = each.groupBy(*group).agg(F.count_if(F.col("tier") == 0).alias("_n"), F.first("_most").alias("_most")).filter(F.col("_n") >= F.col("_most"))
+    enough = enough.groupBy(*cs, "subject").agg(F.count(F.lit(1)).alias("_full"))
+    times = slots.filter(F.col("start_min") < F.col("end_min")).select(*by, *slot).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_times"))
+    behind = seat.filter(F.col("_seat") > F.col("_most") * reach)
+    open_ = taught.select(*by, "class_name", "subject").distinct().join(behind.select(*by).distinct(), list(by), "left_semi").join(sections, [*by, "class_name"])
+    open_ = open_.join(enough, [*cs, "subject"], "left").join(times, list(by)).filter(F.coalesce("_full", F.lit(0)) < F.col("_times"))
+    open_ = written(open_.select(*cs, "subject"))
+    if not open_.isEmpty():
+        more, each_more = held(behind, open_)
+        rows, each = rows.unionByName(more), each.unionByName(each_more)
+
+    ranked = first_rows(each, group, F.col("tier"), F.col("_seat"), k=top)
+    kept = ranked.groupBy(*cs, "teacher_id").agg(F.collect_set(F.struct(*slot)).alias("slots"))
+    return rows.drop("slots").join(kept, [*cs, "teacher_id"])
+
+
+def plan_remedial(
+    teaches: DataFrame, pool: DataFrame, slots: DataFrame, lessons: DataFrame, offs: DataFrame, restrictions: DataFrame, per_week: int, most_per_week: int, by: Sequence[str] = BY,
+    reach: int = 64,
+) -> DataFrame:
     """P5: `per_week` extra classes of every class-section, each with a teacher and a slot: (by, class_name, section, session,
     teacher_id, subject, tier, day_idx, start_min, end_min).
 
@@ -184,28 +236,26 @@ def plan_remedial(
 
     Sessions are dealt one after another, each in rounds: every section still without one asks for its best option; a teacher's
     day goes to the first that asks (by class and section), a teacher's week to as many as there is room for; the others ask
-    again for what is left. A section without an option is left out of that session."""
+    again for what is left. A section without an option is left out of that session. What a section can ask for is cut to
+    `_contenders` first, so that a round does not grow with the school's staff; `reach` changes the work, not the plan."""
     key, cs, slot = [*by, "teacher_id"], [*by, "class_name", "section"], ["day_idx", "start_min", "end_min"]
-    options, subjects = (written(x) for x in _remedial_options(teaches, pool, slots, lessons, offs, restrictions, by))
-    seat = numbered(pool.select(*key, "name"), by, ["name", "teacher_id"], "_seat").select(*key, "_seat")
-    options = written(options.join(seat, key))
+    options = written(_contenders(teaches, pool, slots, lessons, offs, restrictions, per_week, by, reach).select(*cs, "teacher_id", "tier", "_seat", "slots", "subjects"))
     turn = F.struct(class_rank(F.col("class_name")), F.col("section"), F.col("class_name"))
-    done = written(
-        options.filter("false").join(subjects, [*cs, "teacher_id"]).select(*cs, F.lit(0).alias("session"), "teacher_id", "subject", "tier", *slot)
-    )
+    done = written(options.filter("false").select(*cs, F.lit(0).alias("session"), "teacher_id", F.lit("").alias("subject"), "tier", F.explode("slots").alias("_s")).select(*cs, "session", "teacher_id", "subject", "tier", "_s.*"))
     for session in range(1, per_week + 1):
         while True:
-            waiting = options.join(done.filter(F.col("session") == session).select(*cs), cs, "left_anti")
-            given = done.groupBy(*key).agg(F.count(F.lit(1)).alias("_given"))
-            taken = done.select(*[F.col(c).alias(f"_t_{c}") for c in (*cs, "day_idx")], F.col("start_min").alias("_s"), F.col("end_min").alias("_e"))
-            meets = [F.col(c) == F.col(f"_t_{c}") for c in (*cs, "day_idx")] + [F.col("start_min") < F.col("_e"), F.col("_s") < F.col("end_min")]
-            rows = waiting.join(done.select(*key, "day_idx").distinct(), [*key, "day_idx"], "left_anti").join(taken, meets, "left_anti")
-            rows = rows.join(given, key, "left").withColumn("_given", F.coalesce("_given", F.lit(0))).filter(F.col("_given") < most_per_week)
-            had = done.groupBy(*cs, "subject").agg(F.count(F.lit(1)).alias("_had"))
-            same_day = done.select(*cs, "day_idx").distinct().withColumn("_same", F.lit(1))
-            told = first_rows(subjects.join(had, [*cs, "subject"], "left").withColumn("_had", F.coalesce("_had", F.lit(0))), [*cs, "teacher_id"], F.col("_had"), F.desc("lessons"), F.col("subject"))
-            rows = rows.join(told.select(*cs, "teacher_id", "subject", "_had"), [*cs, "teacher_id"]).join(same_day, [*cs, "day_idx"], "left")
-            points = F.col("tier") * 1000 + F.col("_given") * 40 + F.col("_had") * 25 + F.coalesce("_same", F.lit(0)) * 40
+            # of a section at most per_week classes, of a teacher at most most_per_week
+            own = done.groupBy(*cs).agg(F.collect_list(F.struct("session", "subject", *slot)).alias("_own"))
+            given = done.groupBy(*key).agg(F.collect_list("day_idx").alias("_days"))
+            rows = options.join(F.broadcast(own), cs, "left").join(F.broadcast(given), key, "left")
+            rows = rows.withColumn("_own", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType))).withColumn("_days", F.coalesce("_days", F.array().cast("array<int>")))
+            rows = rows.filter(~F.exists("_own", lambda d: d["session"] == session) & (F.size("_days") < most_per_week))
+            free = F.filter("slots", lambda s: ~F.array_contains("_days", s["day_idx"]) & ~F.exists("_own", lambda d: _meets(s, d)))
+            again = F.transform(free, lambda s: F.struct(F.when(F.exists("_own", lambda d: d["day_idx"] == s["day_idx"]), 40).otherwise(0).alias("same"), *[s[c].alias(c) for c in slot]))
+            had = F.transform("subjects", lambda x: F.struct(F.size(F.filter("_own", lambda d: d["subject"] == x["subject"])).alias("had"), (-x["lessons"]).alias("less"), x["subject"].alias("subject")))
+            rows = rows.withColumn("_at", F.array_min(again)).withColumn("_told", F.array_min(had)).filter("_at IS NOT NULL")
+            rows = rows.select(*cs, "teacher_id", "tier", "_seat", F.size("_days").alias("_given"), "_told.had", "_told.subject", "_at.*")
+            points = F.col("tier") * 1000 + F.col("_given") * 40 + F.col("had") * 25 + F.col("same")
             asked = first_rows(rows.withColumn("_points", points), cs, F.col("_points"), F.col("_seat"), *[F.col(c) for c in slot])
             asked = first_rows(asked.withColumn("_turn", turn), [*key, "day_idx"], F.col("_turn"))
             room = F.row_number().over(Window.partitionBy(*key).orderBy("_turn"))  # a row per weekday at most
@@ -217,6 +267,10 @@ def plan_remedial(
     return done
 
 
+def _meets(a: Column, b: Column) -> Column:
+    return (a["day_idx"] == b["day_idx"]) & (a["start_min"] < b["end_min"]) & (b["start_min"] < a["end_min"])
+
+
 def restrictions_from_rules(rules: DataFrame, pool: DataFrame, by: Sequence[str] = BY) -> dict[str, DataFrame]:
     """Rule rows (by, place in the name list, type, dates, days, duties) to restrictions and preferred offs; rules
     that name nobody or hold nothing usable are counted as skipped."""

@@ -88,6 +88,18 @@ def test_two_sections_of_one_teacher_get_different_days(spark):
     assert {(p["section"], p["day_idx"]) for p in plan} == {("A", 0), ("B", 1)}
 
 
+def test_remedial_options_do_not_grow_with_the_staff(spark):
+    kept = {}
+    for teachers, reach in ((40, 1000), (400, 1000), (400, 1)):  # with 1 the rest of the list is read in a second go
+        names, _, lessons, slots, offs, limits = school(3, 3, teachers)
+        teaches = {(cn, s, t, ("Art", "Maths", "Hindi")[t % 3]): 1 + t % 3 for cn in ("VI", "VII") for s in "A*" for t in range(teachers)}
+        data = frames(spark, (names, teaches, lessons, slots, offs, limits))
+        rows = P._contenders(**data, per_week=2, by=P.BY, reach=reach).collect()
+        kept[teachers, reach] = sorted((r["class_name"], r["section"], r["teacher_id"], r["tier"], sorted(r["slots"])) for r in rows)
+    assert kept[400, 1] == kept[400, 1000]
+    assert len(kept[400, 1]) < 1.5 * len(kept[40, 1000])  # all 400 stood for every section before
+
+
 ROWS = "school_id int, teacher_id long, name string, code string, designation string, aliases array<string>, refs long, hard_refs long, has_user boolean"
 
 
