@@ -157,10 +157,40 @@ def _keyed(kind: str):
     return lambda t: F.struct(F.xxhash64(F.lit(kind), t).alias("k"), F.hash(F.lit(kind), t).alias("h"))
 
 
+def _pieces_asked(s: Column, radius: Column) -> Column:
+    """radius + 1 pieces of an asked string, hashed with radius, length and number: edits within the radius leave one of them whole."""
+    def piece(i: Column) -> Column:
+        start, end = _cut(F.length(s), i, radius), _cut(F.length(s), i + 1, radius)
+        return F.xxhash64(radius, F.length(s), i, F.substr(s, start + 1, end - start))
+
+    return F.transform(F.sequence(F.lit(0), radius), piece)
+
+
+def _pieces_near(s: Column, radius: Column) -> Column:
+    """The pieces of every string within `radius` edits that s could hold whole: at the same place or up to `radius` letters off."""
+    around = F.sequence(-radius, radius)
+
+    def pieces(long: Column) -> Column:
+        def piece(i: Column) -> Column:
+            start, end = _cut(long, i, radius), _cut(long, i + 1, radius)
+            at = F.filter(F.transform(around, lambda d: start + d), lambda a: (a >= 0) & (a + end - start <= F.length(s)))
+            return F.transform(at, lambda a: F.xxhash64(radius, long, i, F.substr(s, a + 1, end - start)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), radius), piece))
+
+    return F.array_distinct(F.flatten(F.transform(F.transform(around, lambda d: F.length(s) + d), pieces)))
+
+
+def _cut(long: Column, i: Column, radius: Column) -> Column:
+    """Where the i-th of radius + 1 pieces of a string of some length begins."""
+    return F.floor(long * i / (radius + 1)).cast("int")
+
+
 def fuzzy_resolve(names: DataFrame, people: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """J11 (opt-in): names with a key of 6+ letters to the only person within one edit (two from 12 letters on).
 
-    Every key is reduced to its first and last owner before names meet it: however many people have nearly the same name, an asked
+    People's words that hold no piece of an asked name in place are left out before edit keys are made, which are some 700 for a word
+    of 18 letters. Every key is reduced to its first and last owner before names meet it: however many people have nearly the same name, an asked
     name meets each of its keys once and needs no further comparison."""
     asked = with_value(names.select(*by, "raw"), "q", match_key(F.col("raw"))).filter(F.length("q") >= 6)
     q = asked.select(*by, "q", F.when(F.length("q") >= 12, 2).otherwise(1).alias("radius")).distinct()
@@ -173,7 +203,11 @@ def fuzzy_resolve(names: DataFrame, people: DataFrame, by: Sequence[str] = BY) -
         return df.withColumn("_v", F.explode(near))
 
     radii = F.when(F.length("d") >= 10, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    right = spread(owners.withColumn("radius", F.explode(radii)), "d", False).groupBy(*by, "radius", "_v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    owners = owners.withColumn("radius", F.explode(radii))
+    pieces = q.select(*by, F.explode(_pieces_asked(F.col("q"), F.col("radius"))).alias("_p")).distinct()
+    owned = owners.select(*by, "d", "radius", F.explode(_pieces_near(F.col("d"), F.col("radius"))).alias("_p"))
+    likely = owned.join(pieces, [*by, "_p"], "left_semi").select(*by, "d", "radius").distinct()
+    right = spread(owners.join(likely, [*by, "d", "radius"], "left_semi"), "d", False).groupBy(*by, "radius", "_v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     near = spread(q, "q", True).join(right, [*by, "radius", "_v"])
     only = near.groupBy(*by, "q").agg(F.min("lo").alias("teacher_id"), F.max("hi").alias("_hi")).filter(F.col("teacher_id") == F.col("_hi")).drop("_hi")
     return asked.join(only, [*by, "q"]).select(*by, "raw", "teacher_id")

@@ -90,3 +90,22 @@ def test_dense_names_stop_at_two_owners(spark):
     people = spark.range(1000).selectExpr("1 AS school_id", "id AS teacher_id", "concat('samename', char(97 + id % 26), 'x') AS name", "array(concat('othername', lpad(id, 4, '0'))) AS aliases", "true AS active")
     names = spark.createDataFrame([(1, "samenamezx"), (1, "othername00")], "school_id int, raw string")
     assert identity.fuzzy_resolve(names, people).count() == 0
+
+
+def test_near_words_share_a_piece(spark):
+    """Who shares no piece gets no edit keys: every pair within the radius must share one, a word far from all names none."""
+    r = random.Random(5)
+    rows = []
+    for _ in range(300):
+        radius = r.choice((1, 2))
+        q = "".join(r.choice("abc") for _ in range(r.randrange(12, 19) if radius == 2 else r.randrange(6, 12)))
+        d = list(q)
+        for _ in range(r.randrange(radius + 1)):
+            at = r.randrange(len(d))
+            d[at : at + r.choice((0, 1))] = r.choice(("", "a", "x", "c"))
+        rows.append((radius, q, "".join(d)))
+    near = spark.createDataFrame(rows, "radius int, q string, d string")
+    shared = F.size(F.array_intersect(identity._pieces_asked(F.col("q"), F.col("radius")), identity._pieces_near(F.col("d"), F.col("radius")))) > 0
+    assert near.filter(~shared).count() == 0
+    far = near.withColumn("d", F.lit("customer#000000001"))
+    assert far.filter(shared).count() == 0
