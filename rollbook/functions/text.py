@@ -65,7 +65,7 @@ def normalize_class(raw: Column) -> Column:
         by_number = F.when(v.rlike("^[0-9]{1,2}$"), F.try_element_at(F.array(*[F.lit(r) for r in ROMAN]), number))
         return F.when(v.isin(ROMAN), v).otherwise(F.coalesce(by_number, F.when(v.rlike("^[VXIL1|]+$") & fixed.isin(ROMAN), fixed)))
 
-    return let(s, resolve)
+    return F.when(raw.isin(ROMAN), raw).otherwise(let(s, resolve))
 
 
 def normalize_section(raw: Column) -> Column:

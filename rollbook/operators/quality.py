@@ -18,7 +18,7 @@ from rollbook.functions.text import match_key, normalize_class
 from rollbook.keyed import first_rows, later_rows, with_value
 from rollbook.operators import conflicts as C
 from rollbook.operators.identity import resolve_names
-from rollbook.session import cut_lineage
+from rollbook.session import cut_lineage, written
 
 BY = ("school_id", "draft_id")
 
@@ -34,11 +34,11 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _issues(df: DataFrame, scope: str, checks: Sequence[tuple[str, str, Column]], by: Sequence[str]) -> DataFrame:
-    """One pass over the rows: all failing checks of a row as an array, exploded."""
+def _issues(df: DataFrame, scope: str, checks: Sequence[tuple[str, str, Column]], by: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One pass over the rows: all failing checks of a row as an array, exploded. `keep` names columns of the rows to hand on."""
     hits = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(sev).alias("severity"), F.lit(code).alias("code"))) for sev, code, cond in checks]
-    out = df.select(*by, "seq", F.explode(F.array_compact(F.array(*hits))).alias("i"))
-    return out.select(*by, F.lit(scope).alias("scope"), F.col("seq").cast("bigint").alias("seq"), "i.severity", "i.code")
+    out = df.select(*by, "seq", *keep, F.explode(F.array_compact(F.array(*hits))).alias("i"))
+    return out.select(*by, F.lit(scope).alias("scope"), F.col("seq").cast("bigint").alias("seq"), "i.severity", "i.code", *keep)
 
 
 def _flag(df: DataFrame, scope: str, severity: str, code: str, by: Sequence[str], seq: Column | None = None) -> DataFrame:
@@ -76,11 +76,11 @@ def _who() -> Column:
 # ---------------------------------------------------------------- periods: R1-R7
 
 
-def prepare_periods(periods: DataFrame, resolved: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Periods with normalized class, minutes and person."""
-    out = with_value(periods, "cn", normalize_class(F.col("class_name")))
-    out = out.withColumn("start_min", to_minutes(F.col("start_time"))).withColumn("end_min", to_minutes(F.col("end_time")))
-    return with_person(out, resolved, by)
+def prepare_periods(periods: DataFrame, resolved: DataFrame | None = None, by: Sequence[str] = BY) -> DataFrame:
+    """Periods with normalized class, minutes and, where `resolved` tells it, person."""
+    minutes = [to_minutes(F.col(f"{c}_time")).alias(f"{c}_min") for c in ("start", "end")]
+    out = with_value(periods, "_v", F.struct(normalize_class(F.col("class_name")).alias("cn"), *minutes)).select("*", "_v.*").drop("_v")
+    return out if resolved is None else with_person(out, resolved, by)
 
 
 def _clock_checks() -> list[tuple[str, str, Column]]:
@@ -92,9 +92,10 @@ def _clock_checks() -> list[tuple[str, str, Column]]:
     return [("error", "time", bad("start_time") | bad("end_time")), ("error", "timeOrder", both & (F.col("end_min") <= F.col("start_min")))]
 
 
-def period_rules(prepared: DataFrame, by: Sequence[str] = BY, classes: Sequence[str] = CLASSES, sections: Sequence[str] = SECTIONS) -> DataFrame:
+def period_rules(prepared: DataFrame, by: Sequence[str] = BY, classes: Sequence[str] = CLASSES, sections: Sequence[str] = SECTIONS, keep: Sequence[str] = ()) -> DataFrame:
     """Class, section, periodNumber, subject, teacher, teacherUnknown, teacherIncomplete, time,
-    timeOrder, timeRange, timeMissing. At most one teacher issue per row; timeRange only when the order is right."""
+    timeOrder, timeRange, timeMissing. At most one teacher issue per row; timeRange only when the order is right.
+    `keep` names columns of the rows to hand on."""
     lesson = ~F.col("is_break")
     number = F.col("period_number")
     both = F.col("start_min").isNotNull() & F.col("end_min").isNotNull()
@@ -111,7 +112,7 @@ def period_rules(prepared: DataFrame, by: Sequence[str] = BY, classes: Sequence[
         ("warning", "timeRange", both & (F.col("end_min") > F.col("start_min")) & ((F.col("start_min") < EARLIEST) | (F.col("end_min") > LATEST))),
         ("warning", "timeMissing", lesson & ~both),
     ]
-    return _issues(prepared, "period", checks, by)
+    return _issues(prepared, "period", checks, by, keep)
 
 
 def _class_key() -> Column:
@@ -132,8 +133,9 @@ def gap_issues(prepared: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def clash_issues(prepared: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Class names are compared as printed."""
+    """Class names are compared as printed. The few columns of the lessons are written once, as four sides of joins read them."""
     rows = prepared.select(*by, "seq", "is_break", "teacher_id", "day_idx", "class_name", "section", "start_min", "end_min", "period_number")
+    rows = written(rows.filter(~F.col("is_break") & F.col("teacher_id").isNotNull()))
     return _flag(C.clashing_rows(rows, by), "period", "warning", "teacherClash", by)
 
 
@@ -231,7 +233,7 @@ def remedial_issues(remedial: DataFrame, offs: DataFrame, lessons: DataFrame, by
 def roster_audit(duties: DataFrame, offs: DataFrame, remedial: DataFrame, lessons: DataFrame, resolved: DataFrame, by: Sequence[str] = BY, school: Sequence[str] = ("school_id",)) -> DataFrame:
     """Every collision of a hand-edited roster, by the rules the planner follows: R11 over duties and days off, R12 over extra
     classes. `resolved` (by or school, raw, teacher_id, is_new) tells who a printed name is."""
-    duties, offs, remedial = (with_person(x, resolved, school) for x in (duties, offs, remedial))
+    duties, offs, remedial = (written(with_person(x, resolved, school)) for x in (duties, offs, remedial))  # each is read three times
     return roster_issues(duties, offs, by).unionByName(remedial_issues(remedial, offs, lessons, by, school))
 
 
@@ -284,9 +286,11 @@ def _per_severity(rows: DataFrame, drafts: DataFrame, by: Sequence[str]) -> Data
     return out.select(*by, *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in sums]).withColumn("publishable", F.col("errors") == 0)
 
 
-def issues_by_class(issues: DataFrame, periods: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Errors and warnings of each class-section as printed."""
-    rows = issues.filter((F.col("scope") == "period") & F.col("seq").isNotNull()).join(periods.select(*by, "seq", "class_name", "section"), [*by, "seq"])
+def issues_by_class(issues: DataFrame, periods: DataFrame | None = None, by: Sequence[str] = BY) -> DataFrame:
+    """Errors and warnings of each class-section as printed. `periods` may be left out where the issues keep class_name and section."""
+    rows = issues.filter((F.col("scope") == "period") & F.col("seq").isNotNull())
+    if periods is not None:
+        rows = rows.join(periods.select(*by, "seq", "class_name", "section"), [*by, "seq"])
     return rows.groupBy(*by, "class_name", "section").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 

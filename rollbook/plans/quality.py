@@ -41,14 +41,19 @@ def _with(view: str, name: str, extra: str = "") -> str:
 _PREP = _with("f_draft_period", "pp", f", {_class('v.class_name')} AS cn, {_min('v.start_time')} AS s, {_min('v.end_time')} AS e")
 
 
-def _resolved(t):
-    names = I.distinct_names([f.select("school_id", "teacher_name") for f in named_facts(t)], SCHOOL)
+def _resolved(t, facts=None):
+    """Who the printed names of `facts` are (of all facts, if not given): a name's person does not depend on other names."""
+    names = I.distinct_names([f.select("school_id", "teacher_name") for f in (named_facts(t) if facts is None else facts)], SCHOOL)
     mapping = t.sql(f"SELECT DISTINCT school_id, '{_NEW}' AS raw, 'NEW' AS target FROM f_teacher")
     return Q.resolve_once(names, people(t), mapping)
 
 
+def _lessons(t):
+    return [t.f_draft_period.filter("not is_break")]
+
+
 def _prepared(t, res=None):
-    return Q.prepare_periods(t.f_draft_period, _resolved(t) if res is None else res, SCHOOL)
+    return Q.prepare_periods(t.f_draft_period, _resolved(t, _lessons(t)) if res is None else res, SCHOOL)
 
 
 def _cases(checks: list[tuple[str, str, str]], src: str, scope: str) -> str:
@@ -93,12 +98,12 @@ def period_rules(t):
 
 @query("duplicate_periods", f"WITH {_RES}, {_PREP} {_DUP}")
 def duplicate_periods(t):
-    return Q.duplicate_periods(_prepared(t))
+    return Q.duplicate_periods(Q.prepare_periods(t.f_draft_period))
 
 
 @query("gap_issues", f"WITH {_RES}, {_PREP} {_GAP}")
 def gap_issues(t):
-    return Q.gap_issues(_prepared(t))
+    return Q.gap_issues(Q.prepare_periods(t.f_draft_period))
 
 
 @query("clash_issues", f"WITH {_RES}, {_PREP} {_CLASH}")
@@ -141,8 +146,9 @@ _OTHER = (
 
 
 def _others(t, res=None):
-    res = _resolved(t) if res is None else res
-    return [Q.with_person(df, res, SCHOOL) for df in (t.f_draft_duty, t.f_draft_off, t.f_draft_remedial)]
+    facts = [t.f_draft_duty, t.f_draft_off, t.f_draft_remedial]
+    res = _resolved(t, facts) if res is None else res
+    return [Q.with_person(df, res, SCHOOL) for df in facts]
 
 
 @query("other_rules", f"WITH {_RES}, {_OTHERS} {_OTHER}")
@@ -199,7 +205,8 @@ def remedial_issues(t):
 
 @query("roster_audit", f"WITH {_RES}, {_OTHERS}, {_ROSTER}, {_REMEDIAL} SELECT * FROM roster_ UNION ALL SELECT * FROM rem_")
 def roster_audit(t):
-    return Q.roster_audit(t.f_draft_duty, t.f_draft_off, t.f_draft_remedial, t.f_period.filter("version = 2"), _resolved(t))
+    facts = [t.f_draft_duty, t.f_draft_off, t.f_draft_remedial]
+    return Q.roster_audit(*facts, t.f_period.filter("version = 2"), _resolved(t, facts))
 
 
 _EVERY = f"""every_ AS ({_PERIOD} UNION ALL {_DUP.replace('SELECT school_id', 'SELECT * FROM (SELECT school_id', 1)}) UNION ALL {_GAP} UNION ALL {_CLASH} UNION ALL {_LOW} UNION ALL SELECT * FROM ({_REP}) UNION ALL {_OTHER}
@@ -260,7 +267,7 @@ def issue_totals(t):
  FROM e JOIN pp p USING (school_id, draft_id, seq) GROUP BY ALL""",
 )
 def issues_by_class(t):
-    return Q.issues_by_class(Q.period_rules(_prepared(t)), t.f_draft_period)
+    return Q.issues_by_class(Q.period_rules(_prepared(t), keep=["class_name", "section"]))
 
 
 @query(

@@ -80,3 +80,36 @@ def test_names_are_resolved_once_for_all_rules(monkeypatch):
     monkeypatch.setattr(P, "_resolved", lambda t: asked.append(t) or "names")
     P.issue_totals(MagicMock())
     assert len(asked) == 1
+
+
+def _names_asked(monkeypatch, run):
+    """The plans of the names that a query resolves."""
+    from rollbook.operators import quality as Q
+
+    asked, resolve = [], Q.resolve_once
+    monkeypatch.setattr(Q, "resolve_once", lambda names, *rest: asked.append(names) or resolve(names, *rest))
+    run()
+    return [n._jdf.queryExecution().optimizedPlan().toString() for n in asked]
+
+
+def test_time_gaps_ask_for_no_names(spark, monkeypatch):
+    assert _names_asked(monkeypatch, lambda: entry.queries()["gap_issues"](spark, SF)) == []
+
+
+def test_classes_ask_for_names_of_lessons_and_read_them_once(spark, monkeypatch):
+    out = []
+    (plan,) = _names_asked(monkeypatch, lambda: out.append(entry.queries()["issues_by_class"](spark, SF)))
+    assert "House Duty List" not in plan and "Ghost" not in plan
+    assert out[0]._jdf.queryExecution().executedPlan().toString().count("/lineitem.parquet") == 1
+
+
+def test_clashes_read_the_lessons_once(spark, monkeypatch):
+    out = []
+    (plan,) = _names_asked(monkeypatch, lambda: out.append(entry.queries()["clash_issues"](spark, SF)))
+    assert "House Duty List" not in plan and "Ghost" not in plan
+    assert "/lineitem.parquet" not in out[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roster_audit_asks_for_no_names_of_lessons(spark, monkeypatch):
+    (plan,) = _names_asked(monkeypatch, lambda: entry.queries()["roster_audit"](spark, SF))
+    assert "House Duty List" in plan and "Time Table Board" not in plan
