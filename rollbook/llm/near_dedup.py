@@ -19,6 +19,8 @@ BANDS, ROWS = 32, 4
 BATCH = 32
 #: A component of so many nodes is compared in blocks of BLOCK_NODES.
 LARGE, BLOCK_NODES = 16, 256
+#: So is a bucket of so many nodes that their leader leaves in several components.
+CROWD = 64
 _LOW = np.uint64((1 << 52) - 1)
 
 
@@ -202,6 +204,25 @@ def _large_components(open_: DataFrame, comps: DataFrame, sets_of: DataFrame, pe
     return cut_lineage(placed.where("n IS NULL").select("key", "node", "score")), comps
 
 
+def _large_buckets(open_: DataFrame, comps: DataFrame, sets_of: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(open_ without buckets of CROWD nodes or more, comps with the links of those).
+
+    All nodes of such a bucket are compared, full set against full set, in blocks of nodes, so that nodes which no leader ties
+    together cost a row per pair of blocks and not per pair. Buckets that hold the same nodes are compared once."""
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    crowds = cut_lineage(open_.groupBy("key").agg(F.count("*").alias("n"), members).where(F.col("n") >= CROWD))
+    if crowds.isEmpty():
+        return open_, comps
+    once = crowds.groupBy("n", "members").agg(F.min("key").alias("key"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_NODES).cast("long")).alias("block")
+    dealt = open_.join(once, "key").select(F.col("key").alias("large"), "node", block).join(sets_of, "node")
+    packed = cut_lineage(dealt.groupBy("large", "block").applyInArrow(lambda key, table: _packed(key, table), "large long, nodes binary, sizes binary, sets binary"))
+    other = packed.select("large", *[F.col(c).alias(f"{c}_b") for c in ("nodes", "sizes", "sets")])
+    found = packed.join(other, "large").where("nodes >= nodes_b").mapInArrow(_compare_blocks(percent), "a long, b long").distinct()
+    comps = cut_lineage(components(found.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    return cut_lineage(open_.join(crowds.select("key"), "key", "left_anti")), comps
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id it reaches), kept.
 
@@ -245,6 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     if comps is not None:
         sets_of = texts.mapInArrow(_sets(size), "node long, shingles binary")
         open_, comps = _large_components(open_, comps, sets_of, percent)
+        open_, comps = _large_buckets(open_, comps, sets_of, percent)
         comps = link_buckets(open_, linked, comps)
 
     named = usable.select("doc_id", "node")

@@ -9,6 +9,7 @@ import pytest
 from corpus_pipeline import drop_repeated_lines
 from rollbook.llm.graph import components
 from rollbook.llm.line_dedup import dedup_lines
+from rollbook.llm import near_dedup
 from rollbook.llm.near_dedup import least_matches, near_duplicates
 from rollbook.llm.repeats import packed, remove_repeats, unpacked
 from rollbook.llm.substrings import remove_substrings
@@ -105,6 +106,20 @@ def test_large_component_meets_loose_copies(docs_of):
     assert got == {i: find(i) for i in sets} and len(set(got.values())) > 1
 
 
+def test_crowded_bucket_is_compared_in_blocks(docs_of, monkeypatch):
+    """Texts that share a bucket but are not linked: only small buckets go on to rounds with a row per pair, and no link is lost."""
+    common = [f"c{i}" for i in range(80)]
+    texts = [" ".join(common + [f"own{d}x{i}" for i in range(20)]) for d in range(400)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:5]]
+    asked = []
+    real = near_dedup.link_buckets
+    monkeypatch.setattr(near_dedup, "link_buckets", lambda open_, *a, **b: asked.append(open_) or real(open_, *a, **b))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(list(enumerate(texts))), size=4).collect()}
+    assert got == {d: d - 400 if d >= 400 else d for d in range(405)}
+    widest = [max([r["count"] for r in f.groupBy("key").count().collect()], default=0) for f in asked]
+    assert widest[0] >= 100 and widest[-1] < near_dedup.CROWD
+
+
 def test_bayes_bounds_rise():
     bounds = least_matches(0.8, 1e-6)
     assert [n for n, _ in bounds] == [32, 64, 96, 128]
