@@ -13,6 +13,8 @@ from rollbook.operators import text_jobs as T
 from rollbook.plans.registry import query
 
 VER = ["school_id", "version"]
+#: Tasks over sheets for each part that the documents are read in.
+SHARE = 8
 
 # ---------------------------------------------------------------- words of all documents
 
@@ -22,8 +24,19 @@ _LINED = """w0 AS (SELECT *, (y0 + y1) / 2 AS yc, greatest(2.0, 0.55 * median(y1
  lined AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, line_no ORDER BY x0, seq) AS INTEGER) AS word_no FROM w2)"""
 
 
+def _tasks(t) -> int:
+    """Tasks over sheets. They grow with the parts the documents are read in, at most 128 MB each with Spark's defaults (some 30
+    million words), so that none holds more than about four million words, however few partitions a session has."""
+    return max(SHARE * t.base("documents").rdd.getNumPartitions(), int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _sheets(t) -> DataFrame:
+    """All words, dealt by sheet."""
+    return t.f_word.repartition(_tasks(t), "page_id")
+
+
 def _lined(t):
-    return L.build_lines(t.f_word)
+    return L.build_lines(_sheets(t))
 
 
 @query("build_lines", f"WITH {_LINED} SELECT page_id, seq, line_no, word_no FROM lined")

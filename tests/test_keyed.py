@@ -98,3 +98,11 @@ def test_empty_and_one_row(spark):
     assert keyed.numbered(df.limit(0), ["k"], ["seq"]).count() == 0
     assert keyed.with_previous(df.limit(0), ["k"], ["seq"], {"p": "v"}).count() == 0
     assert [r.n for r in keyed.numbered(df.limit(1), ["k"], ["seq"]).collect()] == [1]
+
+
+def test_words_are_dealt_by_sheet(spark, views):
+    """The tasks that build lines follow the parts the documents are read in, not the session's few partitions."""
+    from rollbook.plans import layout
+
+    parts = views.documents.rdd.getNumPartitions()
+    assert layout.build_lines(views).rdd.getNumPartitions() >= layout.SHARE * parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
