@@ -248,3 +248,63 @@ def test_lines_keep_columns_of_any_name(docs_of):
     assert set(docs.columns) <= set(out.columns)
     rows = {r["doc_id"]: (r["n_removed"], r["rid"], r["GONE"], r["__gone"]) for r in out.collect()}
     assert rows == {1: (0, "keep me", "too", 3), 2: (1, "keep me", "too", 3)}
+
+
+def edits(x: str, y: str) -> int:
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row = row, [i]
+        for j, d in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijk é", "".join(chr(0x4E00 + i) for i in range(300))])
+def test_edits_within_a_limit(letters):
+    import random
+
+    import numpy as np
+
+    from rollbook.llm.edits import Codes, within_edits
+
+    r = random.Random(len(letters))
+    texts = ["", "a"]
+    for _ in range(24):
+        x = [r.choice(letters) for _ in range(r.choice([1, 5, 63, 64, 65, 130, 260]))]
+        y = list(x)
+        for _ in range(r.randint(0, len(x) // 4 + 1)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randint(0, 1)] = r.choice(letters) * r.randint(0, 1)
+        texts += ["".join(x), "".join(y)]
+    a = np.arange(len(texts))
+    a, b = np.concatenate([a, a]), np.concatenate([a ^ 1, np.roll(a, 3)])
+    true = np.array([edits(texts[i], texts[j]) for i, j in zip(a, b)])
+    codes = Codes(texts)
+    for most in (np.maximum(codes.length[a], codes.length[b]) // 5, true, true - 1, true + 4, 0 * true + 9):
+        assert (within_edits(codes, a, b, most) == (true <= most)).all()
+
+
+@pytest.mark.parametrize("nodes,step", [(1024, 1 << 19), (5, 7)])
+def test_lines_of_a_crowded_bucket(docs_of, monkeypatch, nodes, step):
+    """Unlike lines with one passage in common, and chains of like ones among them: whole or in blocks, as by comparing every two."""
+    import random
+
+    from rollbook.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(line_dedup, "STEP_PAIRS", step)
+    r = random.Random(3)
+    lines = []
+    for i in range(14):
+        words = f"{prose(100 + i, 9)} {prose(1, 12)} {prose(300 + i, 9)}".split(" ")
+        lines.append(" ".join(words))
+        for _ in range(i % 4):  # each differs from the one before
+            words[r.randrange(9)] = prose(r.randrange(10**6), 1)
+            lines.append(" ".join(words))
+    near = [[100 * edits(x, y) <= 20 * max(len(x), len(y)) for y in lines] for x in lines]
+    group = list(range(len(lines)))
+    for _ in lines:
+        group = [min(g for g, like in zip(group, row) if like) for row in near]
+    assert len(set(group)) < len(lines) - 10
+    got = {g.doc_id for g in dedup_lines(docs_of(list(enumerate(lines)))).collect() if g.n_removed}
+    assert got == {i for i, g in enumerate(group) if g != i}
