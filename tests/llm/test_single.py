@@ -253,3 +253,19 @@ def test_pipeline_stages_take_effect(docs_of, spark, tmp_path):
 )
 def test_left_out_end_tags_lose_no_text(page, text):
     assert "\n".join(t for t, kind in pages._blocks(page) if kind == 2) == text
+
+
+@pytest.mark.parametrize("many", [2000, 1])
+def test_repeated_blocks_inside_articles(spark, monkeypatch, many):
+    """Blocks of articles that other pages of the host repeat go too, on hosts of many pages as on others; two versions of one article
+    keep their text."""
+    monkeypatch.setattr(pages, "HOST_PAGES", many)
+    plea = "please sign up for our weekly letter and never miss a story"
+    rows = [(i, "http://a.example/", f"<article><h1>Title {prose(i, 2)}</h1><p>{prose(i, 30)}</p><p>{plea}</p></article>") for i in range(1, 5)]
+    rows += [(9, "http://c.example/", f"<main><p>{prose(9, 30)}</p><p>{plea}</p></main>")]
+    body = [prose(20 + k, 12) for k in range(6)]
+    rows += [(20, "http://d.example/1", "<article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>"), (21, "http://d.example/2", "<article>" + "".join(f"<p>{x}</p>" for x in [*body[:5], prose(40, 12)]) + "</article>")]
+    rows += [(30, "http://a.example/x", f"<p>{prose(30, 20)}</p><p>{plea}</p>")]
+    want = {i: f"Title {prose(i, 2)}\n{prose(i, 30)}" for i in range(1, 5)}
+    want |= {9: f"{prose(9, 30)}\n{plea}", 20: "\n".join(body), 21: "\n".join([*body[:5], prose(40, 12)]), 30: prose(30, 20)}
+    assert {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
