@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollbook.operators import cleanup as C
@@ -158,3 +159,12 @@ def test_codes_tied_only_through_a_held_code_stay_apart(spark):
     told = {r["teacher_id"]: (r["action"], r["keep_id"]) for r in C.plan_cleanup(held).collect()}
     # MEZ belongs to the one who holds ME; MEX and MEYY have two holders each and share no stem
     assert told[7] == ("merge", 1) and told[5] == ("primary", 5) and told[6] == ("primary", 6)
+
+
+@pytest.mark.parametrize("name", ["all_issues", "issue_summary", "issue_totals"])
+def test_rules_keep_no_shuffle_files_for_one_another(views, name):
+    """Each rule's issues are written before the next rule runs: what is left joins a row per draft at most."""
+    from __spark_entry__ import QUERIES
+
+    plan = QUERIES[name](views.spark, views.path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "lineitem" not in plan and "l_orderkey" not in plan
